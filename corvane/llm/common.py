@@ -90,3 +90,63 @@ def slices(batches: Iterator, rows: int = 512) -> Iterator:
 def fields(df: DataFrame, *names: str) -> DataFrame:
     """Only the named columns: extra or clashing columns of the input never meet ours."""
     return df.select(*[df[n] for n in names])
+
+
+class Interned(dict):
+    """Numbers for keys, with what ``compute`` makes of new keys, kept by a worker between batches.
+
+    ``index(keys)`` gives a number per key; ``self.values[number]`` is its row.
+    The table is emptied when it holds more than ``limit`` keys, so numbers hold
+    only until the next call.
+    """
+
+    def __init__(self, compute, limit: int = 250_000):
+        super().__init__()
+        self.compute, self.limit, self.values, self._new = compute, limit, None, []
+
+    def __missing__(self, key):
+        n = self[key] = len(self)
+        self._new.append(key)
+        return n
+
+    def index(self, keys):
+        import numpy as np
+
+        if len(self) > self.limit:
+            self.clear()
+            self.values = None
+        got = np.fromiter(map(self.__getitem__, keys), np.int64, len(keys))
+        if self._new:
+            new, self._new = self._new, []
+            made = self.compute(new)
+            if self.values is None:
+                self._room, self._used = made, len(made)
+            else:
+                need = self._used + len(made)
+                if need > len(self._room):
+                    room = np.empty((max(need, 2 * len(self._room)), *self._room.shape[1:]), self._room.dtype)
+                    room[: self._used] = self._room[: self._used]
+                    self._room = room
+                self._room[self._used : need] = made
+                self._used = need
+            self.values = self._room[: self._used]
+        return got
+
+
+def word_hashes(words: list[bytes]):
+    """64-bit hashes of words, for :class:`Interned`."""
+    import numpy as np
+    import xxhash
+
+    return np.fromiter((xxhash.xxh64_intdigest(w) for w in words), np.uint64, len(words))
+
+
+def mix(x):
+    """A bijective 64-bit mixer over an array."""
+    import numpy as np
+
+    x = x ^ (x >> np.uint64(30))
+    x = x * np.uint64(0xBF58476D1CE4E5B9)
+    x = x ^ (x >> np.uint64(27))
+    x = x * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, sharding
+from . import exact_dedup, language_id, packing, quality, sharding, token_counts
 
 QUERIES = {
+    "op3_language_id": language_id.op3_language_id,
     "op4_exact_dedup": exact_dedup.op4_exact_dedup,
+    "op6_token_counts": token_counts.op6_token_counts,
     "op8_sharding": sharding.op8_sharding,
+    "op9_quality_rules": quality.op9_quality_rules,
+    "op10_packing": packing.op10_packing,
 }
 ORACLES = {"op4_exact_dedup": exact_dedup.ORACLE}
