@@ -14,6 +14,8 @@ sort, and a lost task is simply packed again.
 
 from __future__ import annotations
 
+import os
+import re
 import zlib
 from bisect import bisect_right, insort
 
@@ -28,54 +30,75 @@ BUFFER_IDS, GROUP_IDS = 1 << 20, 32 * 2048
 END_ID = 1
 
 
+#: A word, or the ASCII and Latin-1 letters of one before a stop: the tokenizer splits there in any case.
+_PRE = re.compile(rb"[a-z\xc3\x80-\x96\x98-\xb6\xb8-\xbf]+(?=[.,])|[^\x20\x09-\x0D]+")
+
+
 class WordTokenizer:
-    """Ids of whole texts by the ``tokenizers`` library, which sees each distinct word once per batch.
+    """Ids of whole texts by the ``tokenizers`` library, which sees each distinct word once in a while.
 
-    The tokenizer drops white space and never joins words over it, so a text's
-    ids are those of its words in order. Words are split at ASCII white space
-    only; anything else is left to the library.
+    The tokenizer drops white space, lower-cases, and never joins words over white
+    space or a letter with a stop, so a text's ids are those of its parts in order.
+    New parts are encoded together, with a digit between them whose id marks the
+    borders; parts with that digit are encoded one by one.
     """
 
     def __init__(self, name: str, folder: str | None = None):
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         import numpy as np
         from tokenizers import Tokenizer
 
         self.np, self.lib = np, Tokenizer.from_file(tokenizer_path(name, folder))
-        self.words = Interned(self._encode)
+        self.words = Interned(self._encode, limit=500_000)
         self.flat, self.used = np.empty(1 << 20, np.uint32), 0
+        mark = self.lib.encode("0", add_special_tokens=False).ids
+        self.mark = mark[0] if len(mark) == 1 else None
 
     def _encode(self, words: list[bytes]):
-        np, made = self.np, []
-        out = np.empty((len(words), 2), np.int64)
+        np, out = self.np, self.np.empty((len(words), 2), self.np.int64)
         if self.words.values is None:
             self.used = 0
-        at = self.used
-        for k in range(0, len(words), 4096):
-            part = [w.decode(errors="replace") for w in words[k : k + 4096]]
-            for i, e in enumerate(self.lib.encode_batch(part, add_special_tokens=False), k):
-                ids = e.ids
-                out[i] = at, len(ids)
-                at += len(ids)
-                made += ids
-        if at > len(self.flat):
-            room = np.empty(max(at, 2 * len(self.flat)), np.uint32)
-            room[: self.used] = self.flat[: self.used]
-            self.flat = room
-        self.flat[self.used : at] = made
-        self.used = at
+        plain = [i for i, w in enumerate(words) if b"0" not in w] if self.mark is not None else []
+        for k in range(0, len(plain), 2048):
+            part = plain[k : k + 2048]
+            joined = b" 0 ".join([words[i] for i in part]).decode(errors="replace")
+            ids = np.array(self.lib.encode_batch_fast([joined], add_special_tokens=False)[0].ids, np.uint32)
+            border = np.flatnonzero(ids == self.mark)
+            first = np.concatenate([[0], border + 1])
+            out[part, 0] = first + self.used
+            out[part, 1] = np.concatenate([border, [len(ids)]]) - first
+            self._keep(ids)
+        rest = [i for i, w in enumerate(words) if b"0" in w] if self.mark is not None else list(range(len(words)))
+        for k in range(0, len(rest), 2048):
+            part = rest[k : k + 2048]
+            for i, e in zip(part, self.lib.encode_batch_fast([words[i].decode(errors="replace") for i in part], add_special_tokens=False), strict=True):
+                out[i] = self.used, len(e.ids)
+                self._keep(np.array(e.ids, np.uint32))
         return out
 
-    def __call__(self, text: str | None):
-        np = self.np
-        words = (text or "").encode(errors="replace").split()
-        if not words:
-            return np.empty(0, np.uint32)
-        numbers = self.words.index(words)
-        spans = self.words.values[numbers]
-        lens = spans[:, 1]
-        ends = np.cumsum(lens)
-        where = np.arange(ends[-1]) + np.repeat(spans[:, 0] - (ends - lens), lens)
-        return self.flat[where]
+    def _keep(self, ids) -> None:
+        if self.used + len(ids) > len(self.flat):
+            room = self.np.empty(2 * (self.used + len(ids)), self.np.uint32)
+            room[: self.used] = self.flat[: self.used]
+            self.flat = room
+        self.flat[self.used : self.used + len(ids)] = ids
+        self.used += len(ids)
+
+    def batch(self, texts: list[bytes | None], end_id: int) -> list:
+        """The ids of each text and the end mark."""
+        np, every, counts = self.np, [], []
+        for t in texts:
+            # A special string is only one in lower case, so a text that may hold one keeps its case.
+            words = _PRE.findall(t if b"<|" in t else t.lower()) if t else []
+            every += words
+            counts.append(len(words))
+        numbers = self.words.index(every)
+        starts, lens = self.words.values[numbers].T if every else (numbers, numbers)
+        ends = np.concatenate([[0], np.cumsum(lens)])
+        flat = self.flat[np.arange(ends[-1]) + np.repeat(starts - ends[:-1], lens)]
+        cuts = ends[np.concatenate([[0], np.cumsum(counts, dtype=np.int64)])]
+        end = np.array([end_id], np.uint32)
+        return [np.concatenate([flat[a:b], end]) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
 
 
 class Packer:
@@ -189,14 +212,12 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokeni
     names = [id_col, "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "tier", "step_group"] + ["ids"] * with_ids
 
     def work(batches):
-        import numpy as np
         import pyarrow as pa
         from pyspark import TaskContext
 
         encode, packer = WordTokenizer(tokenizer, folder), Packer(TaskContext.get().partitionId(), tiers)
         held: dict[int, tuple] = {}  # key -> id, ids
-        end, n = np.array([end_id], np.uint32), 0
-        id_type = None
+        id_type, n = None, 0
 
         def rows(last: bool):
             made = packer.pack(last)
@@ -215,8 +236,8 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokeni
 
         for batch in slices(batches, 256):
             id_type = batch.column(0).type
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                ids = np.concatenate([encode(text), end])
+            texts = batch.column(1).cast(pa.binary()).to_pylist()
+            for doc, ids in zip(batch.column(0).to_pylist(), encode.batch(texts, end_id), strict=True):
                 held[n] = (doc, ids)
                 packer.add(n, len(ids))
                 n += 1
