@@ -10,7 +10,7 @@ with a known language; every text is then scored whole.
 
 from __future__ import annotations
 
-import json
+import re
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -41,7 +41,9 @@ class Lattice:
                 self.id.setdefault(sp.id_to_piece(i), len(self.id))
         self.outside = len(self.id)  # a single character that is no piece
         self.never = self.outside + 1
-        self.longest = min(16, max(map(len, self.id)))
+        self.longest = max(map(len, self.id))
+        #: Every beginning of a piece; a mere beginning has the number ``never``.
+        self.starts = {p[:k]: self.never for p in self.id for k in range(1, len(p))} | self.id
 
     def groups(self, words: list[str]):
         """(numbers of the words, pieces[word, end, length]) for each length of word."""
@@ -50,20 +52,31 @@ class Lattice:
         by: dict[int, list[int]] = {}
         for k, w in enumerate(words):
             by.setdefault(len(w), []).append(k)
-        get, never, longest = self.id.get, self.never, self.longest
+        get, never, longest = self.starts.get, self.never, self.longest
         for n, members in by.items():
-            for at in range(0, len(members), max(1, 200_000 // (n * longest + 1))):
-                part = members[at : at + max(1, 200_000 // (n * longest + 1))]
-                width = min(n, longest)
+            width = min(n, longest)
+            step = max(1, 2_000_000 // (n * width + 1))
+            for at in range(0, len(members), step):
+                part = members[at : at + step]
                 pieces = np.full((len(part), n + 1, width + 1), never, np.int32)
-                for row, k in zip(pieces, part, strict=True):
-                    w = words[k]
-                    for end in range(1, n + 1):
-                        for size in range(1, min(end, width) + 1):
-                            if (p := get(w[end - size : end])) is not None:
-                                row[end, size] = p
-                        if row[end, 1] == never:
-                            row[end, 1] = self.outside
+                where, piece, cell = [], [], width + 1
+                for r, k in enumerate(part):
+                    w, row = words[k], r * (n + 1) * cell
+                    for start in range(n):
+                        p = get(w[start])
+                        where.append(row + (start + 1) * cell + 1)
+                        piece.append(self.outside if p is None or p == never else p)
+                        if p is None:
+                            continue
+                        at_stop = row + (start + 2) * cell + 2
+                        for stop in range(start + 2, min(n, start + longest) + 1):
+                            if (p := get(w[start:stop])) is None:
+                                break
+                            if p != never:
+                                where.append(at_stop)
+                                piece.append(p)
+                            at_stop += cell + 1
+                pieces.reshape(-1)[where] = piece
                 yield np.array(part), pieces
 
     def forward(self, pieces, prob):
@@ -108,8 +121,13 @@ class Lattice:
         return out
 
 
+#: Words, with letters before a stop apart; what begins with a stop takes no mark of a word.
+_PRE = re.compile(rb"[a-z\xc3\x80-\x96\x98-\xb6\xb8-\xbf]+(?=[.,])|[^\x20\x09-\x0D]+")
+
+
 def _word(data: bytes) -> str:
-    return _MARK + data.decode(errors="replace").lower()
+    word = data.decode(errors="replace").lower()
+    return word if word[0] in ".," else _MARK + word
 
 
 def train(docs: DataFrame, usable: Column | None = None, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", model: str = "piece_bpe_32k.model", folder: str | None = None, sample_rows: int = SAMPLE_ROWS) -> dict:
@@ -125,14 +143,14 @@ def train(docs: DataFrame, usable: Column | None = None, id_col: str = "doc_id",
         rows = rows.where(usable)
     every = max(1, docs.count() // sample_rows)
     part = rows.where(F.pmod(F.xxhash64(id_col), F.lit(every)) == 0)
-    words = part.select(F.col(lang_col).alias("lang"), F.explode(F.split(F.lower(text_col), r"[\x20\x09-\x0D]+")).alias("w"))
+    words = part.select(F.col(lang_col).alias("lang"), F.explode(F.split(F.lower(text_col), r"[\x20\x09-\x0D]+|(?<=\p{L})(?=[.,])")).alias("w"))
     words = words.where("w != '' and length(w) <= 40").groupBy("lang", "w").agg(F.count(F.lit(1)).alias("n"))
     top = words.withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "w"))).where(F.col("r") <= WORDS_OF_LANGUAGE)
     shares = {r["lang"]: r["n"] for r in part.groupBy(F.col(lang_col).alias("lang")).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(MOST_LANGUAGES).collect()}
     langs = sorted(shares)
     by: dict[str, dict[str, int]] = {k: {} for k in langs}
     for r in top.where(F.col("lang").isin(langs)).select("lang", "w", "n").collect() if langs else []:
-        by[r["lang"]][_MARK + r["w"]] = r["n"]
+        by[r["lang"]][_word(r["w"].encode())] = r["n"]
     lattice = Lattice(model, folder)
     size = lattice.never + 1
     probs = np.zeros((size, len(langs)))
@@ -166,7 +184,7 @@ class Identifier:
         self.lattice = Lattice(trained["model"], trained["folder"])
         self.prob = trained["prob"].astype(float)
         self.prior = np.log(np.maximum(trained["prior"], 1e-12))
-        self.words = Interned(self._score)
+        self.words = Interned(self._score, limit=500_000)
 
     def _score(self, words: list[bytes]):
         np = self.np
@@ -177,18 +195,25 @@ class Identifier:
         out[:, -1] = [any(c.isalpha() for c in t) for t in texts]
         return out
 
-    def __call__(self, data: bytes | None) -> tuple[str, float]:
+    def batch(self, texts: list[bytes | None]) -> list[tuple[str, float]]:
         np = self.np
-        words = (data or b"").split()
-        if not words or not self.langs:
-            return UNKNOWN, 0.0
-        at = self.words.index(words)
-        sums = self.words.values[at].sum(0)
-        if not sums[-1]:
-            return UNKNOWN, 0.0
-        s = sums[:-1] + self.prior
-        k = int(np.argmax(s))
-        return self.langs[k], float(1 / np.exp(s - s[k]).sum())
+        words = [_PRE.findall(t.lower()) if t else [] for t in texts]
+        every = [w for x in words for w in x]
+        if not every or not self.langs:
+            return [(UNKNOWN, 0.0)] * len(texts)
+        numbers = self.words.index(every)
+        rows = self.words.values[numbers]
+        out, at = [], 0
+        for x in words:
+            sums = rows[at : at + len(x)].sum(0)
+            at += len(x)
+            if not sums[-1]:
+                out.append((UNKNOWN, 0.0))
+                continue
+            s = sums[:-1] + self.prior
+            k = int(np.argmax(s))
+            out.append((self.langs[k], float(1 / np.exp(s - s[k]).sum())))
+        return out
 
 
 def identify(docs: DataFrame, trained: dict, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -209,7 +234,7 @@ def identify(docs: DataFrame, trained: dict, id_col: str = "doc_id", text_col: s
 
         identifier = Identifier(shared.value)
         for batch in slices(batches):
-            got = [identifier(t) for t in batch.column(1).cast(pa.binary()).to_pylist()]
+            got = identifier.batch(batch.column(1).cast(pa.binary()).to_pylist())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([x[0] for x in got], pa.string()), pa.array([x[1] for x in got], pa.float64())], [id_col, "lang_pred", "score"])
 
     return docs.select(id_col, text_col).mapInArrow(work, f"`{id_col}` {kind}, lang_pred string, score double")
