@@ -399,7 +399,8 @@ def remove_repeats(docs: DataFrame, window: int = 50, id_col: str = "doc_id", te
     """``docs`` with the repeated words cut out of the text; null stays null, other columns stay as they were."""
     spans = repeated_spans(docs, window, id_col, text_col)
     rows = docs.withColumn("_rid", F.xxhash64(id_col, text_col)).join(spans.withColumnRenamed("rid", "_rid").withColumnRenamed("spans", "_spans"), "_rid", "left").select(*docs.columns, "_spans")
-    at, width = docs.columns.index(text_col), len(docs.columns)
+    names = list(docs.columns)
+    at, width = names.index(text_col), len(names)
 
     def work(batches):
         import pyarrow as pa
@@ -410,7 +411,7 @@ def remove_repeats(docs: DataFrame, window: int = 50, id_col: str = "doc_id", te
                 if spans[i].is_valid:
                     texts[i] = _cut(t, _covered(len(t.split()), spans[i].values))
             cols = [pa.array(texts, pa.binary()).cast(batch.column(at).type) if k == at else batch.column(k) for k in range(width)]
-            yield pa.RecordBatch.from_arrays(cols, docs.columns)
+            yield pa.RecordBatch.from_arrays(cols, names)
 
     return rows.mapInArrow(work, docs.schema)
 
