@@ -12,9 +12,10 @@ bucket with a probability of (1 - 0.8 ** 8) ** 64, below 1e-5, and less above it
 Documents of equal sets are one class, which a single row stands for from then
 on. Candidates are first the pairs of each bucket's members with its hub; links
 are confirmed on full sets, and connected components are contracted. What a bucket
-then still holds apart is compared with new hubs, and at last exhaustively: every
-pair that shares a bucket is either in one component or compared. Pairs inside a
-component are never listed.
+then still holds apart is compared with a second hub, and at last exhaustively:
+every pair that shares a bucket is either in one component, or compared, or ruled
+out by exact bounds on what it can share. Pairs inside a component are never
+listed.
 """
 
 from __future__ import annotations
@@ -22,13 +23,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
+from pyspark.sql.window import Window
 
 from ..shipping import ship
 from .common import Interned, Scratch, mix, slices, word_hashes
 
 BANDS, ROWS = 64, 8
-#: Buckets of more classes get further hubs before their rest is compared exhaustively.
-LARGE_BUCKET, HUB_ROUNDS = 32, 3
+#: Buckets of more classes get a second hub before their rest is compared exhaustively.
+LARGE_BUCKET = 32
 
 
 def shingle_set(hashes, k: int):
@@ -132,6 +134,17 @@ def _full_sets(k: int):
     return work
 
 
+def _items(batches):
+    """One row for each shingle of a set."""
+    import numpy as np
+    import pyarrow as pa
+
+    for batch in slices(batches, 256):
+        sets = [np.frombuffer(x, np.int64) for x in batch.column(1).to_pylist()]
+        rid = batch.column(0).to_numpy(zero_copy_only=False)
+        yield pa.RecordBatch.from_arrays([pa.array(np.repeat(rid, [len(x) for x in sets])), pa.array(np.concatenate(sets))], ["rid", "item"])
+
+
 def _linked(percent: int):
     def work(batches):
         import numpy as np
@@ -204,9 +217,13 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     classes = tmp.save(some.groupBy("d1", "d2").agg(F.min("rid").alias("rep"), F.min("doc_id").alias("low")), "classes")
     reps = some.select("rid", "n", "bands").join(classes.select(F.col("rep").alias("rid")), "rid", "left_semi").dropDuplicates(["rid"])
     member = reps.select("rid", "n", F.explode("bands").alias("bucket"))
-    shared = member.groupBy("bucket").agg(F.count(F.lit(1)).alias("size"), F.min("rid").alias("hub")).where("size > 1")
-    member = tmp.save(member.join(shared, "bucket"), "members")
-    hub_n = member.select(F.col("rid").alias("hub"), F.col("n").alias("hub_n")).distinct()
+    shared = member.groupBy("bucket").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
+    found = tmp.save(member.join(shared, "bucket"), "found")
+    # A class that meets many others is in the middle of them: such make hubs.
+    central = found.groupBy("rid").agg(F.sum("size").alias("met"))
+    order = F.shiftleft(F.least("met", F.lit((1 << 20) - 1)), 43) + F.col("rid").bitwiseAND(F.lit((1 << 43) - 1))
+    member = tmp.save(found.join(central, "rid").select("bucket", "rid", "n", "size", order.alias("order")), "members")
+    tmp.drop("found")
 
     fits = lambda x, y: 100 * F.least(x, y) >= percent * F.greatest(x, y)  # noqa: E731  else the sizes forbid a link
     needed = member.select("rid").distinct()
@@ -218,37 +235,60 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         with_a = with_b.join(full.select(F.col("rid").alias("a"), F.col("items").alias("items_a")), "a")
         return tmp.save(with_a.select("a", "b", "items_a", "items_b").mapInArrow(_linked(percent), "a long, b long"), name)
 
-    pairs = member.where("rid != hub").select(F.col("hub").alias("a"), F.col("rid").alias("b"), "n").distinct()
-    pairs = pairs.join(hub_n.withColumnRenamed("hub", "a"), "a").where(fits(F.col("n"), F.col("hub_n"))).select("a", "b")
+    def could_link(now: DataFrame, others: DataFrame) -> DataFrame:
+        """Pairs of ``others`` with any row of ``now`` in another component that may be links, by prefix and position.
+
+        Shingles are ordered from the rarest. Two sets that are linked share one among
+        their first n - percent * n + 1; the first that they share bounds, by its places,
+        all that they can share. Both bounds are exact: no link is lost.
+        """
+        rows = now.select("rid", "n", "root").distinct().join(others.select("rid", F.lit(True).alias("other")).distinct(), "rid", "left")
+        each = full.join(rows.select("rid"), "rid", "left_semi").mapInArrow(_items, "rid long, item long")
+        each = tmp.save(each, "items")
+        often = tmp.save(each.groupBy("item").agg(F.count(F.lit(1)).alias("often")).where("often > 1"), "often")
+        place = F.row_number().over(Window.partitionBy("rid").orderBy(F.coalesce("often", F.lit(1)), "item"))
+        first = each.join(often, "item", "left").withColumn("place", place).join(rows, "rid")
+        prefix = F.col("n") - F.floor((percent * F.col("n") + 99) / 100) + 1
+        # A shingle that no other set has counts for the places but meets nothing.
+        first = tmp.save(first.where((F.col("place") <= prefix) & F.col("often").isNotNull()).select("item", "rid", "n", "root", "other", "place"), "prefixes")
+        x = first.where("other").select("item", F.col("rid").alias("a"), F.col("n").alias("na"), F.col("root").alias("ra"), F.col("place").alias("pa"))
+        both = 1 + F.least(F.col("n") - F.col("place"), F.col("na") - F.col("pa"))
+        can = ((100 + percent) * both >= percent * (F.col("n") + F.col("na"))) & (F.col("root") != F.col("ra")) & fits(F.col("n"), F.col("na"))
+        met = first.join(x, "item").where(can)
+        return met.select(F.least("a", "rid").alias("a"), F.greatest("a", "rid").alias("b")).distinct()
+
+    def with_hub(rows: DataFrame, choice: DataFrame) -> DataFrame:
+        """``rows`` beside the hub (a, na, ra) of their bucket: the most central row of ``choice``."""
+        top = choice.groupBy("bucket").agg(F.max("order").alias("order"))
+        hub = choice.join(top, ["bucket", "order"]).select("bucket", F.col("rid").alias("a"), F.col("n").alias("na"), F.col("root").alias("ra"))
+        return rows.join(hub, "bucket")
+
+    own = member.withColumn("root", F.col("rid"))
+    pairs = with_hub(own, own).where((F.col("rid") != F.col("a")) & fits(F.col("n"), F.col("na")))
+    pairs = pairs.select("a", F.col("rid").alias("b")).distinct()
     tested = tmp.save(pairs, "pairs0")
     labels = components(links(tested, "links0"), tmp, "c0")
 
-    for k in range(1, HUB_ROUNDS + 2):
-        last = k == HUB_ROUNDS + 1
+    for k in (1, 2):
         at = labels.select(F.col("v").alias("rid"), "root")
         # Buckets of two have had their only pair compared.
-        now = member.where("size > 2").select("bucket", "rid", "n", "size").join(at, "rid", "left").withColumn("root", F.coalesce("root", "rid"))
+        now = member.where("size > 2").join(at, "rid", "left").withColumn("root", F.coalesce("root", "rid"))
         open_ = now.groupBy("bucket").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 != r1").select("bucket")
         now = now.join(open_, "bucket", "left_semi")
-        if not last:
+        if k == 1:
             now = now.where(F.col("size") > LARGE_BUCKET)
         now = tmp.save(now, f"open{k}")
         if now.isEmpty():
-            if last:
-                break
             continue
-        if not last:
-            order = F.xxhash64("rid", F.lit(k))
-            one = now.groupBy("bucket").agg(F.min(order).alias("o"))
-            hub = now.withColumn("o", order).join(one, ["bucket", "o"]).select("bucket", F.col("rid").alias("a"), F.col("n").alias("na"), F.col("root").alias("ra"))
+        held = now.groupBy("bucket", "root").agg(F.count(F.lit(1)).alias("c"))
+        most = held.groupBy("bucket").agg(F.max("c").alias("c")).join(held, ["bucket", "c"]).groupBy("bucket").agg(F.min("root").alias("most"))
+        others = tmp.save(now.join(most, "bucket").where("root != most").drop("most"), f"others{k}")
+        if k == 1:
+            met = with_hub(now, others).where((F.col("root") != F.col("ra")) & fits(F.col("n"), F.col("na")))
+            pairs = met.select(F.least("a", "rid").alias("a"), F.greatest("a", "rid").alias("b")).distinct()
         else:
-            # All but the most frequent component of each bucket are compared with every other.
-            held = now.groupBy("bucket", "root").agg(F.count(F.lit(1)).alias("c"))
-            most = held.groupBy("bucket").agg(F.max("c").alias("c")).join(held, ["bucket", "c"]).groupBy("bucket").agg(F.min("root").alias("most"))
-            hub = now.join(most, "bucket").where("root != most").select("bucket", F.col("rid").alias("a"), F.col("n").alias("na"), F.col("root").alias("ra"))
-        found = now.select("bucket", F.col("rid").alias("b"), F.col("n").alias("nb"), F.col("root").alias("rb")).join(hub, "bucket")
-        found = found.where((F.col("ra") != F.col("rb")) & fits(F.col("na"), F.col("nb")))
-        pairs = found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+            # All but the largest component of each bucket are compared with every other.
+            pairs = could_link(now, others)
         before = tested.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
         pairs = tmp.save(pairs.join(before, ["a", "b"], "left_anti"), f"pairs{k}")
         tested = tested.unionByName(pairs)

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, language_id, near_dedup, packing, piece_transducer, quality, sharding, substring_dedup, token_counts
+from . import exact_dedup, language_id, license_scan, near_dedup, packing, piece_transducer, quality, sharding, substring_dedup, token_counts
 
 QUERIES = {
+    "op1_license_scan": license_scan.op1_license_scan,
     "op2_sentencepiece": piece_transducer.op2_sentencepiece,
     "op3_language_id": language_id.op3_language_id,
     "op4_exact_dedup": exact_dedup.op4_exact_dedup,
@@ -16,6 +17,7 @@ QUERIES = {
     "op10_packing": packing.op10_packing,
 }
 ORACLES = {
+    "op1_license_scan": license_scan.ORACLE,
     "op4_exact_dedup": exact_dedup.ORACLE,
     "op5_minhash_near_dedup": near_dedup.ORACLE,
     "op7_substring_dedup": substring_dedup.ORACLE,
