@@ -32,6 +32,7 @@ END_ID = 1
 
 #: A word, or the ASCII and Latin-1 letters of one before a stop: the tokenizer splits there in any case.
 _PRE = re.compile(rb"[a-z\xc3\x80-\x96\x98-\xb6\xb8-\xbf]+(?=[.,])|[^\x20\x09-\x0D]+")
+_LETTERS = re.compile(rb"(?:[a-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+")
 
 
 class WordTokenizer:
@@ -39,8 +40,7 @@ class WordTokenizer:
 
     The tokenizer drops white space, lower-cases, and never joins words over white
     space or a letter with a stop, so a text's ids are those of its parts in order.
-    New parts are encoded together, with a digit between them whose id marks the
-    borders; parts with that digit are encoded one by one.
+    New parts of letters alone are encoded as one text, others one by one.
     """
 
     def __init__(self, name: str, folder: str | None = None):
@@ -49,31 +49,37 @@ class WordTokenizer:
         from tokenizers import Tokenizer
 
         self.np, self.lib = np, Tokenizer.from_file(tokenizer_path(name, folder))
-        self.words = Interned(self._encode, limit=500_000)
+        self.words = Interned(self._encode, limit=1_000_000)
         self.flat, self.used = np.empty(1 << 20, np.uint32), 0
-        mark = self.lib.encode("0", add_special_tokens=False).ids
-        self.mark = mark[0] if len(mark) == 1 else None
+        # A part of letters alone is one pre-token, whose last id is one of an end.
+        ends = [i for t, i in self.lib.get_vocab().items() if t.endswith("</w>")]
+        self.is_end = np.zeros(self.lib.get_vocab_size() + 1, bool)
+        self.is_end[ends] = True
+        self.plain = _LETTERS.fullmatch if ends else lambda w: None
 
     def _encode(self, words: list[bytes]):
         np, out = self.np, self.np.empty((len(words), 2), self.np.int64)
         if self.words.values is None:
             self.used = 0
-        plain = [i for i, w in enumerate(words) if b"0" not in w] if self.mark is not None else []
+        plain, rest = [], []
+        for i, w in enumerate(words):
+            (plain if self.plain(w) else rest).append(i)
         for k in range(0, len(plain), 2048):
             part = plain[k : k + 2048]
-            joined = b" 0 ".join([words[i] for i in part]).decode(errors="replace")
+            joined = b" ".join([words[i] for i in part]).decode()
             ids = np.array(self.lib.encode_batch_fast([joined], add_special_tokens=False)[0].ids, np.uint32)
-            border = np.flatnonzero(ids == self.mark)
-            first = np.concatenate([[0], border + 1])
+            after = np.flatnonzero(self.is_end[ids]) + 1
+            first = np.concatenate([[0], after[:-1]])
             out[part, 0] = first + self.used
-            out[part, 1] = np.concatenate([border, [len(ids)]]) - first
+            out[part, 1] = after - first
             self._keep(ids)
-        rest = [i for i, w in enumerate(words) if b"0" in w] if self.mark is not None else list(range(len(words)))
         for k in range(0, len(rest), 2048):
             part = rest[k : k + 2048]
-            for i, e in zip(part, self.lib.encode_batch_fast([words[i].decode(errors="replace") for i in part], add_special_tokens=False), strict=True):
-                out[i] = self.used, len(e.ids)
-                self._keep(np.array(e.ids, np.uint32))
+            got = [e.ids for e in self.lib.encode_batch_fast([words[i].decode(errors="replace") for i in part], add_special_tokens=False)]
+            lens = np.fromiter(map(len, got), np.int64, len(got))
+            out[part, 0] = np.cumsum(lens) - lens + self.used
+            out[part, 1] = lens
+            self._keep(np.array([i for ids in got for i in ids], np.uint32))
         return out
 
     def _keep(self, ids) -> None:
