@@ -1,0 +1,267 @@
+"""Documents from files: text, markdown, PDF and DOCX, read by Spark's binary source."""
+
+from __future__ import annotations
+
+import re
+import zlib
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import text as T
+from ..shipping import ship
+
+FIELDS = "doc_id string, filepath string, text string, size int, format string, error string"
+
+
+def _collapse(text: str) -> str:
+    return " ".join(text.split())
+
+
+# DOCX, with the standard library.
+
+_W = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
+
+
+def _paragraph(p) -> str:
+    out = []
+    for x in p.iter():
+        if x.tag == _W + "t":
+            out.append(x.text or "")
+        elif x.tag == _W + "tab":
+            out.append("\t")
+        elif x.tag in (_W + "br", _W + "cr"):
+            out.append("\n")
+    return "".join(out)
+
+
+def _style(p) -> str:
+    s = p.find(f"{_W}pPr/{_W}pStyle")
+    return "" if s is None else s.get(_W + "val", "")
+
+
+def _table(t) -> str:
+    rows = []
+    for tr in t.findall(_W + "tr"):
+        cells = [_collapse(" ".join(_paragraph(p) for p in tc.iter(_W + "p"))) for tc in tr.findall(_W + "tc")]
+        if (row := " | ".join(cells)).strip():
+            rows.append(row)
+    return "\n".join(rows)
+
+
+def docx_text(content: bytes, headers: bool = True, footers: bool = False, formatting: bool = True) -> str:
+    """Paragraphs and tables in the order of the body; headings as ``# x``; white space collapsed."""
+    import io
+    import zipfile
+    from xml.etree import ElementTree
+
+    try:
+        z = zipfile.ZipFile(io.BytesIO(content))
+        body = ElementTree.fromstring(z.read("word/document.xml")).find(_W + "body")
+    except (zipfile.BadZipFile, KeyError, ElementTree.ParseError) as e:
+        raise ValueError(f"not a DOCX file: {e}") from e
+
+    def side(kind: str) -> list[str]:
+        names = sorted(n for n in z.namelist() if re.fullmatch(rf"word/{kind}\d*\.xml", n))
+        texts = [" ".join(_paragraph(p) for p in ElementTree.fromstring(z.read(n)).iter(_W + "p")).strip() for n in names]
+        return [f"[{kind.upper()}] {t}" for t in texts if t]
+
+    out = side("header") if headers else []
+    for x in body if body is not None else []:
+        if x.tag == _W + "p" and (t := _paragraph(x).strip()):
+            out.append(f"# {t}" if formatting and _style(x).startswith("Heading") else t)
+        elif x.tag == _W + "tbl" and (t := _table(x)):
+            out.append(f"[TABLE] {t}" if formatting else t)
+    return _collapse("\n".join(out + (side("footer") if footers else [])))
+
+
+def docx_metadata(content: bytes) -> dict[str, str]:
+    import io
+    import zipfile
+    from xml.etree import ElementTree
+
+    z = zipfile.ZipFile(io.BytesIO(content))
+    if "docProps/core.xml" not in z.namelist():
+        return {}
+    return {x.tag.rpartition("}")[2]: x.text for x in ElementTree.fromstring(z.read("docProps/core.xml")) if x.text}
+
+
+# PDF: plain text operators of simple files; a full library can be plugged in.
+
+_STRING = rb"\((?:\\.|[^\\()])*\)"
+_SHOWN = re.compile(rb"(" + _STRING + rb")\s*(?:Tj|'|\")|\[((?:\s*(?:" + _STRING + rb"|<[0-9A-Fa-f\s]*>|[-+.\d]+)\s*)*)\]\s*TJ|(?:T\*|Td|TD|Tm|ET)\b", re.S)
+
+
+def _pdf_string(s: bytes) -> str:
+    body = re.sub(rb"\\([0-7]{1,3})", lambda m: bytes([int(m[1], 8) & 255]), s[1:-1])
+    body = re.sub(rb"\\(.)", lambda m: {b"n": b"\n", b"r": b"\r", b"t": b"\t"}.get(m[1], m[1]), body, flags=re.S)
+    return body.decode("latin-1")
+
+
+def _pdf_page(stream: bytes) -> str:
+    out = []
+    for m in _SHOWN.finditer(stream):
+        if m[1] is not None:
+            out.append(_pdf_string(m[1]))
+        elif m[2] is not None:
+            out.append("".join(_pdf_string(s) for s in re.findall(_STRING, m[2], re.S)))
+        else:
+            out.append(" ")
+    return "".join(out)
+
+
+def _pdf_objects(content: bytes) -> dict[int, bytes]:
+    if not content.startswith(b"%PDF"):
+        raise ValueError("not a PDF file")
+    if re.search(rb"/Encrypt\b", content):
+        raise ValueError("the PDF is encrypted")
+    return {int(m[1]): m[2] for m in re.finditer(rb"(\d+)\s+\d+\s+obj\b(.*?)\bendobj", content, re.S)}
+
+
+def _pdf_stream(body: bytes) -> bytes:
+    m = re.search(rb"stream\r?\n(.*?)\r?\n?endstream", body, re.S)
+    if not m:
+        return b""
+    if b"/FlateDecode" in body:
+        try:
+            return zlib.decompress(m[1])
+        except zlib.error as e:
+            raise ValueError(f"broken stream: {e}") from e
+    return m[1]
+
+
+def pdf_text(content: bytes) -> str:
+    """Pages as ``--- Page n --- text``, without empty ones; white space collapsed.
+
+    Reads the text operators of unencrypted files with simple fonts. For others give
+    :func:`extract` a PDF function of your own.
+    """
+    objects = _pdf_objects(content)
+    pages = [b for _, b in sorted(objects.items()) if re.search(rb"/Type\s*/Page\b", b)]
+    out = []
+    for n, body in enumerate(pages, 1):
+        refs = re.search(rb"/Contents\s*(\[[^\]]*\]|\d+\s+\d+\s+R)", body)
+        ids = [int(x) for x in re.findall(rb"(\d+)\s+\d+\s+R", refs[1])] if refs else []
+        text = _collapse(" ".join(_pdf_page(_pdf_stream(objects.get(i, b""))) for i in ids))
+        if text:
+            out.append(f"--- Page {n} --- {text}")
+    return " ".join(out)
+
+
+def pdf_metadata(content: bytes) -> dict[str, str]:
+    objects = _pdf_objects(content)
+    info = re.search(rb"/Info\s+(\d+)\s+\d+\s+R", content)
+    body = objects.get(int(info[1]), b"") if info else b""
+    return {m[1].decode(): _pdf_string(m[2]) for m in re.finditer(rb"/(Title|Author|Subject|Keywords|Creator|Producer|CreationDate|ModDate)\s*(" + _STRING + rb")", body, re.S)}
+
+
+def extract(files: DataFrame, pdf: Callable[[bytes], str] = pdf_text, docx: Callable[[bytes], str] = docx_text) -> DataFrame:
+    """``doc_id, filepath, text, size, format, error`` of a binaryFile table; a file that fails has a null text and the reason.
+
+    Text and markdown stay in the JVM; only PDF and DOCX go through Python.
+    """
+    ship(files.sparkSession)
+    rows = files.select(F.col("path").alias("filepath"), T.detect_format("path").alias("format"), "content")
+    decoded = F.try_validate_utf8(F.col("content").cast("string"))
+    plain = rows.where(F.col("format").isin("txt", "markdown"))
+    text = F.when(F.col("format") == "markdown", T.markdown_to_text(decoded)).otherwise(F.regexp_replace(decoded, r"(?U)^[\s\x1c-\x1f]+|[\s\x1c-\x1f]+$", ""))
+    plain = plain.select("filepath", "format", text.alias("text"), F.when(decoded.isNull(), "not UTF-8").alias("error"))
+
+    def work(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            texts, errors = [], []
+            for kind, content in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
+                try:
+                    texts.append((pdf if kind == "pdf" else docx)(content).strip())
+                    errors.append(None)
+                except Exception as e:  # a bad file is a row with its reason
+                    texts.append(None)
+                    errors.append(f"{type(e).__name__}: {e}")
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array(errors, pa.string())], ["filepath", "format", "text", "error"])
+
+    other = rows.where(F.col("format").isin("pdf", "docx")).mapInArrow(work, "filepath string, format string, text string, error string")
+    unknown = rows.where(F.col("format").isNull()).select("filepath", "format", F.lit(None).cast("string").alias("text"), F.lit("unsupported format").alias("error"))
+    done = plain.unionByName(other).unionByName(unknown)
+    return done.select(T.document_id("filepath").alias("doc_id"), "filepath", "text", F.length("text").alias("size"), "format", "error")
+
+
+def _suffix_filter(formats: tuple[str, ...]):
+    known = [s for s, f in T.FORMATS.items() if f in formats]
+    return T.suffix("path").isin(known)
+
+
+def scan_directory(spark: SparkSession, path: str, formats: tuple[str, ...] = ("txt",), recursive: bool = False, **extractors) -> DataFrame:
+    """All documents below a folder, failed ones with their reason (see :func:`loaded`); a missing folder is empty."""
+    jvm = spark._jvm
+    at = jvm.org.apache.hadoop.fs.Path(path)
+    fs = at.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not fs.exists(at) or not fs.getFileStatus(at).isDirectory():
+        return spark.createDataFrame([], FIELDS)
+    read = spark.read.format("binaryFile").option("recursiveFileLookup", str(recursive).lower())
+    return extract(read.load(path).where(_suffix_filter(formats)), **extractors)
+
+
+def load_document(spark: SparkSession, path: str, **extractors) -> DataFrame:
+    return extract(spark.read.format("binaryFile").load(path), **extractors)
+
+
+def loaded(documents: DataFrame) -> DataFrame:
+    """Documents that could be read, in order of their path."""
+    return documents.where("error is null").drop("error")
+
+
+def stream_directory(spark: SparkSession, path: str, formats: tuple[str, ...] = ("txt",), max_files: int = 1000) -> DataFrame:
+    """New files of a folder as a stream of ``path, content``."""
+    schema = "path string, modificationTime timestamp, length long, content binary"
+    read = spark.readStream.format("binaryFile").schema(schema).option("maxFilesPerTrigger", max_files).option("recursiveFileLookup", "true")
+    return read.load(path).where(_suffix_filter(formats))
+
+
+# Sample files.
+
+
+def sample_pdf(pages: list[str]) -> bytes:
+    """A small PDF with one line of text a page."""
+    objects = [b"<< /Type /Catalog /Pages 2 0 R >>", b"<< /Type /Pages /Kids [" + b" ".join(b"%d 0 R" % (4 + 2 * i) for i in range(len(pages))) + b"] /Count %d >>" % len(pages), b"<< /Type /Font /Subtype /Type1 /BaseFont /Helvetica >>"]
+    for i, text in enumerate(pages):
+        shown = text.encode("latin-1", "replace").replace(b"\\", b"\\\\").replace(b"(", b"\\(").replace(b")", b"\\)")
+        stream = zlib.compress(b"BT /F1 12 Tf 72 720 Td (" + shown + b") Tj ET") if text else zlib.compress(b"")
+        objects.append(b"<< /Type /Page /Parent 2 0 R /MediaBox [0 0 612 792] /Resources << /Font << /F1 3 0 R >> >> /Contents %d 0 R >>" % (5 + 2 * i))
+        objects.append(b"<< /Length %d /Filter /FlateDecode >>\nstream\n" % len(stream) + stream + b"\nendstream")
+    objects.append(b"<< /Title (Sample) /Author (corvane) >>")
+    out, places = bytearray(b"%PDF-1.4\n"), []
+    for i, o in enumerate(objects, 1):
+        places.append(len(out))
+        out += b"%d 0 obj\n" % i + o + b"\nendobj\n"
+    start = len(out)
+    out += b"xref\n0 %d\n0000000000 65535 f \n" % (len(objects) + 1) + b"".join(b"%010d 00000 n \n" % p for p in places)
+    out += b"trailer\n<< /Size %d /Root 1 0 R /Info %d 0 R >>\nstartxref\n%d\n%%%%EOF\n" % (len(objects) + 1, len(objects), start)
+    return bytes(out)
+
+
+def sample_docx(parts: list) -> bytes:
+    """A small DOCX; parts are (style, text) paragraphs or lists of rows of cells."""
+    import io
+    import zipfile
+    from xml.sax.saxutils import escape
+
+    def paragraph(text: str, style: str = "") -> str:
+        look = f'<w:pPr><w:pStyle w:val="{style}"/></w:pPr>' if style else ""
+        return f'<w:p>{look}<w:r><w:t xml:space="preserve">{escape(text)}</w:t></w:r></w:p>'
+
+    body = []
+    for p in parts:
+        if isinstance(p, tuple):
+            body.append(paragraph(p[1], p[0]))
+        else:
+            body.append("<w:tbl>" + "".join("<w:tr>" + "".join(f"<w:tc>{paragraph(c)}</w:tc>" for c in row) + "</w:tr>" for row in p) + "</w:tbl>")
+    document = f'<?xml version="1.0" encoding="UTF-8"?><w:document xmlns:w="{_W[1:-1]}"><w:body>{"".join(body)}</w:body></w:document>'
+    core = '<?xml version="1.0" encoding="UTF-8"?><cp:coreProperties xmlns:cp="http://schemas.openxmlformats.org/package/2006/metadata/core-properties" xmlns:dc="http://purl.org/dc/elements/1.1/"><dc:title>Sample</dc:title><dc:creator/></cp:coreProperties>'
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
+        z.writestr("word/document.xml", document)
+        z.writestr("docProps/core.xml", core)
+    return out.getvalue()
