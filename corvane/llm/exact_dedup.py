@@ -112,7 +112,8 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """
     rows, tmp = text_identities(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), block=block, hash_bits=hash_bits)
     rows = tmp.save(rows, "rows")
-    groups = rows.groupBy("level", "name").agg(F.max("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
+    # Stored, so that both sides of the join are shuffled and a hot group's can be split.
+    groups = tmp.save(rows.groupBy("level", "name").agg(F.max("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size")), "groups")
     # Among repeated rows of the kept id, the first stays.
     first = rows.join(groups, ["level", "name"])
     repeated = rows.groupBy("doc_id", "level", "name").agg(F.min("rid").alias("first_rid"), F.count(F.lit(1)).alias("times")).where("times > 1")
