@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..shipping import ship
-from .common import Interned, slices
+from .common import Interned, Scratch, slices
 
 #: About so many rows (at most about twice) are read for the references.
 SAMPLE_ROWS = 4000
@@ -74,23 +74,20 @@ def language_references(docs: DataFrame, text_col: str = "text", lang_col: str =
     rows = rows.where("lang is not null and text is not null")
     every = max(1, docs.count() // sample_rows)
     counts = rows.where(F.pmod("h", F.lit(every)) == 0).select("lang", "text").mapInArrow(_counts_of, "lang string, key string, n bigint")
-    counts = counts.groupBy("lang", "key").agg(F.sum("n").alias("n"))
-    words = F.col("key").startswith("w")
-    by_lang = Window.partitionBy("lang", words)
-    top = (
-        counts.withColumn("all", F.sum("n").over(by_lang))
-        .withColumn("r", F.row_number().over(by_lang.orderBy(F.desc("n"), "key")))
-        .where(F.col("r") <= COMMON_WORDS).where(~words | (F.col("key") != "w"))
-    )
+    counts = Scratch(docs.sparkSession, "references").save(counts.groupBy("lang", "key").agg(F.sum("n").alias("n")), "counts")
+    word = F.col("key").startswith("w")
+    total = {(r["lang"], r["word"]): r["n"] for r in counts.groupBy("lang", word.alias("word")).agg(F.sum("n").alias("n")).collect()}
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "key"))
+    top = counts.where(word & (F.col("key") != "w")).withColumn("r", rank).where(F.col("r") <= COMMON_WORDS).drop("r")
     found: dict[str, dict] = {}
-    for r in top.collect():
-        x = found.setdefault(r["lang"], {"char": [0.0] * 8, "word": {}})
+    for r in top.unionByName(counts.where(~word)).collect():
+        x = found.setdefault(r["lang"], {"char": [0.0] * 8, "word": {}, "words": total.get((r["lang"], True), 0)})
+        share = r["n"] / max(1, total[r["lang"], r["key"][0] == "w"])
         if r["key"][0] == "c":
-            x["char"][int(r["key"][1:])] = r["n"] / max(1, r["all"])
+            x["char"][int(r["key"][1:])] = share
         else:
-            x["word"][r["key"][1:]] = r["n"] / r["all"]
-            x["words"] = r["all"]
-    most = sorted(found, key=lambda k: (-found[k].get("words", 0), k))[:MOST_LANGUAGES]
+            x["word"][r["key"][1:]] = share
+    most = sorted(found, key=lambda k: (-found[k]["words"], k))[:MOST_LANGUAGES]
     return json.dumps({k: {n: found[k][n] for n in ("char", "word")} for k in sorted(most)}, sort_keys=True)
 
 
