@@ -257,14 +257,17 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         met = first.join(x, "item").where(can)
         return met.select(F.least("a", "rid").alias("a"), F.greatest("a", "rid").alias("b")).distinct()
 
-    def with_hub(rows: DataFrame, choice: DataFrame) -> DataFrame:
-        """``rows`` beside the hub (a, na, ra) of their bucket: the most central row of ``choice``."""
-        top = choice.groupBy("bucket").agg(F.max("order").alias("order"))
+    def with_hub(rows: DataFrame, choice: DataFrame, name: str) -> DataFrame:
+        """``rows`` beside the hub (a, na, ra) of their bucket: the most central row of ``choice``.
+
+        What is joined is stored first, so that both sides are shuffled and a hot bucket can be split.
+        """
+        top = tmp.save(choice.groupBy("bucket").agg(F.max("order").alias("order")), f"{name}_top")
         hub = choice.join(top, ["bucket", "order"]).select("bucket", F.col("rid").alias("a"), F.col("n").alias("na"), F.col("root").alias("ra"))
-        return rows.join(hub, "bucket")
+        return rows.join(tmp.save(hub, f"{name}_hubs"), "bucket")
 
     own = member.withColumn("root", F.col("rid"))
-    pairs = with_hub(own, own).where((F.col("rid") != F.col("a")) & fits(F.col("n"), F.col("na")))
+    pairs = with_hub(own, own, "first").where((F.col("rid") != F.col("a")) & fits(F.col("n"), F.col("na")))
     pairs = pairs.select("a", F.col("rid").alias("b")).distinct()
     tested = tmp.save(pairs, "pairs0")
     labels = components(links(tested, "links0"), tmp, "c0")
@@ -274,6 +277,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         # Buckets of two have had their only pair compared.
         now = member.where("size > 2").join(at, "rid", "left").withColumn("root", F.coalesce("root", "rid"))
         open_ = now.groupBy("bucket").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 != r1").select("bucket")
+        open_ = tmp.save(open_, f"apart{k}")
         now = now.join(open_, "bucket", "left_semi")
         if k == 1:
             now = now.where(F.col("size") > LARGE_BUCKET)
@@ -282,9 +286,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             continue
         held = now.groupBy("bucket", "root").agg(F.count(F.lit(1)).alias("c"))
         most = held.groupBy("bucket").agg(F.max("c").alias("c")).join(held, ["bucket", "c"]).groupBy("bucket").agg(F.min("root").alias("most"))
+        most = tmp.save(most, f"most{k}")
         others = tmp.save(now.join(most, "bucket").where("root != most").drop("most"), f"others{k}")
         if k == 1:
-            met = with_hub(now, others).where((F.col("root") != F.col("ra")) & fits(F.col("n"), F.col("na")))
+            met = with_hub(now, others, "second").where((F.col("root") != F.col("ra")) & fits(F.col("n"), F.col("na")))
             pairs = met.select(F.least("a", "rid").alias("a"), F.greatest("a", "rid").alias("b")).distinct()
         else:
             # All but the largest component of each bucket are compared with every other.
