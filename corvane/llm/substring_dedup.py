@@ -96,13 +96,14 @@ def _segments(window: int):
 
         cut = Segmenter(window)
         for batch in slices(batches):
-            cols = [[], [], [], [], []]
-            for rid, text in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()).to_pylist(), strict=True):
+            cols = [[] for _ in range(6)]
+            for rid, rid2, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).cast(pa.binary()).to_pylist(), strict=True):
                 if (got := cut((text or b"").split())) is not None:
-                    for c, x in zip(cols, (np.full(len(got[0]), rid, np.int64), got[0].astype(np.int32), got[1].astype(np.int32), got[2], got[3]), strict=True):
+                    n = len(got[0])
+                    for c, x in zip(cols, (np.full(n, rid, np.int64), np.full(n, rid2, np.int64), got[0].astype(np.int32), got[1].astype(np.int32), got[2], got[3]), strict=True):
                         c.append(x)
             if cols[0]:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in cols], ["rid", "start", "windows", "anchor", "digest"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in cols], ["rid", "rid2", "start", "windows", "anchor", "digest"])
 
     return work
 
@@ -122,7 +123,9 @@ def _texts(window: int):
             for text, wanted in zip(batch.column(0).cast(pa.binary()).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 words = (text or b"").split()
                 want = {(x["anchor"], x["digest"]): (x["times"], x["crowded"]) for x in wanted}
-                starts, runs, anchors, digests, digest = cut(words)
+                if (got := cut(words)) is None:
+                    continue
+                starts, runs, anchors, digests, digest = got
                 for s, n, a, d in zip(starts.tolist(), runs.tolist(), anchors.tolist(), digests.tolist(), strict=True):
                     if (found := want.pop((a, d), None)) is None:
                         continue
@@ -328,13 +331,13 @@ def _shards(window: int):
     return work
 
 
-def _source(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+def _keys(id_col: str, text_col: str) -> list:
     # A row's key follows from its content, so that it is the same in every reading of the input.
-    return docs.select(F.xxhash64(id_col, text_col).alias("rid"), F.col(text_col).alias("text"))
+    return [F.xxhash64(id_col, text_col).alias("rid"), F.xxhash64(text_col, id_col).alias("rid2")]
 
 
 def repeated_spans(docs: DataFrame, window: int = 50, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(rid, spans): word ranges to remove, for each document that has any; ``rid`` is ``xxhash64(id, text)``.
+    """(rid, rid2, spans): word ranges to remove, for each document that has any, by the hashes of :func:`_keys`.
 
     Spans may overlap. Null, empty and short texts have none. Repeated rows count as
     places of their own, so a row that comes twice is a repeat; an empty table gives
@@ -343,8 +346,8 @@ def repeated_spans(docs: DataFrame, window: int = 50, id_col: str = "doc_id", te
     spark = docs.sparkSession
     ship(spark)
     tmp = Scratch(spark, "substring")
-    source = _source(docs, id_col, text_col)
-    every = tmp.save(source.mapInArrow(_segments(window), "rid long, start int, windows int, anchor long, digest long"), "segments")
+    source = docs.select(*_keys(id_col, text_col), F.col(text_col).alias("text"))
+    every = tmp.save(source.mapInArrow(_segments(window), "rid long, rid2 long, start int, windows int, anchor long, digest long"), "segments")
     twice = tmp.save(every.groupBy("anchor").count().where("count > 1").select("anchor"), "anchors")
     every = tmp.save(every.join(twice, "anchor", "left_semi"), "repeated")
     tmp.drop("segments", "anchors")
@@ -367,8 +370,8 @@ def repeated_spans(docs: DataFrame, window: int = 50, id_col: str = "doc_id", te
     hits = found.where("not crowded").select(F.col("s1").alias("anchor"), F.col("s2").alias("digest"), "w0", "w1")
     hits = tmp.save(hits.unionByName(of_windows.select("anchor", "digest", F.col("at").alias("w0"), (F.col("at") + 1).alias("w1"))), "hits")
     tmp.drop("texts")
-    placed = every.join(hits, ["anchor", "digest"]).select("rid", (F.col("start") + F.col("w0")).alias("a"), (F.col("start") + F.col("w1") + (window - 1)).alias("b"))
-    return tmp.save(placed.groupBy("rid").agg(F.collect_list(F.struct("a", "b")).alias("spans")), "spans")
+    placed = every.join(hits, ["anchor", "digest"]).select("rid", "rid2", (F.col("start") + F.col("w0")).alias("a"), (F.col("start") + F.col("w1") + (window - 1)).alias("b"))
+    return tmp.save(placed.groupBy("rid", "rid2").agg(F.collect_list(F.struct("a", "b")).alias("spans")), "spans")
 
 
 def _covered(n: int, spans):
@@ -398,7 +401,9 @@ def _cut(data: bytes, gone) -> bytes:
 def remove_repeats(docs: DataFrame, window: int = 50, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with the repeated words cut out of the text; null stays null, other columns stay as they were."""
     spans = repeated_spans(docs, window, id_col, text_col)
-    rows = docs.withColumn("_rid", F.xxhash64(id_col, text_col)).join(spans.withColumnRenamed("rid", "_rid").withColumnRenamed("spans", "_spans"), "_rid", "left").select(*docs.columns, "_spans")
+    key = {"rid": "__corvane_rid", "rid2": "__corvane_rid2", "spans": "__corvane_spans"}
+    keyed = docs.select("*", *[c.alias(key[n]) for n, c in zip(("rid", "rid2"), _keys(id_col, text_col), strict=True)])
+    rows = keyed.join(spans.withColumnsRenamed(key), ["__corvane_rid", "__corvane_rid2"], "left").select(*docs.columns, "__corvane_spans")
     names = list(docs.columns)
     at, width = names.index(text_col), len(names)
 
@@ -420,7 +425,7 @@ def removal_rows(docs: DataFrame, window: int = 50, id_col: str = "doc_id", text
     """One row per input row: ``id, n_words, n_removed, kept_sha256`` (of the kept words joined by one space)."""
     kind = docs.schema[id_col].dataType.simpleString()
     spans = repeated_spans(docs, window, id_col, text_col)
-    rows = docs.select(id_col, F.col(text_col).alias("text"), F.xxhash64(id_col, text_col).alias("rid")).join(spans, "rid", "left").select(id_col, "text", "spans")
+    rows = docs.select(id_col, F.col(text_col).alias("text"), *_keys(id_col, text_col)).join(spans, ["rid", "rid2"], "left").select(id_col, "text", "spans")
 
     def work(batches):
         import hashlib
