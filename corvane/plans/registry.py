@@ -98,13 +98,13 @@ def knn_cosine_topk(spark, sf_dir):
 @query(_topk(_DOT, "-score", 10))
 def knn_dot_topk(spark, sf_dir):
     v = vectors(spark, sf_dir)
-    return _rounded(knn.knn_join(asked(v), v, 10, "dot", strategy="expression"))
+    return _rounded(knn.knn_join(asked(v), v, 10, "dot"))
 
 
 @query(_topk(f"-{_L2}", "-score", 10))
 def knn_euclidean_topk(spark, sf_dir):
     v = vectors(spark, sf_dir)
-    return _rounded(knn.knn_join(asked(v), v, 10, "euclidean", strategy="expression"))
+    return _rounded(knn.knn_join(asked(v), v, 10, "euclidean"))
 
 
 @query(_topk(_COS, "1 - score", 7))
@@ -460,6 +460,19 @@ def cache_key(spark, sf_dir):
     return d.select("doc_id", T.cache_key(F.concat(F.lit("  What Is "), "doc_id", F.lit(" ")), F.lit("main"), F.lit(5), model, F.lit(0.7), F.lit("qa")).alias("key"))
 
 
+@query(f"WITH {_CONF} SELECT query_id, CASE WHEN c < 0.5 THEN 'Low' WHEN c < 0.75 THEN 'Medium' ELSE 'High' END AS level, CASE WHEN c < 0.5 THEN 'poorly' WHEN c < 0.75 THEN 'in part' ELSE 'well' END AS how FROM conf")
+def confidence_explanation(spark, sf_dir):
+    c = context.confidence(top5(spark, sf_dir)).withColumn("x", A.confidence_explanation("confidence", F.lit(5)))
+    return c.select("query_id", F.regexp_extract("x", r"^(\w+) confidence", 1).alias("level"), F.regexp_extract("x", "(poorly|in part|well)", 1).alias("how"))
+
+
+@query("SELECT vec_id % 100 AS node_id, count(*) AS n, min(vec_id) AS first FROM embeddings WHERE vec_id < 150 GROUP BY ALL HAVING count(*) > 1")
+def store_append(spark, sf_dir):
+    e = table(spark, sf_dir, "embeddings").where("vec_id < 150").select((F.col("vec_id") % 100).alias("node_id"), "vec_id")
+    both = e.where("vec_id < 100").unionByName(e.where("vec_id >= 100"))
+    return both.groupBy("node_id").agg(F.count(F.lit(1)).alias("n"), F.min("vec_id").alias("first")).where("n > 1")
+
+
 # Conversations.
 
 _CONV = """m AS (SELECT *, (row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1) // 2 AS pair, length(text) // 4 AS tok FROM conversations),
