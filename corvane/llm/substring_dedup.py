@@ -34,14 +34,17 @@ ANCHOR_WORDS, CROWDED, SHARD_WORDS = 8, 64, 1 << 19
 _BASE = 0x9E3779B97F4A7C15
 
 
+def check_window(window: int) -> None:
+    if not ANCHOR_WORDS < window < FMIndex.DEPTH:
+        raise ValueError(f"the window must be above {ANCHOR_WORDS} and below {FMIndex.DEPTH} words")
+
+
 class Segmenter:
     """Segments of whole texts and hashes of word runs."""
 
     def __init__(self, window: int):
         import numpy as np
 
-        if not ANCHOR_WORDS < window <= 63:
-            raise ValueError(f"the window must be above {ANCHOR_WORDS} and at most 63 words")
         self.window, self.hashes = window, Interned(word_hashes)
         self.power = self.inverse = np.ones(1, np.uint64)
 
@@ -343,6 +346,7 @@ def repeated_spans(docs: DataFrame, window: int = 50, id_col: str = "doc_id", te
     places of their own, so a row that comes twice is a repeat; an empty table gives
     an empty result.
     """
+    check_window(window)
     spark = docs.sparkSession
     ship(spark)
     tmp = Scratch(spark, "substring")
