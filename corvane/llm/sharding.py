@@ -57,15 +57,17 @@ class SlotMap:
                 held[s].append(slot)
             else:
                 free.append(slot)
-        high = (1 + tolerance) * sum(weights) / shards
+        mean = sum(weights) / shards
+        gave = set()
         for s in range(shards):
             for slot in sorted(held[s], key=lambda i: (-weights[i], i)):
-                if load[s] <= high:
+                if load[s] <= (1 + tolerance) * mean:
                     break
-                if weights[slot] and load[s] - weights[slot] >= high / (1 + tolerance) * (1 - tolerance):
+                if weights[slot] and load[s] - weights[slot] >= mean:
                     load[s] -= weights[slot]
                     free.append(slot)
-        heap = [(w, s) for s, w in enumerate(load)]
+                    gave.add(s)
+        heap = [(w, s) for s, w in enumerate(load) if s not in gave]
         heapq.heapify(heap)
         for slot in sorted(free, key=lambda i: (-weights[i], i)):
             w, s = heapq.heappop(heap)
