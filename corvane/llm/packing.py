@@ -30,17 +30,19 @@ BUFFER_IDS, GROUP_IDS = 1 << 20, 32 * 2048
 END_ID = 1
 
 
-#: A word, or the ASCII and Latin-1 letters of one before a stop: the tokenizer splits there in any case.
-_PRE = re.compile(rb"[a-z\xc3\x80-\x96\x98-\xb6\xb8-\xbf]+(?=[.,])|[^\x20\x09-\x0D]+")
-_LETTERS = re.compile(rb"(?:[a-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+")
+#: ASCII and Latin-1 letters, with or without one stop behind them: the tokenizer splits there in any case.
+_LETTERS = re.compile(rb"((?:[a-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+)([.,]?)")
 
 
 class WordTokenizer:
     """Ids of whole texts by the ``tokenizers`` library, which sees each distinct word once in a while.
 
     The tokenizer drops white space, lower-cases, and never joins words over white
-    space or a letter with a stop, so a text's ids are those of its parts in order.
-    New parts of letters alone are encoded as one text, others one by one.
+    space or a letter with a stop, so a text's ids are those of its words in order.
+    Words are split at ASCII white space only; anything else is left to the library.
+    New words of letters are encoded as one text, and their ends are known by their
+    ids; one with a stop behind known letters takes the ids of both. Other words are
+    encoded one by one.
     """
 
     def __init__(self, name: str, folder: str | None = None):
@@ -51,24 +53,42 @@ class WordTokenizer:
         self.np, self.lib = np, Tokenizer.from_file(tokenizer_path(name, folder))
         self.words = Interned(self._encode, limit=1_000_000)
         self.flat, self.used = np.empty(1 << 20, np.uint32), 0
-        # A part of letters alone is one pre-token, whose last id is one of an end.
+        # Letters are one pre-token and a stop is one, and the last id of each is one of an end.
         ends = [i for t, i in self.lib.get_vocab().items() if t.endswith("</w>")]
         self.is_end = np.zeros(self.lib.get_vocab_size() + 1, bool)
         self.is_end[ends] = True
         self.plain = _LETTERS.fullmatch if ends else lambda w: None
+        self.stop = {c: np.array(self.lib.encode(c.decode(), add_special_tokens=False).ids, np.uint32) for c in (b".", b",")}
 
     def _encode(self, words: list[bytes]):
         np, out = self.np, self.np.empty((len(words), 2), self.np.int64)
         if self.words.values is None:
             self.used = 0
-        plain, rest = [], []
+        known, number, done = self.words.values, self.words.get, 0 if self.words.values is None else len(self.words.values)
+        plain, ends, rest, parts = [], [], [], []
+        used = self.used
         for i, w in enumerate(words):
-            (plain if self.plain(w) else rest).append(i)
+            m = self.plain(w)
+            if m is None:
+                rest.append(i)
+                continue
+            letters, stop = m.groups()
+            if stop and (n := number(letters)) is not None and n < done:
+                start, size = known[n].tolist()
+                parts += [self.flat[start : start + size], self.stop[stop]]
+                size += len(self.stop[stop])
+                out[i] = used, size
+                used += size
+                continue
+            plain.append(i)
+            ends.append(2 if stop else 1)
+        if parts:
+            self._keep(np.concatenate(parts))
         for k in range(0, len(plain), 2048):
             part = plain[k : k + 2048]
             joined = b" ".join([words[i] for i in part]).decode()
             ids = np.array(self.lib.encode_batch_fast([joined], add_special_tokens=False)[0].ids, np.uint32)
-            after = np.flatnonzero(self.is_end[ids]) + 1
+            after = (np.flatnonzero(self.is_end[ids]) + 1)[np.cumsum(ends[k : k + 2048]) - 1]
             first = np.concatenate([[0], after[:-1]])
             out[part, 0] = first + self.used
             out[part, 1] = after - first
@@ -95,7 +115,7 @@ class WordTokenizer:
         np, every, counts = self.np, [], []
         for t in texts:
             # A special string is only one in lower case, so a text that may hold one keeps its case.
-            words = _PRE.findall(t if b"<|" in t else t.lower()) if t else []
+            words = (t if b"<|" in t else t.lower()).split() if t else []
             every += words
             counts.append(len(words))
         numbers = self.words.index(every)
