@@ -118,7 +118,7 @@ class Graph:
             for layer in range(min(level, top), -1, -1):
                 at = self._beam(q, at, layer, self.ef_construction)
                 most = 2 * self.m if layer == 0 else self.m
-                chosen = self._diverse(at, self.m)
+                chosen = self._diverse(at, most)
                 self.links[layer][node] = chosen
                 for n in chosen:
                     theirs = self.links[layer].setdefault(n, [])
@@ -202,15 +202,21 @@ def build_hnsw(vectors: DataFrame, metric: str = "cosine", m: int = 16, ef_const
     return rows.groupBy("shard").applyInArrow(build, _GRAPHS.format(id=kind))
 
 
-def search_hnsw(graphs: DataFrame, queries: DataFrame, k: int = 5, ef_search: int = 50, metric: str = "cosine", query_id: str = "query_id", query_vector: str = "embedding") -> DataFrame:
-    """``query_id, rank, node_id, score, distance``; an empty index gives an empty result."""
-    if k <= 0:
-        raise ValueError("k must be positive")
+def search_hnsw(graphs: DataFrame, queries: DataFrame, k: int = 5, ef_search: int = 50, metric: str = "cosine", query_id: str = "query_id", query_vector: str = "embedding", blocks: int = 1) -> DataFrame:
+    """``query_id, rank, node_id, score, distance``; an empty index gives an empty result.
+
+    With fewer shards than cores, ``blocks`` copies of each graph share its queries.
+    """
+    if k <= 0 or blocks <= 0:
+        raise ValueError("k and blocks must be positive")
     spark = graphs.sparkSession
     ship(spark)
     q = queries.select(F.col(query_id).alias("query_id"), F.col(query_vector).alias("qv"))
     kind = graphs.schema["ids"].dataType.elementType.simpleString()
     schema = f"query_id {q.schema['query_id'].dataType.simpleString()}, node_id {kind}, distance double"
+    dealt = graphs.select("ids", "vectors", "levels", "layer", "src", "dst", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"), "shard")
+    if blocks > 1:
+        dealt = dealt.repartition("shard", "block")
     found = None
     for ids, matrix in _query_blocks(q):
         shared = spark.sparkContext.broadcast((ids, matrix))
@@ -225,10 +231,11 @@ def search_hnsw(graphs: DataFrame, queries: DataFrame, k: int = 5, ef_search: in
                     one = {n: batch.column(n)[r].values.to_numpy(zero_copy_only=False) for n in ("vectors", "levels", "layer", "src", "dst")}
                     nodes = batch.column("ids")[r].as_py()
                     g = Graph.restore(one["vectors"].astype(np.float64).reshape(len(nodes), -1), *(one[n].tolist() for n in ("levels", "layer", "src", "dst")), metric=metric, ef_search=ef_search)
-                    hits = [(name, nodes[n], d) for name, v in zip(names, rows, strict=True) for d, n in g.search(v, k, ef_search)]
+                    own = range(batch.column("block")[r].as_py(), len(names), blocks)
+                    hits = [(names[i], nodes[n], d) for i in own for d, n in g.search(rows[i], k, ef_search)]
                     yield pa.RecordBatch.from_arrays([pa.array([h[0] for h in hits]), pa.array([h[1] for h in hits], batch.column("ids").type.value_type), pa.array([h[2] for h in hits], pa.float64())], ["query_id", "node_id", "distance"])
 
-        part = graphs.select("ids", "vectors", "levels", "layer", "src", "dst").mapInArrow(work, schema)
+        part = dealt.mapInArrow(work, schema)
         found = part if found is None else found.unionByName(part)
     found = spark.createDataFrame([], schema) if found is None else found
     best = top_k(found.withColumn("score", V.distance_to_score("distance", metric)), k)
@@ -259,15 +266,15 @@ def hnsw_statistics(graphs: DataFrame) -> DataFrame:
 class HNSWIndex:
     """A sharded index with its parameters, which a saved index keeps."""
 
-    def __init__(self, graphs: DataFrame, metric: str, ef_search: int = 50, m: int = 16, ef_construction: int = 200):
-        self.graphs, self.metric, self.ef_search, self.m, self.ef_construction = graphs, metric, ef_search, m, ef_construction
+    def __init__(self, graphs: DataFrame, metric: str, ef_search: int = 50, m: int = 16, ef_construction: int = 200, blocks: int = 1):
+        self.graphs, self.metric, self.ef_search, self.m, self.ef_construction, self.blocks = graphs, metric, ef_search, m, ef_construction, blocks
 
     @staticmethod
     def build(vectors: DataFrame, metric: str = "cosine", m: int = 16, ef_construction: int = 200, ef_search: int = 50, **options) -> HNSWIndex:
         return HNSWIndex(build_hnsw(vectors, metric, m, ef_construction, **options), metric, ef_search, m, ef_construction)
 
     def search(self, queries: DataFrame, k: int = 5, ef_search: int | None = None, **options) -> DataFrame:
-        return search_hnsw(self.graphs, queries, k, ef_search or self.ef_search, self.metric, **options)
+        return search_hnsw(self.graphs, queries, k, ef_search or self.ef_search, self.metric, **({"blocks": self.blocks} | options))
 
     def statistics(self) -> DataFrame:
         return hnsw_statistics(self.graphs)
