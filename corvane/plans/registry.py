@@ -524,6 +524,16 @@ def page_names(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", T.document_id("url").alias("name"), F.length("html").alias("chars"))
 
 
+_PAGE = r"regexp_replace(regexp_replace(html, '(?is)<script\b.*?</script>|<style\b.*?</style>', ' ', 'g'), '(?s)<[^>]+>', ' ', 'g')"
+for _a, _b in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "''"), ("&nbsp;", " "), ("&amp;", "&")):
+    _PAGE = f"replace({_PAGE}, '{_a}', '{_b}')"
+
+
+@query(f"SELECT page_id, trim(regexp_replace({_PAGE}, '\\s+', ' ', 'g')) AS text FROM pages")
+def page_text(spark, sf_dir):
+    return table(spark, sf_dir, "pages").select("page_id", T.html_to_text("html").alias("text"))
+
+
 @query("""SELECT time_bucket(INTERVAL 1 HOUR, ts) AS window_start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL""")
 def event_windows(spark, sf_dir):
     from ..streaming.ingest import event_windows as windows
@@ -574,8 +584,3 @@ def random_vectors(spark, sf_dir):
 @query()
 def noisy_queries(spark, sf_dir):
     return synthetic.queries(spark, 100, 64, seed=43, dataset=synthetic.random_vectors(spark, 1000, 64, seed=42), noise=0.1)
-
-
-@query()
-def page_text(spark, sf_dir):
-    return table(spark, sf_dir, "pages").select("page_id", T.html_to_text("html").alias("text"))
