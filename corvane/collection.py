@@ -9,14 +9,16 @@ from pyspark.sql import functions as F
 
 from .functions import answers as A
 from .operators import chunking, context, incremental, prompts
-from .operators.ann import HNSWIndex, build_hnsw
+from .operators.ann import SHARD_VECTORS, HNSWIndex, build_hnsw
 from .operators.cache import AnswerCache
 from .operators.embed import HashEmbedder
-from .operators.knn import knn_join
+from .operators.knn import knn_join, top_k
 from .operators.retrieval import min_score, with_metadata
 from .sources.tables import Tables
 
 ALGORITHMS = ("brute_force", "hnsw")
+#: Part of replaced vectors, and shards beyond those that size asks for, above which an index is built anew.
+MOST_STALE, MOST_SMALL_SHARDS = 0.1, 32
 _CATALOG = "name string, algorithm string, created_at string, num_documents long, num_chunks long, num_embeddings long, metric string, model string"
 
 
@@ -40,25 +42,23 @@ class Collection:
         if manifest is None:
             manifest = incremental.manifest_of(docs.limit(0), self.size, self.overlap)
         decisions = incremental.rechunk_decisions(docs, manifest, self.size, self.overlap)
-        todo = incremental.changed_documents(docs, manifest, self.size, self.overlap)
-        made = chunking.chunk_documents(todo, self.size, self.overlap)
-        if chunks is None:
-            kept, kept_vectors, fresh = made.limit(0), None, made
-        else:
+        todo = incremental.changed_documents(docs, manifest, self.size, self.overlap).persist()
+        made = chunking.chunk_documents(todo, self.size, self.overlap).persist()
+        gone, fresh = None, made
+        if chunks is not None:
             gone = incremental.superseded(chunks, todo).select("chunk_id").join(made.select("chunk_id"), "chunk_id", "left_anti")
-            kept = chunks.join(todo.select("doc_id"), "doc_id", "left_anti").select(*made.columns)
-            kept_vectors = vectors.join(gone, "chunk_id", "left_anti")
             fresh = incremental.missing_embeddings(made, vectors)
         new_vectors = self.embedder.embed(fresh.select("chunk_id", "text")).select("chunk_id", "embedding").persist()
-        made = made.persist()
         counts = incremental.ingest_counters(decisions, made, new_vectors).first().asDict()
         if counts["new_documents"] or counts["updated_documents"]:
-            self.tables.save("chunks", self.name, kept.unionByName(made))
-            self.tables.save("embeddings", self.name, new_vectors if kept_vectors is None else kept_vectors.unionByName(new_vectors), vector="embedding", model=self.embedder.name)
-            self.tables.save("manifests", self.name, incremental.upsert(manifest, incremental.manifest_of(docs, self.size, self.overlap), "doc_id"))
-            self._build()
-        new_vectors.unpersist()
-        made.unpersist()
+            # Only what is new is written. The manifest comes last: a run that fails before is simply done again.
+            stale = 0 if gone is None else gone.count()
+            self.tables.change("embeddings", self.name, new_vectors, gone, "chunk_id", "embedding", model=self.embedder.name)
+            self.tables.change("chunks", self.name, made, todo, "doc_id")
+            self._extend_index(new_vectors, stale)
+            self.tables.change("manifests", self.name, incremental.manifest_of(todo, self.size, self.overlap), todo, "doc_id")
+        for df in (new_vectors, made, todo):
+            df.unpersist()
         self._catalog()
         return counts
 
@@ -69,7 +69,20 @@ class Collection:
 
     def _build(self) -> None:
         if self.algorithm == "hnsw":
-            self.tables.save("indexes", self.name, build_hnsw(self.vectors(), self.metric), metric=self.metric, ef_search=50, m=16, ef_construction=200)
+            self.tables.save("indexes", self.name, build_hnsw(self.vectors(), self.metric), metric=self.metric, ef_search=50, m=16, ef_construction=200, stale=0)
+
+    def _extend_index(self, new_vectors: DataFrame, stale: int) -> None:
+        """New vectors become shards of their own; too many shards or replaced vectors have the index built anew."""
+        if self.algorithm != "hnsw":
+            return
+        info = self.tables.info("indexes", self.name)
+        stale += int(info["properties"].get("stale", 0)) if info else 0
+        live = self.tables.info("embeddings", self.name)["rows"]
+        if info is None or stale > MOST_STALE * live or info["rows"] > MOST_SMALL_SHARDS + live // SHARD_VECTORS:
+            self._build()
+        else:
+            fresh = build_hnsw(new_vectors.select(F.col("chunk_id").alias("node_id"), "embedding"), self.metric)
+            self.tables.change("indexes", self.name, fresh, stale=stale)
 
     def index(self):
         """The stored index, built anew if it is missing; for brute force the vectors."""
@@ -86,8 +99,15 @@ class Collection:
             return self.spark.createDataFrame([], "query_id long, rank int, node_id string, score double, distance double, chunk_id string, doc_id string, text string")
         asked = self.embedder.embed(queries.where(F.length(F.trim(text_col)) > 0), text_col)
         index = self.index()
-        found = knn_join(asked, index, k, self.metric) if isinstance(index, DataFrame) else index.search(asked, k, ef_search)
         chunks = self.tables.load("chunks", self.name).select(F.col("chunk_id").alias("node_id"), "chunk_id", "doc_id", "text")
+        if isinstance(index, DataFrame):
+            found = knn_join(asked, index, k, self.metric)
+        else:
+            # A graph may still hold replaced vectors: more are asked for, and those without a chunk left out.
+            stale = int(self.tables.info("indexes", self.name)["properties"].get("stale", 0))
+            found = index.search(asked, k + min(k, stale), ef_search)
+            if stale:
+                found = top_k(found.join(chunks.select("node_id"), "node_id", "left_semi").drop("rank"), k)
         found = with_metadata(min_score(found, least), chunks, "chunk_id", "doc_id", "text")
         return found.select("query_id", "rank", "node_id", "score", "distance", "chunk_id", "doc_id", "text")
 

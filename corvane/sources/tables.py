@@ -1,8 +1,10 @@
 """Stored chunks, embeddings, indexes and the catalog: Parquet tables with manifests.
 
-Each table keeps versions side by side. A version is complete once its manifest row
-is committed by Spark's writer, so readers see whole versions only, and a failed
-write leaves the last one in place.
+Each table keeps versions side by side. A version is a short log of parts: added
+rows, and keys removed from the parts before them. Changing a table writes only what
+is new; a log of more than ``LONG_LOG`` parts is rewritten as one. A version is
+complete once its manifest row is committed by Spark's writer, so readers see whole
+versions only, and a failed write leaves the last one in place.
 """
 
 from __future__ import annotations
@@ -13,7 +15,8 @@ from datetime import datetime, timezone
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.incremental import upsert
+LONG_LOG = 24
+_MANIFEST = "version string, rows long, dimension int, created_at string, parts array<struct<path:string, removes:string, rows:long, checksum:long>>, properties map<string,string>"
 
 
 class IntegrityError(ValueError):
@@ -42,22 +45,54 @@ class Tables:
             raise ValueError(f"bad name {name!r}")
         return f"{self.root}/{kind}/{name}"
 
-    def save(self, kind: str, name: str, rows: DataFrame, vector: str | None = None, **properties) -> dict:
-        """Writes a new version with a manifest: rows, checksum, dimension and the given properties."""
-        at, version = self._path(kind, name), f"v{datetime.now(timezone.utc):%Y%m%d%H%M%S%f}-{uuid.uuid4().hex[:6]}"
-        rows.write.parquet(f"{at}/data/{version}")
-        stored = self.spark.read.parquet(f"{at}/data/{version}")
+    def _write(self, at: str, rows: DataFrame, vector: str | None = None, removes: str | None = None) -> tuple[tuple, int | None]:
+        """Writes a part; its entry in the log, and the dimension of its vectors."""
+        path = f"{'gone' if removes else 'data'}/v{datetime.now(timezone.utc):%Y%m%d%H%M%S%f}-{uuid.uuid4().hex[:6]}"
+        rows.write.parquet(f"{at}/{path}")
+        stored = self.spark.read.parquet(f"{at}/{path}")
         n, x = checksum(stored)
         dimension = None
         if vector and n:
             d = stored.agg(F.min(F.size(vector)).alias("a"), F.max(F.size(vector)).alias("b")).first()
             if d["a"] != d["b"]:
-                self._delete(f"{at}/data/{version}")
+                self._delete(f"{at}/{path}")
                 raise ValueError("vectors differ in dimension")
             dimension = d["a"]
-        manifest = {"version": version, "rows": n, "checksum": x, "dimension": dimension, "created_at": datetime.now(timezone.utc).isoformat(), "properties": {k: str(v) for k, v in properties.items()}}
-        self.spark.createDataFrame([tuple(manifest.values())], "version string, rows long, checksum long, dimension int, created_at string, properties map<string,string>").coalesce(1).write.mode("append").parquet(f"{at}/manifest")
-        return manifest
+        return (path, removes, n, x), dimension
+
+    def _commit(self, at: str, parts: list[tuple], rows: int, dimension: int | None, properties: dict) -> dict:
+        row = (f"v{datetime.now(timezone.utc):%Y%m%d%H%M%S%f}-{uuid.uuid4().hex[:6]}", rows, dimension, datetime.now(timezone.utc).isoformat(), parts, {k: str(v) for k, v in properties.items()})
+        made = self.spark.createDataFrame([row], _MANIFEST)
+        made.coalesce(1).write.mode("append").parquet(f"{at}/manifest")
+        return made.first().asDict(recursive=True)
+
+    def save(self, kind: str, name: str, rows: DataFrame, vector: str | None = None, **properties) -> dict:
+        """Writes a new version of one part, with a manifest: rows, checksum, dimension and the given properties."""
+        at = self._path(kind, name)
+        part, dimension = self._write(at, rows, vector)
+        return self._commit(at, [part], part[2], dimension, properties)
+
+    def change(self, kind: str, name: str, added: DataFrame, removed: DataFrame | None = None, key: str | None = None, vector: str | None = None, **properties) -> dict:
+        """A new version: without the rows whose ``key`` is in ``removed``, and with ``added``; only these are written."""
+        info = self.info(kind, name)
+        if info is None:
+            return self.save(kind, name, added, vector, **properties)
+        at = self._path(kind, name)
+        parts, live = [tuple(p.values()) for p in info["parts"]], info["rows"]
+        if removed is not None:
+            gone = removed.select(key).where(F.col(key).isNotNull()).distinct()
+            hit = self.load(kind, name).select(key).join(gone, key, "left_semi").groupBy(key).agg(F.count(F.lit(1)).alias("n")).persist()
+            count = hit.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+            if count:
+                live -= count
+                parts.append(self._write(at, hit.select(key), removes=key)[0])
+            hit.unpersist()
+        part, dimension = self._write(at, added, vector)
+        if dimension and info["dimension"] and dimension != info["dimension"]:
+            self._delete(f"{at}/{part[0]}")
+            raise ValueError("vectors differ in dimension")
+        made = self._commit(at, [*parts, part], live + part[2], dimension or info["dimension"], info["properties"] | properties)
+        return self.save(kind, name, self.load(kind, name), vector, **made["properties"]) if len(made["parts"]) > LONG_LOG else made
 
     def exists(self, kind: str, name: str) -> bool:
         p, fs = self._fs(f"{self._path(kind, name)}/manifest")
@@ -71,13 +106,19 @@ class Tables:
         return None if r is None else r.asDict(recursive=True)
 
     def load(self, kind: str, name: str, verify: bool = False) -> DataFrame:
-        """The last version; ``verify`` compares count, dimension-independent checksum and manifest."""
+        """The last version; ``verify`` compares each part's count and checksum with the manifest."""
         info = self.info(kind, name)
         if info is None:
             raise FileNotFoundError(f"no {kind} named {name!r}")
-        rows = self.spark.read.parquet(f"{self._path(kind, name)}/data/{info['version']}")
-        if verify and checksum(rows) != (info["rows"], info["checksum"]):
-            raise IntegrityError(f"{kind} {name!r} does not match its manifest")
+        rows = None
+        for p in info["parts"]:
+            part = self.spark.read.parquet(f"{self._path(kind, name)}/{p['path']}")
+            if verify and checksum(part) != (p["rows"], p["checksum"]):
+                raise IntegrityError(f"{kind} {name!r} does not match its manifest")
+            if p["removes"]:
+                rows = rows.join(part, p["removes"], "left_anti").select(*rows.columns)
+            else:
+                rows = part if rows is None else rows.unionByName(part)
         return rows
 
     def list(self, kind: str) -> list[str]:
@@ -95,15 +136,16 @@ class Tables:
         return self._delete(self._path(kind, name))
 
     def prune(self, kind: str, name: str, keep: int = 1) -> int:
-        """Removes the data of all but the last ``keep`` versions."""
-        manifests = self.spark.read.parquet(f"{self._path(kind, name)}/manifest").orderBy(F.desc("version")).select("version")
-        old = [r["version"] for r in manifests.collect()][keep:]
-        return sum(bool(self._delete(f"{self._path(kind, name)}/data/{v}")) for v in old)
+        """Removes the parts that none of the last ``keep`` versions uses."""
+        at = self._path(kind, name)
+        logs = [[p["path"] for p in r["parts"]] for r in self.spark.read.parquet(f"{at}/manifest").orderBy(F.desc("version")).select("parts").collect()]
+        used = {p for log in logs[:keep] for p in log}
+        return sum(bool(self._delete(f"{at}/{p}")) for p in {p for log in logs for p in log} - used)
 
     def upsert(self, kind: str, name: str, new: DataFrame, key: str = "chunk_id", vector: str | None = None, **properties) -> dict:
         """Replaces rows of equal key and adds the others."""
-        rows = upsert(self.load(kind, name), new, key) if self.exists(kind, name) else new.dropDuplicates([key])
-        return self.save(kind, name, rows, vector, **properties)
+        new = new.dropDuplicates([key])
+        return self.change(kind, name, new, new, key, vector, **properties)
 
 
 def validation(rows: DataFrame, vector: str = "embedding") -> DataFrame:

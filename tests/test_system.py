@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from corvane import cli
 from corvane import collection as C
 from corvane.operators import evaluate
-from corvane.sources import config, files, reports
+from corvane.sources import config, files, reports, tables
 from corvane.sources.tables import IntegrityError, Tables
 from corvane.streaming import ingest
 
@@ -41,7 +41,8 @@ def test_scan(spark, folder):
             files.pdf_text(bad)
 
 
-def test_tables(spark, tmp_path):
+def test_tables(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(tables, "LONG_LOG", 4)
     t = Tables(spark, f"file://{tmp_path}")
     rows = spark.createDataFrame([("a", [1.0, 2.0]), ("b", [3.0, 4.0])], "chunk_id string, embedding array<float>")
     m = t.save("embeddings", "c", rows, "embedding", model="m")
@@ -49,10 +50,16 @@ def test_tables(spark, tmp_path):
     assert t.load("embeddings", "c", verify=True).count() == 2
     t.upsert("embeddings", "c", spark.createDataFrame([("b", [9.0, 9.0]), ("d", [5.0, 6.0])], rows.schema))
     assert {r["chunk_id"]: r["embedding"][0] for r in t.load("embeddings", "c").collect()} == {"a": 1, "b": 9, "d": 5}
+    info = t.info("embeddings", "c")
+    assert [(p["removes"], p["rows"]) for p in info["parts"]] == [(None, 2), ("chunk_id", 1), (None, 2)] and info["rows"] == 3 and info["properties"] == {"model": "m"}
+    for n in range(4):
+        t.upsert("embeddings", "long", spark.createDataFrame([("b", [float(n), 0.0])], rows.schema))
+    assert len(t.info("embeddings", "long")["parts"]) <= 4 and t.load("embeddings", "long").first()["embedding"] == [3.0, 0.0]
+    assert t.prune("embeddings", "long") > 0 and t.load("embeddings", "long", verify=True).count() == 1
     with pytest.raises(ValueError):
         t.save("embeddings", "c", rows.unionByName(spark.createDataFrame([("x", [1.0])], rows.schema)), "embedding")
     assert t.load("embeddings", "c").count() == 3  # the last whole version stays
-    rows.limit(1).write.mode("overwrite").parquet(f"file://{tmp_path}/embeddings/c/data/{t.info('embeddings', 'c')['version']}")
+    rows.limit(1).write.mode("overwrite").parquet(f"file://{tmp_path}/embeddings/c/{t.info('embeddings', 'c')['parts'][-1]['path']}")
     with pytest.raises(IntegrityError):
         t.load("embeddings", "c", verify=True)
     assert t.delete("embeddings", "c") and t.info("embeddings", "c") is None
