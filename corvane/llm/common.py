@@ -52,16 +52,25 @@ class Scratch:
     def __init__(self, spark: SparkSession, label: str):
         self.spark = spark
         self.path = f"{scratch_root(spark)}/corvane/{label}-{uuid.uuid4().hex[:12]}"
+        self.names: set[str] = set()
 
     def save(self, df: DataFrame, name: str) -> DataFrame:
         at = f"{self.path}/{name}"
         df.write.parquet(at)
+        self.names.add(name)
         self.release()
         return self.spark.read.schema(df.schema).parquet(at)
 
     def drop(self, *names: str) -> None:
         for name in names:
             _delete(self.spark, f"{self.path}/{name}")
+            self.names.discard(name)
+
+    def result(self, df: DataFrame) -> DataFrame:
+        """Saves what an operator returns and removes all else."""
+        out = self.save(df, "result")
+        self.drop(*(self.names - {"result"}))
+        return out
 
     def release(self) -> None:
         """Let Spark's cleaner remove the shuffle files of finished jobs."""

@@ -124,7 +124,7 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("level") == F.col("_level")) & (F.col("name") == F.col("_name"))
         first = first.join(repeated, same, "left")
         kept = F.col("doc_id").eqNullSafe(F.col("keep_id")) & F.coalesce(F.col("rid") == F.col("first_rid"), F.lit(True))
-    return first.select(F.col("doc_id").alias(id_col), "keep_id", "group_size", kept.alias("kept"), F.col("sha256").alias("text_sha256"))
+    return tmp.result(first.select(F.col("doc_id").alias(id_col), "keep_id", "group_size", kept.alias("kept"), F.col("sha256").alias("text_sha256")))
 
 
 def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

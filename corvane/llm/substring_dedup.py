@@ -375,7 +375,7 @@ def repeated_spans(docs: DataFrame, window: int = 50, id_col: str = "doc_id", te
     hits = tmp.save(hits.unionByName(of_windows.select("anchor", "digest", F.col("at").alias("w0"), (F.col("at") + 1).alias("w1"))), "hits")
     tmp.drop("texts")
     placed = every.join(hits, ["anchor", "digest"]).select("rid", "rid2", (F.col("start") + F.col("w0")).alias("a"), (F.col("start") + F.col("w1") + (window - 1)).alias("b"))
-    return tmp.save(placed.groupBy("rid", "rid2").agg(F.collect_list(F.struct("a", "b")).alias("spans")), "spans")
+    return tmp.result(placed.groupBy("rid", "rid2").agg(F.collect_list(F.struct("a", "b")).alias("spans")))
 
 
 def _covered(n: int, spans):
