@@ -130,7 +130,7 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` without the exact copies, all columns as they were; ids must be unique and not null."""
     kept = exact_groups(docs, id_col, text_col).where("kept").select(F.col(id_col).alias("_kept_id"))
-    return docs.join(kept, docs[id_col] == kept["_kept_id"], "left_semi")
+    return docs.join(kept.hint("merge"), docs[id_col] == kept["_kept_id"], "left_semi")
 
 
 def op4_exact_dedup(spark, sf_dir: str) -> DataFrame:

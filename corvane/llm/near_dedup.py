@@ -227,7 +227,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     fits = lambda x, y: 100 * F.least(x, y) >= percent * F.greatest(x, y)  # noqa: E731  else the sizes forbid a link
     needed = member.select("rid").distinct()
-    full = source.select("rid", "text").join(needed, "rid", "left_semi").mapInArrow(_full_sets(shingle_words), "rid long, items binary")
+    # Texts are joined in one way at every size, so that a small run tells what a large one needs.
+    full = source.select("rid", "text").join(needed.hint("merge"), "rid", "left_semi").mapInArrow(_full_sets(shingle_words), "rid long, items binary")
     full = tmp.save(full.dropDuplicates(["rid"]), "sets")
 
     def links(pairs: DataFrame, name: str) -> DataFrame:
@@ -320,7 +321,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """``docs`` with one document of each group, all columns as they were; ids must be unique and not null."""
     kept = near_duplicates(docs, id_col, text_col, **options).where("kept").select(F.col(id_col).alias("_kept_id"))
-    return docs.join(kept, docs[id_col] == kept["_kept_id"], "left_semi")
+    return docs.join(kept.hint("merge"), docs[id_col] == kept["_kept_id"], "left_semi")
 
 
 def op5_minhash_near_dedup(spark, sf_dir: str) -> DataFrame:

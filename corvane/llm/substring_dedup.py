@@ -360,7 +360,7 @@ def repeated_spans(docs: DataFrame, window: int = 50, id_col: str = "doc_id", te
     crowd = tmp.save(one.groupBy("anchor").count().where(F.col("count") > CROWDED).select("anchor", F.lit(True).alias("crowded")), "crowded")
     wanted = one.join(crowd, "anchor", "left").withColumn("crowded", F.coalesce("crowded", F.lit(False)))
     wanted = wanted.groupBy("rid").agg(F.collect_list(F.struct("anchor", "digest", "times", "crowded")).alias("wanted"))
-    texts = source.join(wanted, "rid").select("text", "wanted").mapInArrow(_texts(window), "crowded boolean, key long, anchor long, digest long, at int, times long, words binary")
+    texts = source.join(wanted.hint("merge"), "rid").select("text", "wanted").mapInArrow(_texts(window), "crowded boolean, key long, anchor long, digest long, at int, times long, words binary")
     texts = tmp.save(texts, "texts")
 
     windows = texts.where("crowded")
@@ -407,7 +407,7 @@ def remove_repeats(docs: DataFrame, window: int = 50, id_col: str = "doc_id", te
     spans = repeated_spans(docs, window, id_col, text_col)
     key = {"rid": "__corvane_rid", "rid2": "__corvane_rid2", "spans": "__corvane_spans"}
     keyed = docs.select("*", *[c.alias(key[n]) for n, c in zip(("rid", "rid2"), _keys(id_col, text_col), strict=True)])
-    rows = keyed.join(spans.withColumnsRenamed(key), ["__corvane_rid", "__corvane_rid2"], "left").select(*docs.columns, "__corvane_spans")
+    rows = keyed.join(spans.withColumnsRenamed(key).hint("merge"), ["__corvane_rid", "__corvane_rid2"], "left").select(*docs.columns, "__corvane_spans")
     names = list(docs.columns)
     at, width = names.index(text_col), len(names)
 
@@ -429,7 +429,7 @@ def removal_rows(docs: DataFrame, window: int = 50, id_col: str = "doc_id", text
     """One row per input row: ``id, n_words, n_removed, kept_sha256`` (of the kept words joined by one space)."""
     kind = docs.schema[id_col].dataType.simpleString()
     spans = repeated_spans(docs, window, id_col, text_col)
-    rows = docs.select(id_col, F.col(text_col).alias("text"), *_keys(id_col, text_col)).join(spans, ["rid", "rid2"], "left").select(id_col, "text", "spans")
+    rows = docs.select(id_col, F.col(text_col).alias("text"), *_keys(id_col, text_col)).join(spans.hint("merge"), ["rid", "rid2"], "left").select(id_col, "text", "spans")
 
     def work(batches):
         import hashlib
