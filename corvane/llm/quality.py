@@ -5,14 +5,15 @@ references of each language by the Jensen-Shannon distance (the square root of
 the divergence in bits). A text is kept if some language is near enough in both;
 texts below a minimum length are not judged on words.
 
-References are counted on a bounded sample of the rows with a language
-(``SAMPLE_ROWS``); everything else reads all rows and whole texts.
+References are counted on all rows with a language and on whole texts. A language
+of fewer than ``LEAST_REFERENCE_WORDS`` words gets none, and the base rules alone
+judge its texts; rows without a language are judged by the nearest reference.
 """
 
 from __future__ import annotations
 
 import json
-from collections import Counter
+from collections import Counter, defaultdict
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -21,10 +22,11 @@ from pyspark.sql.window import Window
 from ..shipping import ship
 from .common import Interned, Scratch, slices
 
-#: About so many rows (at most about twice) are read for the references.
-SAMPLE_ROWS = 4000
-#: Languages and common words of each that the references hold.
-MOST_LANGUAGES, COMMON_WORDS = 64, 50
+#: Common words of a language that its reference holds, and words that it is counted on at least: the reference
+#: then strays by less than a tenth of the largest word distance.
+COMMON_WORDS, LEAST_REFERENCE_WORDS = 50, 5000
+#: Distinct words that a task counts before it passes its counts on.
+COUNTED_WORDS = 200_000
 #: Largest distances that are kept. A histogram of n words strays from its language by about 1 / sqrt(n) of
 #: itself, so the word limit is wider for shorter texts; below LEAST_WORDS only characters are judged.
 MOST_CHAR_DISTANCE, MOST_WORD_DISTANCE, WORD_NOISE, LEAST_WORDS = 0.30, 0.235, 1.6, 60
@@ -50,45 +52,57 @@ def _plain(word: bytes) -> bytes:
 
 
 def _counts_of(batches):
-    """Per batch and language: counts of character classes and words."""
+    """Per task and language: counts of character classes (keys c0 to c7) and words (w and the word)."""
     import numpy as np
     import pyarrow as pa
 
     table = _class_table()
-    for batch in batches:
-        out: dict[str, Counter] = {}
+    chars, words = defaultdict(lambda: np.zeros(8, np.int64)), defaultdict(Counter)
+
+    def counted():
+        flat = [(lang, f"c{k}", int(n)) for lang, hist in chars.items() for k, n in enumerate(hist)]
+        for lang, raw in words.items():
+            plain = Counter()
+            for w, n in raw.items():
+                plain[_plain(w)] += n
+            flat += [(lang, "w" + w.decode(errors="replace"), n) for w, n in plain.items()]
+        chars.clear()
+        words.clear()
+        return pa.RecordBatch.from_arrays([pa.array([x[i] for x in flat], t) for i, t in enumerate((pa.string(), pa.string(), pa.int64()))], ["lang", "key", "n"])
+
+    for batch in slices(batches):
         for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            data, c = text.encode(), out.setdefault(lang, Counter())
-            hist = np.bincount(table[np.frombuffer(data, np.uint8)], minlength=9)[:8] if data else [0] * 8
-            for k, n in enumerate(hist):
-                c[f"c{k}"] += int(n)
-            c.update(b"w" + _plain(w) for w in data.split())
-        flat = [(lang, k if isinstance(k, str) else k.decode(errors="replace"), n) for lang, c in out.items() for k, n in c.items()]
-        yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in flat], t) for i, t in enumerate((pa.string(), pa.string(), pa.int64()))], ["lang", "key", "n"])
+            data = text.encode()
+            chars[lang] += np.bincount(table[np.frombuffer(data, np.uint8)], minlength=9)[:8]
+            words[lang].update(data.split())
+        if sum(map(len, words.values())) > COUNTED_WORDS:
+            yield counted()
+    if chars:
+        yield counted()
 
 
-def language_references(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id", sample_rows: int = SAMPLE_ROWS) -> str:
-    """JSON of each language's histograms; at most ``MOST_LANGUAGES`` languages and ``COMMON_WORDS`` words each."""
+def language_references(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> str:
+    """JSON of the histograms of each language with enough words; ``COMMON_WORDS`` words each."""
     ship(docs.sparkSession)
-    rows = docs.select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"), F.xxhash64(F.col(id_col), F.length(text_col)).alias("h"))
-    rows = rows.where("lang is not null and text is not null")
-    every = max(1, docs.count() // sample_rows)
-    counts = rows.where(F.pmod("h", F.lit(every)) == 0).select("lang", "text").mapInArrow(_counts_of, "lang string, key string, n bigint")
-    counts = Scratch(docs.sparkSession, "references").save(counts.groupBy("lang", "key").agg(F.sum("n").alias("n")), "counts")
+    rows = docs.select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text")).where("lang is not null and text is not null")
+    counts = rows.mapInArrow(_counts_of, "lang string, key string, n bigint")
+    tmp = Scratch(docs.sparkSession, "references")
+    counts = tmp.save(counts.groupBy("lang", "key").agg(F.sum("n").alias("n")), "counts")
     word = F.col("key").startswith("w")
-    total = {(r["lang"], r["word"]): r["n"] for r in counts.groupBy("lang", word.alias("word")).agg(F.sum("n").alias("n")).collect()}
+    total = counts.groupBy("lang").agg(F.sum(F.when(word, F.col("n"))).alias("w"), F.sum(F.when(~word, F.col("n"))).alias("c"))
+    total = tmp.save(total.where(F.col("w") >= LEAST_REFERENCE_WORDS), "totals")
+    counts = counts.join(F.broadcast(total), "lang")
     rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "key"))
     top = counts.where(word & (F.col("key") != "w")).withColumn("r", rank).where(F.col("r") <= COMMON_WORDS).drop("r")
     found: dict[str, dict] = {}
     for r in top.unionByName(counts.where(~word)).collect():
-        x = found.setdefault(r["lang"], {"char": [0.0] * 8, "word": {}, "words": total.get((r["lang"], True), 0)})
-        share = r["n"] / max(1, total[r["lang"], r["key"][0] == "w"])
+        x, share = found.setdefault(r["lang"], {"char": [0.0] * 8, "word": {}}), r["n"] / max(1, r[r["key"][0]])
         if r["key"][0] == "c":
             x["char"][int(r["key"][1:])] = share
         else:
             x["word"][r["key"][1:]] = share
-    most = sorted(found, key=lambda k: (-found[k]["words"], k))[:MOST_LANGUAGES]
-    return json.dumps({k: {n: found[k][n] for n in ("char", "word")} for k in sorted(most)}, sort_keys=True)
+    tmp.drop("counts", "totals")
+    return json.dumps(found, sort_keys=True)
 
 
 def js_distance(p, q):
@@ -109,7 +123,7 @@ class Judge:
         import numpy as np
 
         ref = json.loads(references)
-        self.langs = sorted(ref)
+        self.langs, self.known = sorted(ref), set(ref)
         vocabulary = sorted({w for x in ref.values() for w in x["word"]})
         self.number = {w.encode(): i for i, w in enumerate(vocabulary)}
         self.char = np.array([ref[k]["char"] for k in self.langs], float).reshape(-1, 8)
@@ -164,7 +178,8 @@ class Judge:
         k = int(np.argmin(char + word))
         return float(char[k]), float(word[k]), self.langs[k]
 
-    def row(self, text: str | None) -> tuple:
+    def row(self, text: str | None, own: str | None = None) -> tuple:
+        """The columns of a text whose language is ``own``."""
         data = (text or "").encode(errors="replace")
         words = data.split()
         n = len(words)
@@ -177,18 +192,19 @@ class Judge:
         char, word, lang = self.distances(data, ids, n)
         near = char <= MOST_CHAR_DISTANCE and (n < LEAST_WORDS or word <= MOST_WORD_DISTANCE + WORD_NOISE / n**0.5)
         symbols = len(data) - len(data.translate(None, _SYMBOLS))
-        return n, word_chars, symbols, len(lines) - len(set(lines)), repeat, failed, char, word, lang, not failed and (near or not self.langs)
+        return n, word_chars, symbols, len(lines) - len(set(lines)), repeat, failed, char, word, lang, not failed and (near or not self.langs or own is not None and own not in self.known)
 
 
 _COLUMNS = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, char_distance double, word_distance double, nearest_lang string, kept boolean"
 
 
-def quality_rows(docs: DataFrame, references: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def quality_rows(docs: DataFrame, references: str, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """One row per input row: the id and the columns of :data:`_COLUMNS`.
 
-    Null and empty texts have no words and fail the base rules. Without any
-    reference (no row has a language) only the base rules judge. Repeated rows
-    get a row each; an empty table gives an empty result.
+    Null and empty texts have no words and fail the base rules. Only the base
+    rules judge texts of a language without a reference, and all texts if there is
+    no reference at all. Repeated rows get a row each; an empty table gives an
+    empty result.
     """
 
     def work(batches):
@@ -196,14 +212,14 @@ def quality_rows(docs: DataFrame, references: str, id_col: str = "doc_id", text_
 
         judge = Judge(references)
         for batch in slices(batches):
-            rows = [judge.row(t) for t in batch.column(1).to_pylist()]
+            rows = [judge.row(t, own) for t, own in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)]
             cols = list(zip(*rows, strict=True)) if rows else [[]] * 10
             kinds = [pa.int64()] * 5 + [pa.bool_(), pa.float64(), pa.float64(), pa.string(), pa.bool_()]
             names = [c.split()[0] for c in _COLUMNS.split(", ")]
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, k) for c, k in zip(cols, kinds, strict=True))], [id_col, *names])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(id_col, text_col).mapInArrow(work, f"`{id_col}` {kind}, {_COLUMNS}")
+    return docs.select(id_col, text_col, lang_col).mapInArrow(work, f"`{id_col}` {kind}, {_COLUMNS}")
 
 
 def keep_good(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
@@ -211,15 +227,16 @@ def keep_good(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", l
 
     The verdict is made in the same pass over the rows, so nothing is joined or shuffled.
     """
-    references = language_references(docs, text_col, lang_col, id_col)
-    at = docs.columns.index(text_col)
+    references = language_references(docs, text_col, lang_col)
+    at, lang_at = docs.columns.index(text_col), docs.columns.index(lang_col)
 
     def work(batches):
         import pyarrow as pa
 
         judge = Judge(references)
         for batch in slices(batches):
-            yield batch.filter(pa.array([judge.row(t)[-1] for t in batch.column(at).to_pylist()], pa.bool_()))
+            kept = [judge.row(t, own)[-1] for t, own in zip(batch.column(at).to_pylist(), batch.column(lang_at).to_pylist(), strict=True)]
+            yield batch.filter(pa.array(kept, pa.bool_()))
 
     return docs.mapInArrow(work, docs.schema)
 

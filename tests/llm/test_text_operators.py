@@ -1,5 +1,7 @@
+import json
 import re
 import zlib
+from collections import Counter
 
 import numpy as np
 import public_tokenizers as P
@@ -126,6 +128,24 @@ def test_quality_keeps_clean_and_drops_junk(spark, sf_dir):
     assert quality.keep_good(docs.limit(0)).count() == 0
 
 
+def test_quality_counts_references_on_all_rows(spark, monkeypatch):
+    # Seventy languages with words of their own, two of few rows, in more rows than were once sampled.
+    text = lambda lang, k: " ".join(f"{lang}{chr(97 + i)}" for i in np.random.default_rng(k).integers(0, 20, 80))
+    rare = [(k, text("rare", k), "rare") for k in range(70)] + [(90 + k, text("thin", k), "thin") for k in range(3)]
+    rows = rare + [(1000 + k, text(f"l{k % 70}", k), f"l{k % 70}") for k in range(70 * 120)] + [(99, None, "rare"), (98, text("l1", 3), None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    assert docs.count() > 8000
+    ref = json.loads(quality.language_references(docs))
+    assert set(ref) == {"rare"} | {f"l{k}" for k in range(70)}
+    seen = Counter(w for _, t, _ in rare[:70] for w in t.split())
+    assert ref["rare"]["word"] == {w: n / sum(seen.values()) for w, n in seen.items()}
+    kept = {r["doc_id"] for r in quality.keep_good(docs).collect()}
+    clean = {i for i, t, _ in rows if t and not brute_quality(t)[-1]}
+    assert len(clean) > 8000 and kept == clean
+    monkeypatch.setattr(quality, "COUNTED_WORDS", 10)
+    assert json.loads(quality.language_references(docs)) == ref
+
+
 def test_distance():
     p, q = np.array([0.5, 0.5, 0]), np.array([0, 0.5, 0.5])
     assert quality.js_distance(p, p) == 0 and quality.js_distance(np.array([1.0, 0]), np.array([0, 1.0])) == 1
