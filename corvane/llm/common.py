@@ -11,7 +11,9 @@ import tempfile
 import uuid
 from collections.abc import Iterator
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 _OWN: dict[str, str] = {}
 _MADE: list[tuple[SparkSession, str]] = []
@@ -101,6 +103,26 @@ def fields(df: DataFrame, *names: str) -> DataFrame:
     return df.select(*[df[n] for n in names])
 
 
+def keep_rows(docs: DataFrame, id_col: str, content: Column, kept: DataFrame, once: DataFrame) -> DataFrame:
+    """The rows of ``docs`` whose id and content hash are in ``kept``; of the equal ones in ``once``, one each.
+
+    ``kept`` and ``once``, a part of it, are stored tables of distinct (_kept_id,
+    _kept_content); null ids equal each other. Whole rows come back as they were.
+    """
+    rows = docs.withColumn("_content", content)
+
+    def among(rows: DataFrame, keys: DataFrame) -> DataFrame:
+        same = (rows["_content"] == keys["_kept_content"]) & rows[id_col].eqNullSafe(keys["_kept_id"])
+        return rows.join(keys.hint("merge"), same, "left_semi")
+
+    if once.isEmpty():
+        return among(rows, kept).drop("_content")
+    same = (kept["_kept_content"] == once["_kept_content"]) & kept["_kept_id"].eqNullSafe(once["_kept_id"])
+    # Each task keeps the first of equal rows before the shuffle, so that a hot row is not dealt to one task.
+    first = rows.withColumn("_n", F.row_number().over(Window.partitionBy("_content", id_col).orderBy("_content"))).where("_n = 1").drop("_n")
+    return among(rows, kept.join(once, same, "left_anti")).unionByName(among(first, once)).drop("_content")
+
+
 class Interned(dict):
     """Numbers for keys, with what ``compute`` makes of new keys, kept by a worker between batches.
 

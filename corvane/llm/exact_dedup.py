@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch
+from .common import Scratch, keep_rows
 
 BLOCK_BYTES = 4096
 
@@ -128,9 +128,17 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` without the exact copies, all columns as they were; ids must be unique and not null."""
-    kept = exact_groups(docs, id_col, text_col).where("kept").select(F.col(id_col).alias("_kept_id"))
-    return docs.join(kept.hint("merge"), docs[id_col] == kept["_kept_id"], "left_semi")
+    """``docs`` with one row of each text, all columns as they were.
+
+    The row is found by its id, null or not, and the SHA-256 of its text; of
+    repeated rows with both, one stays.
+    """
+    tmp = Scratch(docs.sparkSession, "copies")
+    groups = exact_groups(docs, id_col, text_col).select(F.col(id_col).alias("_kept_id"), F.col("text_sha256").alias("_kept_content"), "kept")
+    keys = groups.groupBy("_kept_id", "_kept_content").agg(F.max("kept").alias("kept"), F.count(F.lit(1)).alias("times"))
+    keys = tmp.save(keys.where("kept"), "kept")
+    content = F.sha2(F.coalesce(F.col(text_col), F.lit("")).cast("binary"), 256)
+    return keep_rows(docs, id_col, content, keys.drop("kept", "times"), keys.where("times > 1").drop("kept", "times"))
 
 
 def op4_exact_dedup(spark, sf_dir: str) -> DataFrame:

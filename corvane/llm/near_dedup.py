@@ -26,7 +26,7 @@ from pyspark.sql.window import Window
 from pyspark.sql.window import Window
 
 from ..shipping import ship
-from .common import Interned, Scratch, mix, slices, word_hashes
+from .common import Interned, Scratch, keep_rows, mix, slices, word_hashes
 
 BANDS, ROWS = 64, 8
 #: Buckets of more classes get a second hub before their rest is compared exhaustively.
@@ -195,16 +195,8 @@ def components(edges: DataFrame, tmp: Scratch, name: str) -> DataFrame:
     return labels
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle_words: int = 5, percent: int = 80, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """One row per input row: ``id, n_shingles, component_id, kept``.
-
-    Links: ``100 * intersection >= percent * union`` of the full shingle sets.
-    ``component_id`` is the smallest id reachable over links, ``kept`` whether it is
-    the row's own. Null texts and texts without words have no shingles and are
-    linked with nothing, not even with each other. Repeated rows are in one
-    component (rows that also share the id are all kept or all not). An empty table
-    gives an empty result; null ids never name a component unless nothing else is there.
-    """
+def _grouped(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle_words: int = 5, percent: int = 80, bands: int = BANDS, rows: int = ROWS) -> tuple[DataFrame, Scratch]:
+    """(doc_id, rid, n, root, component_id) of each row: equal roots if and only if in one component; no root without shingles."""
     spark = docs.sparkSession
     ship(spark)
     tmp = Scratch(spark, "near")
@@ -312,16 +304,39 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     classes = classes.join(labels.select(F.col("v").alias("rep"), "root"), "rep", "left").withColumn("root", F.coalesce("root", "rep"))
     classes = tmp.save(classes, "class_roots")
     lows = tmp.save(classes.groupBy("root").agg(F.min("low").alias("component_id")), "lows")
-    classes = tmp.save(classes.join(lows, "root").select("d1", "d2", "component_id"), "class_components")
-    out = every.select("doc_id", "n", "d1", "d2").join(classes, ["d1", "d2"], "left")
-    component = F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("component_id"))
-    return tmp.result(out.select(F.col("doc_id").alias(id_col), F.col("n").alias("n_shingles"), component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept")))
+    classes = tmp.save(classes.join(lows, "root").select("d1", "d2", "root", "component_id"), "class_components")
+    out = every.select("doc_id", "rid", "n", "d1", "d2").join(classes, ["d1", "d2"], "left")
+    some = F.col("n") > 0
+    return out.select("doc_id", "rid", "n", F.when(some, F.col("root")).alias("root"), F.when(some, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id")), tmp
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle_words: int = 5, percent: int = 80, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
+    """One row per input row: ``id, n_shingles, component_id, kept``.
+
+    Links: ``100 * intersection >= percent * union`` of the full shingle sets.
+    ``component_id`` is the smallest id reachable over links, ``kept`` whether it is
+    the row's own. Null texts and texts without words have no shingles and are
+    linked with nothing, not even with each other. Repeated rows are in one
+    component (rows that also share the id are all kept or all not). An empty table
+    gives an empty result; null ids never name a component unless nothing else is there.
+    """
+    rows_, tmp = _grouped(docs, id_col, text_col, shingle_words, percent, bands, rows)
+    return tmp.result(rows_.select(F.col("doc_id").alias(id_col), F.col("n").alias("n_shingles"), "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept")))
 
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """``docs`` with one document of each group, all columns as they were; ids must be unique and not null."""
-    kept = near_duplicates(docs, id_col, text_col, **options).where("kept").select(F.col(id_col).alias("_kept_id"))
-    return docs.join(kept.hint("merge"), docs[id_col] == kept["_kept_id"], "left_semi")
+    """``docs`` with one row of each group, all columns as they were: that of the smallest id, a null one only if there is no other.
+
+    The row is found by its id, null or not, and the hash of its id and text; of
+    repeated rows with both, one stays. Rows without shingles all stay.
+    """
+    rows, tmp = _grouped(docs, id_col, text_col, **options)
+    keys = rows.groupBy("doc_id", "rid", "root").agg(F.count(F.lit(1)).alias("times"))
+    keys = tmp.save(keys.select("root", F.col("doc_id").alias("_kept_id"), F.col("rid").alias("_kept_content"), "times"), "keys")
+    least = F.min(F.struct(F.col("_kept_id").isNull(), "_kept_id", "_kept_content", "times")).alias("x")
+    one = keys.where("root is not null").groupBy("root").agg(least).select("x._kept_id", "x._kept_content", "x.times")
+    kept = tmp.result(one.unionByName(keys.where("root is null").select("_kept_id", "_kept_content", F.lit(1).cast("long").alias("times"))))
+    return keep_rows(docs, id_col, F.xxhash64(id_col, text_col), kept.drop("times"), kept.where("times > 1").drop("times"))
 
 
 def op5_minhash_near_dedup(spark, sf_dir: str) -> DataFrame:

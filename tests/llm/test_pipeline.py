@@ -1,3 +1,5 @@
+from pyspark.sql import Row
+
 import corpus_pipeline
 from corvane.llm import exact_dedup, near_dedup
 
@@ -20,3 +22,30 @@ def test_near_copies_leave_one_of_each_group(spark, sf_dir):
     kept = near_dedup.drop_near_duplicates(docs)
     groups = near_dedup.near_duplicates(docs)
     assert kept.count() == groups.select("component_id").distinct().count()
+
+
+def test_copies_with_null_and_repeated_ids(spark):
+    rows = [(None, "alone"), (None, "twice"), (None, "twice"), (None, "named"), (3, "named"), (5, "again"), (5, "again"), (6, "shared"), (6, "own"), (7, "shared"), (8, None), (9, "")]
+    docs = spark.createDataFrame([(*r, "x") for r in rows], "doc_id long, text string, more string").repartition(3)
+    got = exact_dedup.drop_copies(docs)
+    assert got.columns == docs.columns
+    want = {(None, "alone"), (None, "twice"), (3, "named"), (5, "again"), (6, "own"), (7, "shared"), (9, "")}
+    assert sorted(map(str, got.select("doc_id", "text").collect())) == sorted(str(Row(doc_id=i, text=t)) for i, t in want)
+
+
+def test_copies_without_repeated_rows(spark):
+    docs = spark.createDataFrame([(None, "a"), (None, "b"), (1, "b"), (2, "c"), (2, "d"), (4, "c")], "doc_id long, text string")
+    assert sorted(r["text"] + str(r["doc_id"]) for r in exact_dedup.drop_copies(docs).collect()) == ["aNone", "b1", "c4", "d2"]
+
+
+def test_near_copies_with_null_and_repeated_ids(spark):
+    text = lambda k, end="": " ".join(f"w{k}x{i}" for i in range(60)) + end
+    rows = [
+        (None, text(1)), (None, text(2)), (None, text(2, " more")), (None, text(3)), (3, text(3, " more")), (5, text(5)), (5, text(5)), (5, text(5, " more")),
+        (6, text(6)), (7, text(6, " more")), (7, text(7)), (None, ""), (None, ""), (8, None),
+    ]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = near_dedup.drop_near_duplicates(docs)
+    assert got.columns == docs.columns
+    kept = sorted((str(r["doc_id"]), (r["text"] or "").split("x")[0]) for r in got.collect())
+    assert kept == sorted([("None", "w1"), ("None", "w2"), ("3", "w3"), ("5", "w5"), ("6", "w6"), ("7", "w7"), ("None", ""), ("None", ""), ("8", "")])
