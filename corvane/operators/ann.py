@@ -19,6 +19,8 @@ from ..shipping import ship
 from .knn import _query_blocks, top_k
 
 SHARD_VECTORS = 20_000
+#: Nearest cells that hold each vector of the inverted lists.
+CELLS_OF_VECTOR = 3
 
 
 class Graph:
@@ -300,16 +302,20 @@ def centroids(vectors: DataFrame, cells: int, rounds: int = 5, seed: int = 42, s
 
 
 def ivf_search(vectors: DataFrame, queries: DataFrame, k: int = 5, cells: int = 16, probes: int = 4, metric: str = "cosine", node_id: str = "node_id", vector: str = "embedding", query_id: str = "query_id", query_vector: str = "embedding") -> DataFrame:
-    """Inverted lists: each vector is in its nearest cell, and a query looks into its ``probes`` nearest cells."""
+    """Inverted lists: each vector is in its ``CELLS_OF_VECTOR`` nearest cells, and a query looks into its ``probes`` nearest cells.
+
+    A pair that shares several cells is scored in one of them only.
+    """
     centers = centroids(vectors, cells, vector=vector)
     table = F.array(*[F.array(*[F.lit(float(x)) for x in c]) for c in centers])
     near = lambda v: F.transform(table, lambda c: V.dot(v, c))
     order = lambda v: F.transform(F.reverse(F.array_sort(F.transform(near(v), lambda s, i: F.struct(s.alias("s"), (-i).alias("i"))))), lambda x: -x["i"])
     rows = vectors.select(F.col(node_id).alias("node_id"), F.col(vector).alias("v"))
-    rows = rows.withColumn("cell", F.get(order(F.col("v")), F.lit(0)))
+    rows = rows.withColumn("own", F.slice(order(F.col("v")), 1, CELLS_OF_VECTOR)).withColumn("cell", F.explode("own"))
     asks = queries.select(F.col(query_id).alias("query_id"), F.col(query_vector).alias("qv"))
-    asks = asks.select("query_id", "qv", F.explode(F.slice(order(F.col("qv")), 1, probes)).alias("cell"))
-    scored = asks.join(rows, "cell").select("query_id", "node_id", V.score("qv", "v", metric).alias("score"))
+    asks = asks.withColumn("probed", F.slice(order(F.col("qv")), 1, probes)).withColumn("cell", F.explode("probed"))
+    first = F.get(F.array_intersect("probed", "own"), F.lit(0))
+    scored = asks.join(rows, "cell").where(F.col("cell") == first).select("query_id", "node_id", V.score("qv", "v", metric).alias("score"))
     return top_k(scored, k).select("query_id", "rank", "node_id", "score", V.score_to_distance("score", metric).alias("distance"))
 
 

@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from corvane.operators import ann, cache, chunking, context, conversation, embed, evaluate, generation, incremental, knn, prompts, retrieval
+from corvane.plans import registry
 from corvane.sources import synthetic
 
 
@@ -83,6 +84,14 @@ def test_hnsw_recall(spark):
     assert ann.search_hnsw(index.graphs.limit(0), q, 5).count() == 0
 
 
+def test_ivf_recall_as_registered(spark, sf_dir):
+    v = registry.vectors(spark, sf_dir)
+    found = registry.ivf_search(spark, sf_dir).cache()
+    truth = knn.knn_join(registry.asked(v), v, 5)
+    assert evaluate.recall_statistics(evaluate.recall_table(truth, found, 5)).first()["recall_mean"] >= 0.9
+    assert found.select("query_id", "node_id").distinct().count() == found.count()
+
+
 def test_graph_alone():
     g = ann.Graph(3, "euclidean", m=4, ef_construction=20)
     assert g.search([0, 0, 0]) == []
