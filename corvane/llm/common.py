@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import gc
+import heapq
 import importlib
 import os
 import shutil
@@ -91,11 +92,51 @@ def tokenizer_path(name: str, folder: str | None = None) -> str:
     return importlib.import_module("public_tokenizers").path(name)
 
 
+#: Bytes of a slice's columns, above which it is halved until it holds a single row.
+SLICE_BYTES = 4 << 20
+
+
 def slices(batches: Iterator, rows: int = 512) -> Iterator:
-    """Arrow record batches cut to at most ``rows`` rows, so that Python holds few texts."""
+    """Arrow record batches cut to at most ``rows`` rows and ``SLICE_BYTES`` bytes, so that Python holds few texts."""
     for batch in batches:
-        for at in range(0, batch.num_rows, rows):
-            yield batch.slice(at, rows)
+        todo = [batch.slice(at, rows) for at in range(0, batch.num_rows, rows)][::-1]
+        while todo:
+            part = todo.pop()
+            if part.num_rows > 1 and part.nbytes > SLICE_BYTES:
+                half = part.num_rows // 2
+                todo += [part.slice(half), part.slice(0, half)]
+            else:
+                yield part
+
+
+def merge_in_order(symbols: list[int], pair) -> list[int]:
+    """Byte-pair merging as defined: the pair of lowest rank, of those the leftmost, again and again.
+
+    ``pair(a, b)`` is (rank, merged symbol) or None. Symbols are linked and pairs
+    wait in a heap, so a run of any length takes n log n steps.
+    """
+    n = len(symbols)
+    symbols, after, before = list(symbols), list(range(1, n + 1)), list(range(-1, n - 1))
+    heap = []
+    for k in range(n - 1):
+        if (found := pair(symbols[k], symbols[k + 1])) is not None:
+            heap.append((found[0], k, symbols[k], symbols[k + 1], found[1]))
+    heapq.heapify(heap)
+    while heap:
+        _, k, a, b, into = heapq.heappop(heap)
+        right = after[k]
+        if symbols[k] != a or right >= n or symbols[right] != b:
+            continue  # one of the two has been merged since
+        symbols[k], symbols[right] = into, None
+        after[k] = right = after[right]
+        if right < n:
+            before[right] = k
+            if (found := pair(into, symbols[right])) is not None:
+                heapq.heappush(heap, (found[0], k, into, symbols[right], found[1]))
+        left = before[k]
+        if left >= 0 and (found := pair(symbols[left], into)) is not None:
+            heapq.heappush(heap, (found[0], left, symbols[left], into, found[1]))
+    return [x for x in symbols if x is not None]
 
 
 def fields(df: DataFrame, *names: str) -> DataFrame:

@@ -4,8 +4,12 @@ A fixed public vocabulary of pieces is shared by all languages; each language ha
 its own probability for every piece. A word's likelihood in a language is the sum
 over all its segmentations into pieces, found by the forward algorithm; a text's
 is the product over its words. Piece probabilities are trained by expectation
-maximisation (forward and backward) on word counts of a bounded sample of rows
-with a known language; every text is then scored whole.
+maximisation (forward and backward) on all words of a bounded sample of the rows
+of each language; every text is then scored whole.
+
+A word is a run without white space, in lower case, with a stop behind letters cut
+off; a run of more than ``WORD_CHARS`` characters, as in scripts without spaces, is
+several words of so many. Training and scoring cut words by the same function.
 """
 
 from __future__ import annotations
@@ -14,18 +18,23 @@ import re
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from ..shipping import ship
 from .common import Interned, slices, tokenizer_path
 
 _MARK = "▁"
-#: About so many rows (at most about twice) are read for training; the most frequent words of each language are kept.
-SAMPLE_ROWS, WORDS_OF_LANGUAGE, MOST_LANGUAGES = 4000, 20_000, 64
+#: About so many rows of each language (at most about twice) are read for training: the one bound of the fit.
+SAMPLE_ROWS = 1000
+#: Characters of a word: no product of so many probabilities underflows.
+WORD_CHARS = 32
 ROUNDS = 3
 #: Probability mass that every language gives to pieces it has not seen, and of a character outside the vocabulary.
 UNSEEN, OUTSIDE = 0.01, 1e-6
 UNKNOWN = "und"
+#: Bytes of a model, above which training fails: some 8,000 languages with a vocabulary of 32,000 pieces.
+MODEL_BYTES = 1 << 30
+#: Numbers that a worker keeps for the words it has scored.
+KEPT_SCORES = 4_000_000
 
 
 class Lattice:
@@ -80,23 +89,16 @@ class Lattice:
                 yield np.array(part), pieces
 
     def forward(self, pieces, prob):
-        """Per word and language, the log of the summed probability; also all scaled sums and scales."""
+        """Per word and language, the log of the probability summed over all segmentations."""
         import numpy as np
 
         n, width = pieces.shape[1] - 1, pieces.shape[2] - 1
         alpha = np.zeros((n + 1, len(pieces), prob.shape[1]))
         alpha[0] = 1
-        log = np.zeros((len(pieces), prob.shape[1]))
         for end in range(1, n + 1):
             for size in range(1, min(end, width) + 1):
                 alpha[end] += alpha[end - size] * prob[pieces[:, end, size]]
-            if end % 8 == 0:
-                low = max(0, end - width)
-                scale = alpha[low : end + 1].max(0)
-                scale[scale <= 0] = 1
-                alpha[low : end + 1] /= scale
-                log += np.log(scale)
-        return np.log(np.maximum(alpha[n], 1e-300)) + log, alpha
+        return np.log(alpha[n])
 
     def expected(self, pieces, prob, weight):
         """Expected counts of the pieces in words of the given weight, for one language."""
@@ -125,37 +127,65 @@ class Lattice:
 _PRE = re.compile(rb"[a-z\xc3\x80-\x96\x98-\xb6\xb8-\xbf]+(?=[.,])|[^\x20\x09-\x0D]+")
 
 
-def _word(data: bytes) -> str:
-    word = data.decode(errors="replace").lower()
-    return word if word[0] in ".," else _MARK + word
+def _runs(data: bytes) -> list[bytes]:
+    return _PRE.findall(data.lower())
+
+
+def _words(run: bytes) -> list[str]:
+    """The words of a run: itself with a mark, or pieces of ``WORD_CHARS`` characters where it is longer."""
+    word = run.decode(errors="replace").lower()
+    word = word if word[0] in ".," else _MARK + word
+    return [word[k : k + WORD_CHARS] for k in range(0, len(word), WORD_CHARS)]
+
+
+def _counted(batches):
+    """(lang, w, n): the runs of texts, counted per slice."""
+    from collections import Counter
 
+    import pyarrow as pa
 
-def train(docs: DataFrame, usable: Column | None = None, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", model: str = "piece_bpe_32k.model", folder: str | None = None, sample_rows: int = SAMPLE_ROWS) -> dict:
-    """Languages, their shares of the rows and the piece probabilities, from rows with a language.
+    for batch in slices(batches):
+        counts = Counter()
+        for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()).to_pylist(), strict=True):
+            counts.update((lang, w) for w in _runs(text))
+        rows = [(lang, w, n) for (lang, w), n in counts.items()]
+        yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.string(), pa.binary(), pa.int64()))], ["lang", "w", "n"])
 
-    Only a sample bounded by ``sample_rows`` is read, and of it the
-    ``WORDS_OF_LANGUAGE`` most frequent words of at most 40 characters.
+
+def train(docs: DataFrame, usable: Column | None = None, text_col: str = "text", lang_col: str = "lang", model: str = "piece_bpe_32k.model", folder: str | None = None, sample_rows: int = SAMPLE_ROWS) -> dict:
+    """Languages, their shares of the rows and the piece probabilities, from rows with a language and a text.
+
+    Of each language about ``sample_rows`` rows are read, all if it has fewer,
+    chosen by a hash of the text; equal texts of a language count once. All words
+    of those rows are learned from. Shares are counted over all rows.
     """
     import numpy as np
 
+    ship(docs.sparkSession)
     rows = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
     if usable is not None:
         rows = rows.where(usable)
-    every = max(1, docs.count() // sample_rows)
-    part = rows.where(F.pmod(F.xxhash64(id_col), F.lit(every)) == 0)
-    words = part.select(F.col(lang_col).alias("lang"), F.explode(F.split(F.lower(text_col), r"[\x20\x09-\x0D]+|(?<=\p{L})(?=[.,])")).alias("w"))
-    words = words.where("w != '' and length(w) <= 40").groupBy("lang", "w").agg(F.count(F.lit(1)).alias("n"))
-    top = words.withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "w"))).where(F.col("r") <= WORDS_OF_LANGUAGE)
-    shares = {r["lang"]: r["n"] for r in part.groupBy(F.col(lang_col).alias("lang")).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(MOST_LANGUAGES).collect()}
+    rows = rows.select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
+    shares = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
     langs = sorted(shares)
-    by: dict[str, dict[str, int]] = {k: {} for k in langs}
-    for r in top.where(F.col("lang").isin(langs)).select("lang", "w", "n").collect() if langs else []:
-        by[r["lang"]][_word(r["w"].encode())] = r["n"]
     lattice = Lattice(model, folder)
     size = lattice.never + 1
-    probs = np.zeros((size, len(langs)))
+    if 4 * size * len(langs) > MODEL_BYTES:
+        raise ValueError(f"{len(langs)} languages: the model would be larger than {MODEL_BYTES} bytes")
+    by: dict[str, dict[str, int]] = {k: {} for k in langs}
+    if langs:
+        every = F.create_map(*[x for k in langs for x in (F.lit(k), F.lit(max(1, shares[k] // sample_rows)))])
+        # Copies of a text are one row, so that a hot one does not fill the sample.
+        part = rows.withColumn("h", F.xxhash64("text")).where(F.pmod("h", F.element_at(every, F.col("lang"))) == 0)
+        part = part.groupBy("lang", "h").agg(F.min("text").alias("text")).select("lang", "text")
+        words = part.mapInArrow(_counted, "lang string, w binary, n long").groupBy("lang", "w").agg(F.sum("n").alias("n"))
+        for r in words.collect():
+            own = by[r["lang"]]
+            for w in _words(bytes(r["w"])):
+                own[w] = own.get(w, 0) + r["n"]
+    probs = np.zeros((size, len(langs)), np.float32)
     for k, lang in enumerate(langs):
-        words_k = list(by[lang])
+        words_k = sorted(by[lang])
         weight = np.array([by[lang][w] for w in words_k], float)
         groups = list(lattice.groups(words_k))
         p = np.full(size, 1.0 / size)
@@ -170,8 +200,7 @@ def train(docs: DataFrame, usable: Column | None = None, id_col: str = "doc_id",
             p[lattice.outside], p[lattice.never] = OUTSIDE, 0
         probs[:, k] = p
     total = sum(shares.values())
-    prior = [shares[k] / total for k in langs]
-    return {"model": model, "folder": folder, "langs": langs, "prior": prior, "prob": probs.astype(np.float32)}
+    return {"model": model, "folder": folder, "langs": langs, "prior": [shares[k] / total for k in langs], "prob": probs}
 
 
 class Identifier:
@@ -183,29 +212,30 @@ class Identifier:
         self.np, self.langs = np, trained["langs"]
         self.lattice = Lattice(trained["model"], trained["folder"])
         self.prob = trained["prob"].astype(float)
-        self.prior = np.log(np.maximum(trained["prior"], 1e-12))
-        self.words = Interned(self._score, limit=500_000)
+        self.prior = np.log(trained["prior"])
+        self.runs = Interned(self._score, limit=max(1000, KEPT_SCORES // (len(self.langs) + 1)))
 
-    def _score(self, words: list[bytes]):
+    def _score(self, runs: list[bytes]):
+        """Per run, its log-likelihood in each language, and whether it has a letter."""
         np = self.np
-        out = np.zeros((len(words), len(self.langs) + 1))
-        texts = [_word(w) for w in words]
-        for members, pieces in self.lattice.groups(texts):
-            out[members, :-1] = self.lattice.forward(pieces, self.prob)[0]
-        out[:, -1] = [any(c.isalpha() for c in t) for t in texts]
+        words = [_words(r) for r in runs]
+        owner = np.repeat(np.arange(len(runs)), [len(x) for x in words])
+        out = np.zeros((len(runs), len(self.langs) + 1))
+        for members, pieces in self.lattice.groups([w for x in words for w in x]):
+            np.add.at(out, (owner[members], slice(0, -1)), self.lattice.forward(pieces, self.prob))
+        out[:, -1] = [any(c.isalpha() for w in x for c in w) for x in words]
         return out
 
     def batch(self, texts: list[bytes | None]) -> list[tuple[str, float]]:
         np = self.np
-        words = [_PRE.findall(t.lower()) if t else [] for t in texts]
-        every = [w for x in words for w in x]
+        runs = [_runs(t) if t else [] for t in texts]
+        every = [w for x in runs for w in x]
         if not every or not self.langs:
             return [(UNKNOWN, 0.0)] * len(texts)
-        numbers = self.words.index(every)
-        rows = self.words.values[numbers]
+        numbers = self.runs.index(every)
         out, at = [], 0
-        for x in words:
-            sums = rows[at : at + len(x)].sum(0)
+        for x in runs:
+            sums = self.runs.values[numbers[at : at + len(x)]].sum(0)
             at += len(x)
             if not sums[-1]:
                 out.append((UNKNOWN, 0.0))
@@ -220,9 +250,10 @@ def identify(docs: DataFrame, trained: dict, id_col: str = "doc_id", text_col: s
     """One row per input row: ``id, lang_pred, score``.
 
     ``lang_pred`` is a trained language, or ``und`` with score 0 where the text is
-    null or has no letter, or nothing was trained. Repeated rows get a row each; an
-    empty table gives an empty result. The model is as large as the vocabulary
-    times the number of languages, at most ``MOST_LANGUAGES``.
+    null or has no letter, or nothing was trained. Of languages with equal scores
+    the first by name wins. Repeated rows get a row each; an empty table gives an
+    empty result; other columns are not read. What is broadcast, the model, has
+    four bytes for each piece and language, at most ``MODEL_BYTES``.
     """
     spark = docs.sparkSession
     ship(spark)
@@ -241,6 +272,7 @@ def identify(docs: DataFrame, trained: dict, id_col: str = "doc_id", text_col: s
 
 
 def op3_language_id(spark, sf_dir: str) -> DataFrame:
+    """The language of every document, learned from those that are not held out; null and empty texts as in :func:`identify`."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     held_out = F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(3)) == 1
     found = identify(docs, train(docs, ~held_out))
