@@ -6,6 +6,10 @@ the vocabulary. The distinct new pre-tokens of a batch are held as one ragged
 array of symbols; in each round every pre-token merges its leftmost pair of lowest
 rank at once, until no pair is left. The survivors are the tokens; a character
 outside the vocabulary counts one token per UTF-8 byte.
+
+A round takes one merge of every sequence, so a sequence of n symbols takes up to n
+rounds. Those of more than ``RUN`` symbols without a border (a megabyte of one
+letter) are merged by a heap in the same order, in n log n steps.
 """
 
 from __future__ import annotations
@@ -15,7 +19,7 @@ import re
 from pyspark.sql import DataFrame
 
 from ..shipping import ship
-from .common import Interned, slices, tokenizer_path
+from .common import Interned, merge_in_order, slices, tokenizer_path
 
 _MARK = "▁"
 _PRE = re.compile(rb" +[^ \n]*|[^ \n]+")
@@ -24,6 +28,8 @@ _LETTERS = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz" + "".join(chr(
 _PRE_STOPS = re.compile(rb" *[A-Za-z\xc3\x80-\x96\x98-\xb6\xb8-\xbf]+(?=[.,])| +[^ \n]*|[^ \n]+")
 #: Pre-tokens of more symbols are cut where no piece spans the cut, before they are merged.
 LONG = 64
+#: Symbols above which a sequence is merged on its own, by a heap.
+RUN = 1024
 
 
 class MergeTable:
@@ -55,6 +61,7 @@ class MergeTable:
         self.into = np.array([x[2] for x in pairs], np.int64)
         self.none = np.int64(1 << 40)
         self.inner = {p[k : k + 2] for p in self.id for k in range(len(p) - 1)}
+        self.pair = {k: (r, i) for k, r, i in pairs}
 
     def pair_ranks(self, a, b):
         """Rank and result of merging symbols a and b; ``none`` where they don't merge."""
@@ -72,10 +79,21 @@ class MergeTable:
         cuts = [0, *(k for k in range(1, len(chars)) if chars[k - 1 : k + 1] not in self.inner), len(chars)]
         return [chars[a:b] for a, b in zip(cuts, cuts[1:], strict=False)]
 
+    def count_run(self, chars: str) -> int:
+        """Tokens of one long sequence."""
+        left = merge_in_order([self.id.get(c, -1 - ord(c)) for c in chars], lambda a, b: self.pair.get(a << 32 | b) if a >= 0 <= b else None)
+        return sum(1 if x >= 0 else len(chr(-1 - x).encode(errors="replace")) for x in left)
+
     def counts(self, chunks: list[str]):
         """Tokens of each chunk of symbols, all merged in step."""
         import numpy as np
 
+        if any(len(c) > RUN for c in chunks):
+            out = self.counts([c if len(c) <= RUN else "" for c in chunks])
+            for k, c in enumerate(chunks):
+                if len(c) > RUN:
+                    out[k] = self.count_run(c)
+            return out
         lens = np.fromiter(map(len, chunks), np.int64, len(chunks))
         text = "".join(chunks)
         symbols = np.fromiter((self.id.get(c, -1) for c in text), np.int64, len(text))
@@ -162,7 +180,7 @@ def token_counts(docs: DataFrame, model: str = "piece_bpe_32k.model", limit: int
     """One row per input row: ``id, n_bytes, n_tokens, over_limit``.
 
     A null or empty text has none of either. Repeated rows get a row each; an empty
-    table gives an empty result.
+    table gives an empty result; other columns are not read.
     """
     ship(docs.sparkSession)
     kind = docs.schema[id_col].dataType.simpleString()
@@ -183,4 +201,5 @@ def token_counts(docs: DataFrame, model: str = "piece_bpe_32k.model", limit: int
 
 
 def op6_token_counts(spark, sf_dir: str) -> DataFrame:
+    """Token counts of every document; null and empty texts as in :func:`token_counts`."""
     return token_counts(spark.read.parquet(f"{sf_dir}/documents.parquet"))
