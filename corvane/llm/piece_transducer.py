@@ -1,16 +1,25 @@
 """SentencePiece encoding and decoding by weighted finite-state transducers.
 
-Three machines are compiled from a model file: a normaliser (spaces to marks, a
-mark in front), a trie of pieces with byte fallback, and an acceptor of piece
-pairs. Composed with a text they give a lattice of arcs, whose shortest path in
-the tropical semiring is the encoding.
-
-For unigram models an arc weighs minus its piece's score. For BPE models (such as
-the default one) a sum of scores does not give the model's segmentation, so the
-weights come from the acceptor instead: a pair of neighbouring pieces costs 0 if
-byte-pair merging of their concatenation leaves just that pair, and infinity
-otherwise. A segmentation is the one that merging produces if and only if all its
-neighbours are such pairs, so exactly one path has a finite weight.
+From a model file four machines are compiled to arc tables over characters, with
+weights in the tropical semiring (sums along a path, the least of all paths):
+
+* the normaliser puts a mark in front of a text and turns spaces into marks;
+* the pieces are a trie that emits a piece's id where it ends and starts anew;
+* the fallback takes any character without a piece and emits its UTF-8 bytes;
+* the acceptor of pairs weighs neighbouring pieces.
+
+Normaliser, pieces and fallback are composed once, when a model is loaded. Their
+composition with a text and the acceptor has a state for each place of the text
+and piece that ends there; it is unfolded while the shortest path is searched.
+
+For unigram models a piece weighs minus its score and the acceptor accepts all
+pairs with weight 0, so the last piece makes no difference. For BPE models a sum
+of scores is not what the model computes: pieces weigh 0, and the acceptor weighs
+a pair 0 if byte-pair merging of their concatenation leaves just that pair, and
+infinity otherwise. A segmentation is the one that merging produces if and only if
+all its neighbours are such pairs. So the path of least weight is the encoding, of
+any beginning of the text as well: one state per place has a finite weight. For
+both kinds, then, the search keeps one state per place and is linear in the arcs.
 
 Texts are composed piecewise: no piece crosses the front of a run of marks or a
 line break, which is checked against the vocabulary.
@@ -18,19 +27,67 @@ line break, which is checked against the vocabulary.
 
 from __future__ import annotations
 
+import codecs
 import re
 import zlib
 
 from pyspark.sql import DataFrame
 
 from ..shipping import ship
-from .common import Interned, slices, tokenizer_path
+from .common import Interned, merge_in_order, slices, tokenizer_path
 
 _MARK = "▁"
-_PRE = re.compile(rb" +[^ \n]*|[^ \n]+|\n")
 _LETTERS = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz" + "".join(chr(c) for c in range(0xC0, 0x100) if c not in (0xD7, 0xF7))
+_PRE_PLAIN = re.compile(rb" +[^ \n]*|[^ \n]+|\n")
 _PRE_STOPS = re.compile(rb" *[A-Za-z\xc3\x80-\x96\x98-\xb6\xb8-\xbf]+(?=[.,])| +[^ \n]*|[^ \n]+|\n")
 INFINITE = float("inf")
+#: The weight of a character that is spelled in bytes: more than any path of pieces.
+SPELLED = 1e6
+codecs.register_error("corvane_each_byte", lambda e: ("\ufffd" * (e.end - e.start), e.end))
+
+
+class Machine:
+    """A transducer from characters to pieces: arcs by state and character, what a state emits, and its weight.
+
+    State 0 is the start; ``rest`` is the weight of the arc that spells a character
+    in bytes, where no single-character piece begins at a place.
+    """
+
+    def __init__(self, pieces: dict[str, int], weight: dict[int, float], normal: dict[str, str]):
+        inverse: dict[str, list[str]] = {}
+        for char, to in normal.items():
+            inverse.setdefault(to, []).append(char)
+        self.step: list[dict[str, int]] = [{}]
+        self.emits: list[int] = [-1]
+        self.weight: list[float] = [0.0]
+        for text, piece in pieces.items():
+            state = 0
+            for c in text:
+                to = self.step[state].get(c)
+                if to is None:
+                    to = len(self.step)
+                    self.step.append({}), self.emits.append(-1), self.weight.append(0.0)
+                    # Composed with the normaliser: every character that becomes c takes the same arc.
+                    for char in (c, *inverse.get(c, ())):
+                        self.step[state][char] = to
+                state = to
+            self.emits[state], self.weight[state] = piece, weight[piece]
+        self.rest, self.longest = SPELLED, max(map(len, pieces), default=1)
+
+    def arcs(self, text: str, place: int) -> list[tuple[int, int, float]]:
+        """(stop, piece, weight) of the paths from a place of the text back to the start; -1 is a character in bytes."""
+        out, step, emits = [], self.step, self.emits
+        state, stop = 0, place
+        for c in text[place : place + self.longest]:
+            state = step[state].get(c)
+            if state is None:
+                break
+            stop += 1
+            if emits[state] >= 0:
+                out.append((stop, emits[state], self.weight[state]))
+        if not out or out[0][0] > place + 1:
+            out.append((place + 1, -1, self.rest))
+        return out
 
 
 class Transducer:
@@ -41,153 +98,86 @@ class Transducer:
 
         sp = sentencepiece.SentencePieceProcessor(model_file=tokenizer_path(name, folder))
         n = sp.get_piece_size()
-        self.piece = [sp.id_to_piece(i) for i in range(n)]
+        piece = [sp.id_to_piece(i) for i in range(n)]
         plain = [i for i in range(n) if not (sp.is_byte(i) or sp.is_control(i) or sp.is_unknown(i) or sp.is_unused(i))]
-        self.id = {self.piece[i]: i for i in plain}
-        self.byte = {int(self.piece[i][3:5], 16): i for i in range(n) if sp.is_byte(i)}
-        self.is_byte = {i: b for b, i in self.byte.items()}
-        self.skipped = {i for i in range(n) if sp.is_control(i)}
+        byte = {int(piece[i][3:5], 16): i for i in range(n) if sp.is_byte(i)}
         probe = "ﬁ Å  ½ á"
-        if sp.decode(sp.encode(probe)) != probe or len(self.byte) != 256:
+        if sp.decode(sp.encode(probe)) != probe or len(byte) != 256:
             raise ValueError("only models with an identity normaliser and byte fallback are supported")
-        if any(_MARK in p.lstrip(_MARK) or "\n" in p for p in self.id):
+        if any(_MARK in piece[i].lstrip(_MARK) or "\n" in piece[i] for i in plain):
             raise ValueError("a piece spans the borders of words")
-        score = [sp.get_score(i) for i in range(n)]
-        # BPE scores are minus the rank of a merge, unigram scores are logarithms with fractions.
-        self.bpe = all(float(score[i]).is_integer() for i in plain)
-        ranked = {s: r for r, s in enumerate(sorted({score[i] for i in plain}, reverse=True))}
-        self.rank = {i: ranked[score[i]] for i in plain}
-        self.cost = {i: -score[i] for i in plain}
-        #: Every beginning of a piece, which is a state of the trie; -2 where no piece ends.
-        self.trie = {p[:k]: -2 for p in self.id for k in range(1, len(p))} | self.id
+        self.compile({piece[i]: i for i in plain}, {i: sp.get_score(i) for i in plain}, byte, {i for i in range(n) if sp.is_control(i)})
         inner = {p[k : k + 2] for p in self.id for k in range(len(p) - 1)}
-        self.find = (_PRE if any(c + s in inner for c in _LETTERS for s in ".,") else _PRE_STOPS).findall
-        self._pair: dict[int, bool] = {}
+        self.find = (_PRE_PLAIN if any(c + s in inner for c in _LETTERS for s in ".,") else _PRE_STOPS).findall
+
+    def compile(self, pieces: dict[str, int], score: dict[int, float], byte: dict[int, int], skipped: set[int]) -> None:
+        """The machines of pieces with their scores, byte pieces, and ids that decode to nothing."""
+        self.id, self.piece = pieces, {i: p for p, i in pieces.items()}
+        # BPE scores are minus the rank of a merge, unigram scores are logarithms with fractions.
+        self.bpe = all(float(x).is_integer() for x in score.values())
+        ranked = {s: r for r, s in enumerate(sorted(set(score.values()), reverse=True))}
+        self.rank = {i: ranked[x] for i, x in score.items()}
+        self.machine = Machine(pieces, {i: 0.0 if self.bpe else -x for i, x in score.items()}, {" ": _MARK})
+        self.byte = byte
+        self.out = {i: p.replace(_MARK, " ").encode() for p, i in pieces.items()} | {i: bytes([b]) for b, i in byte.items()} | dict.fromkeys(skipped, b"")
+        self._pair: dict[int, float] = {}
         self._known = Interned(self._encode_words, limit=400_000)
         self._flat, self._used = None, 0
 
-    # The acceptor of pairs.
-
-    def merged(self, text: str) -> list[str]:
-        """Byte-pair merging as defined: the best pair, of those the leftmost, again and again."""
-        parts = list(text)
-        while True:
-            best = None
-            for k in range(len(parts) - 1):
-                i = self.id.get(parts[k] + parts[k + 1])
-                if i is not None and (best is None or self.rank[i] < best[0]):
-                    best = self.rank[i], k
-            if best is None:
-                return parts
-            k = best[1]
-            parts[k : k + 2] = [parts[k] + parts[k + 1]]
-
-    def accepts(self, a: int, b: int) -> bool:
-        """Whether merging leaves the two pieces side by side."""
-        key = a << 32 | b
-        got = self._pair.get(key)
-        if got is None:
-            x, y = self.piece[a], self.piece[b]
-            got = x + y not in self.id and self.merged(x + y) == [x, y]
-            if len(self._pair) > 1_000_000:
-                self._pair.clear()
-            self._pair[key] = got
-        return got
-
-    # Composition with a text and the shortest path.
-
-    def arcs(self, text: str, start: int) -> list[tuple[int, int]]:
-        """The (stop, piece) arcs of the composed lattice out of a place, shortest first; -1 is a fallback to bytes."""
-        out, trie = [], self.trie.get
-        for stop in range(start + 1, len(text) + 1):
-            piece = trie(text[start:stop])
-            if piece is None:
-                break
-            if piece >= 0:
-                out.append((stop, piece))
-        if not out or out[0][0] > start + 1:
-            out.insert(0, (start + 1, -1))
-        return out
+    # The acceptor of pairs: its arcs are made when they are first met.
 
-    def shortest_path(self, text: str) -> list[int]:
-        """Pieces of the path of least weight through the lattice of ``text`` (marks in place of spaces)."""
-        if not text:
-            return []
-        path = self._finite_path(text) if self.bpe else self._cheapest_path(text)
-        if -1 not in path:
-            return path
-        ids, at = [], 0
-        for piece in path:
-            if piece >= 0:
-                ids.append(piece)
-                at += len(self.piece[piece])
-            else:
-                ids += [self.byte[b] for b in text[at].encode(errors="replace")]
-                at += 1
-        return ids
+    def _merge(self, a: str, b: str):
+        i = self.id.get(a + b)
+        return None if i is None else (self.rank[i], a + b)
 
-    def _cheapest_path(self, text: str) -> list[int]:
-        n = len(text)
-        weight, before = [0.0] + [INFINITE] * n, [(0, -1)] * (n + 1)
-        for start in range(n):
-            for stop, piece in self.arcs(text, start):
-                w = weight[start] + (self.cost[piece] if piece >= 0 else 1e6)
-                if w < weight[stop]:
-                    weight[stop], before[stop] = w, (start, piece)
-        path = []
-        while n:
-            n, piece = before[n]
-            path.append(piece)
-        return path[::-1]
+    def pair_weight(self, a: int, b: int) -> float:
+        """0 if merging leaves the two pieces side by side, else infinite."""
+        x, y = self.piece[a], self.piece[b]
+        w = 0.0 if x + y not in self.id and merge_in_order(list(x + y), self._merge) == [x, y] else INFINITE
+        if len(self._pair) > 1_000_000:
+            self._pair.clear()
+        self._pair[a << 32 | b] = w
+        return w
 
-    def _finite_path(self, text: str) -> list[int]:
-        """The one path of finite weight, which is 0: searched in depth, longest arcs first.
+    def shortest_path(self, text: str) -> list[int]:
+        """Ids of the path of least weight through the composition of ``text``, the machine and the acceptor of pairs.
 
-        A place is reached by one finite path only, so a place from which the search
-        failed once is never entered again, and the search is linear in the arcs.
+        ``text`` has its mark in front already. ``weight[place]`` is that of the state
+        (place, ``last[place]``), ``before[place]`` the place that its last arc comes from.
         """
-        n, pair, accepts = len(text), self._pair.get, self.accepts
-        path: list[int] = []
-        open_: list[list[tuple[int, int]]] = []
-        failed: set[int] = set()
-        at, last, arcs = 0, -1, self.arcs(text, 0)
-        while True:
-            while arcs:
-                stop, piece = arcs.pop()
-                if stop in failed:
+        n = len(text)
+        weight, last, before = [0.0] + [INFINITE] * n, [-1] * (n + 1), [0] * (n + 1)
+        arcs, pair, bpe = self.machine.arcs, self._pair.get, self.bpe
+        for place in range(n):
+            here, own = weight[place], last[place]
+            if here == INFINITE:
+                continue
+            for stop, piece, w in arcs(text, place):
+                w += here
+                if w >= weight[stop]:
                     continue
-                if last >= 0 and piece >= 0:
-                    ok = pair(last << 32 | piece)
-                    if not (accepts(last, piece) if ok is None else ok):
+                if bpe and own >= 0 <= piece:
+                    between = pair(own << 32 | piece)
+                    w += self.pair_weight(own, piece) if between is None else between
+                    if w >= weight[stop]:
                         continue
-                path.append(piece)
-                if stop == n:
-                    return path
-                open_.append(arcs)
-                at, last, arcs = stop, piece, self.arcs(text, stop)
-                break
+                weight[stop], last[stop], before[stop] = w, piece, place
+        path, stop = [], n
+        while stop:
+            place = before[stop]
+            if last[stop] >= 0:
+                path.append(last[stop])
             else:
-                failed.add(at)
-                piece = path.pop()
-                at -= len(self.piece[piece]) if piece >= 0 else 1
-                last, arcs = path[-1] if path else -1, open_.pop()
-
-    def _word(self, text: str) -> list[int]:
-        # Runs of marks merge last and from the left: whatever the last mark joins is split off first.
-        run = len(text) - len(text.lstrip(_MARK))
-        if not self.bpe or run < 2:
-            return self.shortest_path(text)
-        core = self.shortest_path(text[run - 1 :])
-        if core and self.piece[core[0]] == _MARK:
-            return [self.id[p] for p in self.merged(_MARK * run)] + core[1:]
-        return [self.id[p] for p in self.merged(_MARK * (run - 1))] + core
+                path += [self.byte[b] for b in reversed(text[place:stop].encode(errors="replace"))]
+            stop = place
+        return path[::-1]
 
     def _encode_words(self, words: list[bytes]):
         import numpy as np
 
         if self._known.values is None:
             self._flat, self._used = np.empty(1 << 20, np.int32), 0
-        made = [self._word(w.decode(errors="replace").replace(" ", _MARK)) for w in words]
+        made = [self.shortest_path(w.decode(errors="replace")) for w in words]
         out = np.empty((len(words), 2), np.int64)
         out[:, 1] = [len(x) for x in made]
         ends = np.cumsum(out[:, 1]) + self._used
@@ -200,17 +190,14 @@ class Transducer:
         self._used = int(ends[-1])
         return out
 
-    def normalise(self, data: bytes) -> bytes:
-        """The text as the model sees it, with spaces for marks: one space in front, unless it is empty."""
-        return b" " + data.replace(b"\xe2\x96\x81", b" ") if data else b""
-
     def encode_batch(self, texts: list[bytes]) -> list:
         """Arrays of the ids of texts in UTF-8."""
         import numpy as np
 
         every, sizes = [], []
         for data in texts:
-            words = self.find(self.normalise(data))
+            # The normaliser's arc out of its start; marks of the text itself are cut like spaces.
+            words = self.find(b" " + data.replace(b"\xe2\x96\x81", b" ")) if data else []
             every += words
             sizes.append(len(words))
         if not every:
@@ -227,22 +214,8 @@ class Transducer:
         return self.encode_batch([data])[0].tolist()
 
     def decode(self, ids: list[int]) -> str:
-        """The text of ids: pieces joined, bytes put together, marks to spaces, without the space in front."""
-        out: list[str] = []
-        held = bytearray()
-        piece, is_byte, skipped = self.piece, self.is_byte, self.skipped
-        for i in ids:
-            if i in is_byte:
-                held.append(is_byte[i])
-                continue
-            if held:
-                out.append(held.decode(errors="replace"))
-                held.clear()
-            if i not in skipped:
-                out.append(piece[i])
-        if held:
-            out.append(held.decode(errors="replace"))
-        return "".join(out).replace(_MARK, " ").removeprefix(" ")
+        """The text of ids: the output side of the pieces, marks to spaces, without the space in front."""
+        return b"".join(map(self.out.__getitem__, ids)).decode(errors="corvane_each_byte").removeprefix(" ")
 
 
 def encode_rows(docs: DataFrame, model: str = "piece_bpe_32k.model", id_col: str = "doc_id", text_col: str = "text", folder: str | None = None, with_ids: bool = True) -> DataFrame:
@@ -251,7 +224,7 @@ def encode_rows(docs: DataFrame, model: str = "piece_bpe_32k.model", id_col: str
     ``ids_crc32`` is of the ids as little-endian unsigned 32-bit numbers; ``round_trip``
     says whether decoding gives the text again (marks in a text come back as spaces).
     A null or empty text has no pieces. Repeated rows get a row each; an empty table
-    gives an empty result.
+    gives an empty result; other columns are not read.
     """
     ship(docs.sparkSession)
     kind = docs.schema[id_col].dataType.simpleString()
@@ -293,4 +266,5 @@ def decode_rows(rows: DataFrame, model: str = "piece_bpe_32k.model", id_col: str
 
 
 def op2_sentencepiece(spark, sf_dir: str) -> DataFrame:
-    return encode_rows(spark.read.parquet(f"{sf_dir}/documents.parquet"), with_ids=False)
+    """Pieces, decoded text and digests of every document; null and empty texts as in :func:`encode_rows`."""
+    return encode_rows(spark.read.parquet(f"{sf_dir}/documents.parquet"))

@@ -48,10 +48,31 @@ def test_transducer_like_the_library(table, sp, texts):
 
 def test_unigram_paths():
     t = piece_transducer.Transducer.__new__(piece_transducer.Transducer)
-    t.bpe, t.id = False, {"a": 0, "b": 1, "ab": 2, "abc": 3, "c": 4}
-    t.trie = {"a": 0, "b": 1, "ab": 2, "abc": 3, "c": 4}
-    t.cost, t.piece, t.byte = {0: 1.0, 1: 1.0, 2: 1.5, 3: 9.0, 4: 1.0}, ["a", "b", "ab", "abc", "c"], {i: 1000 + i for i in range(256)}
-    assert t.shortest_path("abc") == [2, 4] and t.shortest_path("aéb") == [0, 1000 + 0xC3, 1000 + 0xA9, 1]
+    t.compile({"a": 0, "b": 1, "ab": 2, "abc": 3, "c": 4, "▁": 5, "▁a": 6}, {0: -1.0, 1: -1.0, 2: -1.5, 3: -9.25, 4: -1.0, 5: -1.0, 6: -3.0}, {i: 1000 + i for i in range(256)}, set())
+    assert not t.bpe and t.shortest_path("abc") == [2, 4] and t.shortest_path("aéb") == [0, 1000 + 0xC3, 1000 + 0xA9, 1]
+    assert t.shortest_path(" a") == t.shortest_path("▁a") == [5, 0] and t.decode([5, 0, 1000 + 0xC3, 1000 + 0xA9]) == "aé"
+
+    def least(text):  # all segmentations
+        best = {0: 0.0}
+        for stop in range(1, len(text) + 1):
+            best[stop] = min(best[k] + {"a": 1, "b": 1, "ab": 1.5, "abc": 9.25, "c": 1}.get(text[k:stop], 99) for k in range(stop))
+        return best[len(text)]
+
+    r = np.random.default_rng(1)
+    for _ in range(50):
+        text = "".join(r.choice(list("abc"), 9))
+        assert sum({0: 1, 1: 1, 2: 1.5, 3: 9.25, 4: 1}[i] for i in t.shortest_path(text)) == least(text)
+
+
+def test_random_symbols_and_long_runs_like_the_library(sp):
+    m, c = piece_transducer.Transducer("piece_bpe_32k.model"), token_counts.PieceCounter("piece_bpe_32k.model")
+    r = np.random.default_rng(5)
+    chars = list("abcdeth ▁ .,\n=-é你🙂AB")
+    texts = ["".join(r.choice(chars[: r.choice([4, 8, 12, len(chars)])], r.integers(0, 60))) for _ in range(600)]
+    texts += ["a" * 100_000, "ab" * 50_000, " " * 100_000, "▁" * 5000 + "x" * 5000, "=" * 3000 + "你" * 3000, "".join(r.choice(list("etaoin"), 20_000))]
+    for t in texts:
+        ids = sp.encode(t)
+        assert m.encode(t.encode()) == ids and c.batch([t.encode()]) == [len(ids)] and m.decode(ids) == sp.decode(ids)
 
 
 def test_packing_covers_every_id_once(table, texts):
@@ -169,6 +190,65 @@ def test_language_odd_rows(table):
     assert [r["lang_pred"] for r in language_id.identify(table([(1, "x")]), nothing).collect()] == ["und"]
 
 
+def segmentations(w, known):
+    """All lists of pieces of w; a character alone is a piece in any case."""
+    if not w:
+        yield []
+    for j in range(1, len(w) + 1):
+        if j == 1 or w[:j] in known:
+            for rest in segmentations(w[j:], known):
+                yield [w[:j], *rest]
+
+
+def test_expected_counts_over_all_segmentations():
+    lattice = language_id.Lattice("piece_bpe_32k.model")
+    p = np.random.default_rng(1).random(lattice.never + 1)
+    p[lattice.never] = 0
+    words, weight = ["▁the", "▁cats", "▁é你x", "▁nation", "the"], np.array([3.0, 1, 2, 5, 4])
+    want = np.zeros(lattice.never + 1)
+    for w, n in zip(words, weight, strict=True):
+        paths = [[lattice.id.get(x, lattice.outside) for x in path] for path in segmentations(w, lattice.id)]
+        shares = np.array([np.prod(p[path]) for path in paths])
+        for path, s in zip(paths, shares / shares.sum(), strict=True):
+            np.add.at(want, path, n * s)
+    got = sum(lattice.expected(pieces, p, weight[members]) for members, pieces in lattice.groups(words))
+    assert np.allclose(got, want)
+
+
+def test_language_decision_like_brute_force(spark):
+    rows = [(1, "the cat, sat.", "en"), (2, "der hund bellt", "de"), (3, "the dog", "en"), (4, "le chat. noir", "fr"), (4, "le chat. noir", "fr"), (5, None, "fr"), (6, "x", None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    trained = language_id.train(docs)
+    assert trained["langs"] == ["de", "en", "fr"] and np.allclose(trained["prior"], [1 / 5, 2 / 5, 2 / 5])
+    lattice, prob = language_id.Lattice("piece_bpe_32k.model"), trained["prob"].astype(float)
+    texts = ["the chat", "hund. Noir,", "É le", "dog " * 3, "x" * 70, "12 ab"]
+    got = {r["doc_id"]: r for r in language_id.identify(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), trained).collect()}
+    for i, t in enumerate(texts):
+        score = np.log(trained["prior"])
+        for run in re.findall(r"[^\W\d_]+(?=[.,])|[^ ]+", t.lower()):
+            marked = run if run[0] in ".," else "▁" + run
+            for k in range(0, len(marked), language_id.WORD_CHARS):
+                w, alpha = marked[k : k + language_id.WORD_CHARS], [np.ones(3)]
+                for end in range(1, len(w) + 1):
+                    alpha.append(sum(alpha[s] * (prob[lattice.id[w[s:end]]] if w[s:end] in lattice.id else prob[lattice.outside] if end - s == 1 else 0) for s in range(end)))
+                score = score + np.log(alpha[-1])
+        share = np.exp(score - score.max())
+        assert got[i]["lang_pred"] == trained["langs"][int(score.argmax())] and abs(got[i]["score"] - share.max() / share.sum()) < 1e-9, t
+
+
+def test_language_fit_has_no_caps(spark):
+    # A hundred languages, each with a word of its own that is longer than any piece; one fills the table with copies of a text.
+    rows = [(k, f"word{k % 100:02d}" + "x" * 60 + f" {'abcdefghij'[k % 10]}{'abcdefghij'[k // 10 % 10]} " * 4 + f"n{k}", f"l{k % 100:02d}") for k in range(400)]
+    rows += [(1000 + k, "hot text of copies", "l00") for k in range(4000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(4)
+    trained = language_id.train(docs, sample_rows=3)
+    assert len(trained["langs"]) == 100
+    found = {r["doc_id"]: r["lang_pred"] for r in language_id.identify(docs.where("doc_id between 1 and 99"), trained).collect()}
+    assert sum(found[k] == f"l{k:02d}" for k in found) > 90
+    long = spark.createDataFrame([(1, "a" * 300_000), (2, "你" * 50_000)], "doc_id long, text string")
+    assert language_id.identify(long, trained).count() == 2
+
+
 def test_forward_sums_all_segmentations():
     lattice = language_id.Lattice("piece_bpe_32k.model")
     r = np.random.default_rng(0)
@@ -191,7 +271,7 @@ def test_forward_sums_all_segmentations():
 
     words = ["▁the", "▁cats", "▁é你x", "▁internation"]
     for members, pieces in lattice.groups(words):
-        got = lattice.forward(pieces, p)[0]
+        got = lattice.forward(pieces, p)
         for row, m in zip(got, members, strict=True):
             assert np.allclose(row, [slow(words[m], k) for k in (0, 1)])
 
