@@ -67,7 +67,7 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None, out=N
     elif args.command == "index":
         c = create_collection(spark, root, args.name, args.algorithm, metric=config["index"]["metric"], chunk_size=ing["chunk_size"], chunk_overlap=ing["chunk_overlap"])
         docs = files.scan_directory(spark, args.path, tuple(args.formats.split(",")), args.recursive)
-        say(c.add_documents(files.loaded(docs)))
+        say(c.add_documents(docs.where("error is null")))
         for r in docs.where("error is not null").select("filepath", "error").collect():
             say(f"failed: {r['filepath']}: {r['error']}")
         if args.test_query:

@@ -12,7 +12,7 @@ from .operators import chunking, context, incremental, prompts
 from .operators.ann import SHARD_VECTORS, HNSWIndex, build_hnsw
 from .operators.cache import AnswerCache
 from .operators.embed import HashEmbedder
-from .operators.knn import knn_join, top_k
+from .operators.knn import knn_join
 from .operators.retrieval import min_score, with_metadata
 from .sources.tables import Tables
 
@@ -36,8 +36,11 @@ class Collection:
         return self.tables.load(kind, self.name) if self.tables.exists(kind, self.name) else None
 
     def add_documents(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> dict:
-        """Chunks and embeds what is new or changed, and drops what it replaces; a second run adds nothing."""
-        docs = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("string").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).dropDuplicates(["doc_id"])
+        """Chunks and embeds what is new or changed, and drops what it replaces; a second run adds nothing.
+
+        Rows without an id are left out; of rows of one id, the greatest text counts.
+        """
+        docs = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("string").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).groupBy("doc_id").agg(F.max("text").alias("text"))
         manifest, chunks, vectors = self._stored("manifests"), self._stored("chunks"), self._stored("embeddings")
         if manifest is None:
             manifest = incremental.manifest_of(docs.limit(0), self.size, self.overlap)
@@ -62,9 +65,9 @@ class Collection:
         self._catalog()
         return counts
 
-    def vectors(self) -> DataFrame:
+    def vectors(self, verify: bool = False) -> DataFrame:
         """``node_id`` (the chunk's id), ``embedding``; embeddings without a chunk are left out."""
-        rows = incremental.with_chunks(self.tables.load("embeddings", self.name), self.tables.load("chunks", self.name))
+        rows = incremental.with_chunks(self.tables.load("embeddings", self.name, verify), self.tables.load("chunks", self.name))
         return rows.select(F.col("chunk_id").alias("node_id"), "embedding")
 
     def _build(self) -> None:
@@ -84,14 +87,18 @@ class Collection:
             fresh = build_hnsw(new_vectors.select(F.col("chunk_id").alias("node_id"), "embedding"), self.metric)
             self.tables.change("indexes", self.name, fresh, stale=stale)
 
-    def index(self):
-        """The stored index, built anew if it is missing; for brute force the vectors."""
+    def index(self, verify: bool = True):
+        """The stored index, built anew if it is missing; for brute force the vectors.
+
+        What is stored is compared with its manifest, unless ``verify`` is off; each
+        part once for each collection object.
+        """
         if self.algorithm == "brute_force":
-            return self.vectors()
+            return self.vectors(verify)
         if not self.tables.exists("indexes", self.name):
             self._build()
         info = self.tables.info("indexes", self.name)["properties"]
-        return HNSWIndex(self.tables.load("indexes", self.name), info["metric"], int(info["ef_search"]), int(info["m"]), int(info["ef_construction"]))
+        return HNSWIndex(self.tables.load("indexes", self.name, verify), info["metric"], int(info["ef_search"]), int(info["m"]), int(info["ef_construction"]))
 
     def search(self, queries: DataFrame, k: int = 5, least: float = 0.0, ef_search: int | None = None, text_col: str = "query") -> DataFrame:
         """``query_id, rank, node_id, score, distance, chunk_id, doc_id, text`` for rows of ``query_id, query``."""
@@ -103,11 +110,9 @@ class Collection:
         if isinstance(index, DataFrame):
             found = knn_join(asked, index, k, self.metric)
         else:
-            # A graph may still hold replaced vectors: more are asked for, and those without a chunk left out.
+            # A graph may still hold replaced vectors: it is searched on until k with a chunk are found.
             stale = int(self.tables.info("indexes", self.name)["properties"].get("stale", 0))
-            found = index.search(asked, k + min(k, stale), ef_search)
-            if stale:
-                found = top_k(found.join(chunks.select("node_id"), "node_id", "left_semi").drop("rank"), k)
+            found = index.search(asked, k, ef_search, live=chunks.select("node_id") if stale else None)
         found = with_metadata(min_score(found, least), chunks, "chunk_id", "doc_id", "text")
         return found.select("query_id", "rank", "node_id", "score", "distance", "chunk_id", "doc_id", "text")
 

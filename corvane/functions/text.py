@@ -106,11 +106,12 @@ def markdown_to_text(t: str | Column, preserve_headers: bool = True, preserve_co
     ``# x``; links keep their text, and with ``preserve_links`` their target; white
     space is collapsed. Underscores inside identifiers count as emphasis.
     """
-    fence = r"(?s)```[^\n`]*\n(.*?)```"
-    # Odd parts between fences are code.
-    parts = F.split(F.regexp_replace(F.coalesce(_c(t), F.lit("")), fence, "\x01$1\x01"), "\x01")
+    fence, t = r"(?s)```[^\n`]*\n(.*?)```", F.coalesce(_c(t), F.lit(""))
+    # A fenced block follows each part of prose but the last.
+    blocks = F.regexp_extract_all(t, F.lit(fence), F.lit(1))
     code = (lambda x: F.concat(F.lit(" [CODE] "), x, F.lit(" [/CODE] "))) if preserve_code_blocks else (lambda x: F.lit(" "))
-    whole = F.transform(parts, lambda x, i: F.when(i % 2 == 1, code(x)).otherwise(_markdown_prose(x, preserve_headers, preserve_links)))
+    after = lambda i: F.when(i < F.size(blocks), code(F.get(blocks, i))).otherwise(F.lit(""))
+    whole = F.transform(F.split(t, fence, -1), lambda x, i: F.concat(_markdown_prose(x, preserve_headers, preserve_links), after(i)))
     return normalize_text(F.array_join(whole, ""))
 
 

@@ -4,6 +4,11 @@ Vectors are dealt to shards by a hash of their id. Each shard builds one graph
 (Malkov and Yashunin, 2016) in a Python worker and stores it as one row of node
 and edge arrays; a search runs all queries through all shards and merges exactly.
 Shards are of bounded size, so more data means more shards, never larger ones.
+
+A graph is built in bulk: nodes are inserted in order, and the candidates of a node
+are the nearest of those before it on its layer, found by products of matrices over
+blocks of nodes instead of a search of the graph so far. Neighbours are chosen and
+lists are shortened as in single insertions.
 """
 
 from __future__ import annotations
@@ -11,20 +16,36 @@ from __future__ import annotations
 import heapq
 import math
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import vectors as V
+from ..scratch import Scratch
 from ..shipping import ship
-from .knn import _query_blocks, top_k
+from .knn import by_query_block, knn_join, top_k
 
 SHARD_VECTORS = 20_000
-#: Nearest cells that hold each vector of the inverted lists.
-CELLS_OF_VECTOR = 3
+#: Nodes whose distances to all before them are computed at once.
+BLOCK_NODES = 256
+#: Bytes of the cell centres of inverted lists, and queries from which the number of probes is learned.
+CENTRE_BYTES, TUNING_QUERIES = 64 << 20, 256
+
+
+class _Lists:
+    """Neighbours of one layer in two flat lists."""
+
+    def __init__(self, start: list[int], ends: list[int]):
+        self.start, self.ends = start, ends
+
+    def get(self, node: int, default=()) -> list[int]:
+        return self.ends[self.start[node] : self.start[node + 1]]
+
+    def items(self):
+        return ((n, self.get(n)) for n in range(len(self.start) - 1))
 
 
 class Graph:
-    """One HNSW graph over a matrix. ``links[layer][node]`` are the neighbours."""
+    """One HNSW graph over a matrix. ``links[layer].get(node)`` are the neighbours."""
 
     def __init__(self, dimension: int, metric: str = "cosine", m: int = 16, ef_construction: int = 200, ef_search: int = 50, seed: int = 42):
         import numpy as np
@@ -32,9 +53,8 @@ class Graph:
         if dimension <= 0 or m < 2 or ef_construction < 1:
             raise ValueError("dimension, m and ef_construction must be positive, m at least 2")
         self.metric, self.m, self.ef_construction, self.ef_search = V.check_metric(metric), m, ef_construction, ef_search
-        self.vectors = np.empty((16, dimension), np.float64)
-        self.norms = np.empty(16)
-        self.links: list[dict[int, list[int]]] = []
+        self._hold(np.empty((0, dimension)))
+        self.links: list = []
         self.levels: list[int] = []
         self.entry = -1
         self.rng = np.random.default_rng(seed)
@@ -42,20 +62,46 @@ class Graph:
     def __len__(self) -> int:
         return len(self.levels)
 
+    def _hold(self, matrix) -> None:
+        """Keeps vectors, and beside them those that distances are computed from: of unit length for cosine."""
+        import numpy as np
+
+        self.vectors = matrix
+        self.scaled = matrix / np.maximum(np.linalg.norm(matrix, axis=1, keepdims=True), 1e-30) if self.metric == "cosine" else matrix
+
+    def _asked(self, q):
+        import numpy as np
+
+        q = np.asarray(q, np.float64)
+        if q.shape != self.vectors.shape[1:]:
+            raise ValueError(f"vectors must have dimension {self.vectors.shape[1]}")
+        return q / max(float(np.linalg.norm(q)), 1e-30) if self.metric == "cosine" else q
+
     def _level(self) -> int:
         """A level of at least l has the probability 2 ** -l."""
         return int(-math.log(1.0 - self.rng.random()) / math.log(2))
 
+    def _most(self, layer: int) -> int:
+        return 2 * self.m if layer == 0 else self.m
+
     def _distances(self, q, nodes):
+        """Distances of nodes from ``q``, of unit length for cosine."""
         import numpy as np
 
-        v = self.vectors[nodes]
+        v = self.scaled[nodes]
         if self.metric == "euclidean":
             return np.sqrt(((v - q) ** 2).sum(1))
-        dots = v @ q
-        if self.metric == "dot":
-            return -dots
-        return 1 - dots / np.maximum(self.norms[nodes] * np.linalg.norm(q), 1e-30)
+        return 1 - v @ q if self.metric == "cosine" else -(v @ q)
+
+    def _matrix(self, a, b):
+        """Distances of the nodes ``a`` from the nodes ``b``."""
+        import numpy as np
+
+        x, y = self.scaled[a], self.scaled[b]
+        dots = x @ y.T
+        if self.metric == "euclidean":
+            return np.sqrt(np.maximum((x * x).sum(1)[:, None] + (y * y).sum(1)[None, :] - 2 * dots, 0))
+        return 1 - dots if self.metric == "cosine" else -dots
 
     def _beam(self, q, start: list[tuple[float, int]], layer: int, width: int) -> list[tuple[float, int]]:
         """The ``width`` nearest nodes found from ``start``, nearest first."""
@@ -64,51 +110,74 @@ class Graph:
         heapq.heapify(near)
         best = [(-d, n) for d, n in start]
         heapq.heapify(best)
-        links = self.links[layer]
+        links, push, distances = self.links[layer].get, heapq.heappush, self._distances
         while near:
             d, node = heapq.heappop(near)
             if len(best) >= width and d > -best[0][0]:
                 break
-            fresh = [n for n in links.get(node, ()) if n not in seen]
+            fresh = [n for n in links(node, ()) if n not in seen]
             if not fresh:
                 continue
             seen.update(fresh)
-            for e, n in zip(self._distances(q, fresh).tolist(), fresh, strict=True):
-                if len(best) < width:
-                    heapq.heappush(best, (-e, n))
-                elif e < -best[0][0]:
-                    heapq.heapreplace(best, (-e, n))
-                else:
-                    continue
-                heapq.heappush(near, (e, n))
+            least = -best[0][0] if len(best) >= width else math.inf
+            for e, n in zip(distances(q, fresh).tolist(), fresh, strict=True):
+                if e < least:
+                    if len(best) < width:
+                        push(best, (-e, n))
+                    else:
+                        heapq.heapreplace(best, (-e, n))
+                    if len(best) >= width:
+                        least = -best[0][0]
+                    push(near, (e, n))
         return sorted((-d, n) for d, n in best)[:width]
 
-    def _diverse(self, found: list[tuple[float, int]], most: int) -> list[int]:
-        """Candidates that are nearer to the new node than to those taken already; filled up with the nearest."""
-        if len(found) <= most:
-            return [n for _, n in found]
-        taken: list[int] = []
-        left: list[int] = []
-        for d, n in found:
+    def _diverse(self, distances, nodes, most: int) -> list[int]:
+        """Of nodes from the nearest on: those nearer to the new node than to those taken already; filled up with the nearest."""
+        import numpy as np
+
+        if len(nodes) <= most:
+            return [int(n) for n in nodes]
+        between = self._matrix(nodes, nodes)
+        near, taken, left = np.full(len(nodes), math.inf), [], []
+        for i, d in enumerate(distances.tolist()):
             if len(taken) == most:
                 break
-            if not taken or d < self._distances(self.vectors[n], taken).min():
-                taken.append(n)
+            if d < near[i]:
+                taken.append(i)
+                np.minimum(near, between[i], out=near)
             else:
-                left.append(n)
-        return taken + left[: most - len(taken)]
+                left.append(i)
+        return [int(n) for n in nodes[taken + left[: most - len(taken)]]]
+
+    def _shorten(self, layer: int, node: int) -> None:
+        import numpy as np
+
+        theirs = np.array(self.links[layer][node])
+        d = self._matrix([node], theirs)[0]
+        order = np.argsort(d, kind="stable")
+        self.links[layer][node] = self._diverse(d[order], theirs[order], self._most(layer))
+
+    def _link(self, layer: int, node: int, distances, nodes, slack: int = 1) -> None:
+        """Links a node with the best of its candidates, nearest first, both ways; lists may outgrow their length by ``slack`` times."""
+        most, links = self._most(layer), self.links[layer]
+        links[node] = self._diverse(distances, nodes, most)
+        for n in links[node]:
+            theirs = links.setdefault(n, [])
+            theirs.append(node)
+            if len(theirs) > slack * most:
+                self._shorten(layer, n)
 
     def insert(self, vector) -> int:
         import numpy as np
 
         node, level = len(self.levels), self._level()
-        if node == len(self.vectors):
-            self.vectors = np.concatenate([self.vectors, np.empty_like(self.vectors)])
-            self.norms = np.concatenate([self.norms, np.empty_like(self.norms)])
-        q = np.asarray(vector, np.float64)
-        if q.shape != self.vectors.shape[1:]:
-            raise ValueError(f"vectors must have dimension {self.vectors.shape[1]}")
-        self.vectors[node], self.norms[node] = q, np.linalg.norm(q)
+        q = self._asked(vector)
+        self.links = [x if isinstance(x, dict) else dict(x.items()) for x in self.links]
+        if node == len(self.scaled):
+            # Room for as many again; rows beyond ``levels`` are not read.
+            room = np.zeros((max(16, len(self.scaled)), len(q)))
+            self.vectors, self.scaled = np.concatenate([self.vectors, room]), np.concatenate([self.scaled, room])
+        self.vectors[node], self.scaled[node] = np.asarray(vector, np.float64), q
         top = len(self.links) - 1
         self.levels.append(level)
         while len(self.links) <= level:
@@ -119,65 +188,112 @@ class Graph:
                 at = self._beam(q, at, layer, 1)
             for layer in range(min(level, top), -1, -1):
                 at = self._beam(q, at, layer, self.ef_construction)
-                most = 2 * self.m if layer == 0 else self.m
-                chosen = self._diverse(at, most)
-                self.links[layer][node] = chosen
-                for n in chosen:
-                    theirs = self.links[layer].setdefault(n, [])
-                    theirs.append(node)
-                    if len(theirs) > most:
-                        d = self._distances(self.vectors[n], theirs)
-                        order = np.argsort(d, kind="stable")
-                        self.links[layer][n] = self._diverse([(float(d[i]), theirs[i]) for i in order], most)
+                self._link(layer, node, np.array([d for d, _ in at]), np.array([n for _, n in at]))
         for layer in range(level + 1):
             self.links[layer].setdefault(node, [])
         if level > top or not node:
             self.entry = node
         return node
 
-    def search(self, q, k: int = 5, ef_search: int | None = None) -> list[tuple[float, int]]:
-        """(distance, node) of the ``k`` nearest found; an empty graph gives nothing."""
+    @staticmethod
+    def bulk(matrix, metric: str = "cosine", m: int = 16, ef_construction: int = 200, ef_search: int = 50, seed: int = 42) -> Graph:
+        """The graph of all rows of a matrix, inserted in order."""
         import numpy as np
 
+        g = Graph(matrix.shape[1], metric, m, ef_construction, ef_search, seed)
+        g._hold(np.asarray(matrix, np.float64))
+        g.levels = [g._level() for _ in range(len(matrix))]
+        levels = np.array(g.levels, np.int64)
+        for layer in range(int(levels.max(initial=-1)) + 1):
+            nodes = np.flatnonzero(levels >= layer)
+            g.links.append({int(n): [] for n in nodes})
+            for at in range(0, len(nodes), BLOCK_NODES):
+                block = nodes[at : at + BLOCK_NODES]
+                d = g._matrix(block, nodes[: at + len(block)])
+                for i, node in enumerate(block.tolist()):
+                    if not (before := at + i):
+                        continue
+                    own = d[i, :before]
+                    near = np.argpartition(own, ef_construction)[:ef_construction] if before > ef_construction else np.arange(before)
+                    near = near[np.lexsort((near, own[near]))]
+                    g._link(layer, node, own[near], nodes[near], slack=2)
+            for node, theirs in g.links[layer].items():
+                if len(theirs) > g._most(layer):
+                    g._shorten(layer, node)
+        g.entry = int(np.argmax(levels)) if len(levels) else -1
+        return g
+
+    def search(self, q, k: int = 5, ef_search: int | None = None, live: set[int] | None = None) -> list[tuple[float, int]]:
+        """(distance, node) of the ``k`` nearest found; an empty graph gives nothing.
+
+        With ``live`` other nodes only lead the way: the beam is widened until ``k``
+        of those are found, or all.
+        """
         if k <= 0:
             raise ValueError("k must be positive")
         if not self.levels:
             return []
-        q = np.asarray(q, np.float64)
+        q = self._asked(q)
         at = [(float(self._distances(q, [self.entry])[0]), self.entry)]
         for layer in range(len(self.links) - 1, 0, -1):
             at = self._beam(q, at, layer, 1)
-        return self._beam(q, at, 0, max(ef_search or self.ef_search, k))[:k]
+        width = max(ef_search or self.ef_search, k)
+        while True:
+            found = self._beam(q, at, 0, width)
+            if live is None:
+                return found[:k]
+            found = [x for x in found if x[1] in live]
+            if len(found) >= min(k, len(live)) or width >= len(self):
+                return found[:k]
+            width *= 2
 
     def edges(self) -> tuple[list[int], list[int], list[int]]:
+        """Layers, sources and ends of all links, in this order."""
         layer, src, dst = [], [], []
         for i, links in enumerate(self.links):
-            for a, ns in links.items():
-                for b in ns:
-                    layer.append(i), src.append(a), dst.append(b)
+            for a, ns in sorted(links.items()):
+                layer += [i] * len(ns)
+                src += [a] * len(ns)
+                dst += ns
         return layer, src, dst
 
     @staticmethod
-    def restore(matrix, levels: list[int], layer: list[int], src: list[int], dst: list[int], **options) -> Graph:
+    def restore(matrix, levels, layer, src, dst, **options) -> Graph:
+        """A graph from its arrays, as :meth:`edges` gives them."""
         import numpy as np
 
         g = Graph(matrix.shape[1], **options)
-        g.vectors, g.norms, g.levels = matrix, np.linalg.norm(matrix, axis=1), levels
-        g.links = [{} for _ in range(max(levels, default=-1) + 1)]
-        for n, level in enumerate(levels):
-            for i in range(level + 1):
-                g.links[i][n] = []
-        for i, a, b in zip(layer, src, dst, strict=True):
-            g.links[i].setdefault(a, []).append(b)
-        g.entry = int(np.argmax(levels)) if levels else -1
+        g._hold(np.asarray(matrix, np.float64))
+        levels, layer, src, dst = (np.asarray(x, np.int64) for x in (levels, layer, src, dst))
+        g.levels = levels.tolist()
+        for i in range(int(levels.max(initial=-1)) + 1):
+            a, b = np.searchsorted(layer, [i, i + 1])
+            g.links.append(_Lists(np.searchsorted(src[a:b], np.arange(len(levels) + 1)).tolist(), dst[a:b].tolist()))
+        g.entry = int(np.argmax(levels)) if len(levels) else -1
         return g
 
 
 _GRAPHS = "shard int, ids array<{id}>, dimension int, vectors array<float>, levels array<int>, layer array<int>, src array<int>, dst array<int>"
 
 
+def _spread(spark: SparkSession, n: int) -> list[int]:
+    """``n`` keys whose hashes fall into ``n`` different partitions; beyond a thousand, chance is even enough."""
+    if n > 1000:
+        return list(range(n))
+    part = F.pmod(F.hash("id"), F.lit(n))
+    found = spark.range(0, 40 * n + 200, 1, 1).groupBy(part.alias("p")).agg(F.min("id").alias("id")).collect()
+    keys = {r["p"]: r["id"] for r in found}
+    return [keys.get(p, p) for p in range(n)]
+
+
+def _dealt(rows: DataFrame, number, n: int) -> DataFrame:
+    """``rows`` with ``_key``, in ``n`` partitions by it: one for each ``number`` from 0 to n - 1, whatever adaptive execution merges."""
+    keys = F.array(*[F.lit(int(x)) for x in _spread(rows.sparkSession, n)]).cast("array<bigint>")
+    return rows.withColumn("_key", F.get(keys, number)).repartition(n, "_key")
+
+
 def build_hnsw(vectors: DataFrame, metric: str = "cosine", m: int = 16, ef_construction: int = 200, shards: int | None = None, seed: int = 42, node_id: str = "node_id", vector: str = "embedding") -> DataFrame:
-    """One row per shard: its graph. Rows are dealt by the hash of the id and inserted in order of it."""
+    """One row per shard: its graph. Rows are dealt by the hash of the id and inserted in order of it; an empty table has no graph."""
     V.check_metric(metric)
     ship(vectors.sparkSession)
     rows = vectors.select(F.col(node_id).alias("node_id"), F.col(vector).cast("array<float>").alias("embedding"))
@@ -190,9 +306,7 @@ def build_hnsw(vectors: DataFrame, metric: str = "cosine", m: int = 16, ef_const
 
         table = table.sort_by("node_id")
         matrix = table["embedding"].combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(table.num_rows, -1)
-        g = Graph(matrix.shape[1], metric, m, ef_construction, seed=seed)
-        for v in matrix:
-            g.insert(v)
+        g = Graph.bulk(matrix, metric, m, ef_construction, seed=seed)
         layer, src, dst = g.edges()
         columns = [table["shard"][0].as_py(), table["node_id"].to_pylist(), matrix.shape[1], matrix.ravel(), g.levels, layer, src, dst]
         id_type = table.schema.field("node_id").type
@@ -201,29 +315,39 @@ def build_hnsw(vectors: DataFrame, metric: str = "cosine", m: int = 16, ef_const
         names = ["shard", "ids", "dimension", "vectors", "levels", "layer", "src", "dst"]
         return pa.Table.from_arrays([pa.array([c], t) for c, t in zip(columns, types, strict=True)], names)
 
-    return rows.groupBy("shard").applyInArrow(build, _GRAPHS.format(id=kind))
+    return _dealt(rows, F.col("shard"), shards).groupBy("_key").applyInArrow(build, _GRAPHS.format(id=kind))
 
 
-def search_hnsw(graphs: DataFrame, queries: DataFrame, k: int = 5, ef_search: int = 50, metric: str = "cosine", query_id: str = "query_id", query_vector: str = "embedding", blocks: int = 1) -> DataFrame:
+def search_hnsw(graphs: DataFrame, queries: DataFrame, k: int = 5, ef_search: int = 50, metric: str = "cosine", query_id: str = "query_id", query_vector: str = "embedding", shards: int | None = None, blocks: int | None = None, live: DataFrame | None = None) -> DataFrame:
     """``query_id, rank, node_id, score, distance``; an empty index gives an empty result.
 
-    With fewer shards than cores, ``blocks`` copies of each graph share its queries.
+    With fewer ``shards`` than cores, ``blocks`` copies of each graph share its queries.
+    With ``live``, a table of ``node_id``, only those are found, each once if several
+    graphs hold it; every shard still gives ``k`` if it has them.
     """
-    if k <= 0 or blocks <= 0:
+    if k <= 0 or blocks is not None and blocks <= 0:
         raise ValueError("k and blocks must be positive")
     spark = graphs.sparkSession
     ship(spark)
     q = queries.select(F.col(query_id).alias("query_id"), F.col(query_vector).alias("qv"))
     kind = graphs.schema["ids"].dataType.elementType.simpleString()
     schema = f"query_id {q.schema['query_id'].dataType.simpleString()}, node_id {kind}, distance double"
-    dealt = graphs.select("ids", "vectors", "levels", "layer", "src", "dst", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"), "shard")
-    if blocks > 1:
+    blocks = blocks or max(1, spark.sparkContext.defaultParallelism // (shards or graphs.count() or 1))
+    if live is not None:
+        # A shard's nodes are bounded, and so is the list of those that count.
+        graphs = graphs.withColumn("_graph", F.xxhash64("shard", "ids"))
+        nodes = graphs.select("_graph", F.posexplode("ids").alias("pos", "node_id")).join(live.select("node_id").distinct(), "node_id", "left_semi")
+        graphs = graphs.join(nodes.groupBy("_graph").agg(F.collect_list("pos").alias("live")), "_graph")
+    else:
+        graphs = graphs.withColumn("live", F.lit(None).cast("array<int>"))
+    dealt = graphs.select("ids", "vectors", "levels", "layer", "src", "dst", "live", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"), "shard")
+    if blocks > 1 and shards:
+        dealt = _dealt(dealt, F.col("shard") * blocks + F.col("block"), shards * blocks)
+    elif blocks > 1:
         dealt = dealt.repartition("shard", "block")
-    found = None
-    for ids, matrix in _query_blocks(q):
-        shared = spark.sparkContext.broadcast((ids, matrix))
 
-        def work(batches, shared=shared):
+    def search(shared) -> DataFrame:
+        def work(batches):
             import numpy as np
             import pyarrow as pa
 
@@ -232,16 +356,21 @@ def search_hnsw(graphs: DataFrame, queries: DataFrame, k: int = 5, ef_search: in
                 for r in range(batch.num_rows):
                     one = {n: batch.column(n)[r].values.to_numpy(zero_copy_only=False) for n in ("vectors", "levels", "layer", "src", "dst")}
                     nodes = batch.column("ids")[r].as_py()
-                    g = Graph.restore(one["vectors"].astype(np.float64).reshape(len(nodes), -1), *(one[n].tolist() for n in ("levels", "layer", "src", "dst")), metric=metric, ef_search=ef_search)
-                    own = range(batch.column("block")[r].as_py(), len(names), blocks)
-                    hits = [(names[i], nodes[n], d) for i in own for d, n in g.search(rows[i], k, ef_search)]
+                    matrix = one.pop("vectors").astype(np.float64).reshape(len(nodes), -1)
+                    g = Graph.restore(matrix, **one, metric=metric, ef_search=ef_search)
+                    own, some = range(batch.column("block")[r].as_py(), len(names), blocks), batch.column("live")[r].as_py()
+                    some = None if some is None else set(some)
+                    hits = [(names[i], nodes[n], d) for i in own for d, n in g.search(rows[i], k, ef_search, some)]
+                    if not hits:
+                        continue
                     yield pa.RecordBatch.from_arrays([pa.array([h[0] for h in hits]), pa.array([h[1] for h in hits], batch.column("ids").type.value_type), pa.array([h[2] for h in hits], pa.float64())], ["query_id", "node_id", "distance"])
 
-        part = dealt.mapInArrow(work, schema)
-        found = part if found is None else found.unionByName(part)
-    found = spark.createDataFrame([], schema) if found is None else found
-    best = top_k(found.withColumn("score", V.distance_to_score("distance", metric)), k)
-    return best.select("query_id", "rank", "node_id", "score", "distance")
+        return dealt.mapInArrow(work, schema).withColumn("score", V.distance_to_score("distance", metric))
+
+    found = by_query_block(q, search, schema + ", score double", lambda x: top_k(x, k).drop("rank") if live is None else x)
+    if live is not None:
+        found = found.groupBy("query_id", "node_id").agg(F.max("score").alias("score"), F.min("distance").alias("distance"))
+    return top_k(found, k).select("query_id", "rank", "node_id", "score", "distance")
 
 
 def hnsw_nodes(graphs: DataFrame) -> DataFrame:
@@ -268,60 +397,121 @@ def hnsw_statistics(graphs: DataFrame) -> DataFrame:
 class HNSWIndex:
     """A sharded index with its parameters, which a saved index keeps."""
 
-    def __init__(self, graphs: DataFrame, metric: str, ef_search: int = 50, m: int = 16, ef_construction: int = 200, blocks: int = 1):
-        self.graphs, self.metric, self.ef_search, self.m, self.ef_construction, self.blocks = graphs, metric, ef_search, m, ef_construction, blocks
+    def __init__(self, graphs: DataFrame, metric: str, ef_search: int = 50, m: int = 16, ef_construction: int = 200, shards: int | None = None):
+        self.graphs, self.metric, self.ef_search, self.m, self.ef_construction, self.shards = graphs, metric, ef_search, m, ef_construction, shards
 
     @staticmethod
-    def build(vectors: DataFrame, metric: str = "cosine", m: int = 16, ef_construction: int = 200, ef_search: int = 50, **options) -> HNSWIndex:
-        return HNSWIndex(build_hnsw(vectors, metric, m, ef_construction, **options), metric, ef_search, m, ef_construction)
+    def build(vectors: DataFrame, metric: str = "cosine", m: int = 16, ef_construction: int = 200, ef_search: int = 50, shards: int | None = None, **options) -> HNSWIndex:
+        """Builds all graphs and stores them, so that no search builds them again."""
+        shards = shards or max(1, -(-vectors.count() // SHARD_VECTORS))
+        graphs = build_hnsw(vectors, metric, m, ef_construction, shards, **options)
+        return HNSWIndex(Scratch(vectors.sparkSession, "hnsw").save(graphs, "graphs"), metric, ef_search, m, ef_construction, shards)
 
     def search(self, queries: DataFrame, k: int = 5, ef_search: int | None = None, **options) -> DataFrame:
-        return search_hnsw(self.graphs, queries, k, ef_search or self.ef_search, self.metric, **({"blocks": self.blocks} | options))
+        return search_hnsw(self.graphs, queries, k, ef_search or self.ef_search, self.metric, **({"shards": self.shards} | options))
 
     def statistics(self) -> DataFrame:
         return hnsw_statistics(self.graphs)
 
 
-def centroids(vectors: DataFrame, cells: int, rounds: int = 5, seed: int = 42, sample: int = 20_000, vector: str = "embedding"):
-    """K-means cell centres (unit length) of a sample of at most about ``sample`` vectors."""
+def centroids(vectors: DataFrame, cells: int, rounds: int = 5, seed: int = 42, sample: int = 20_000, vector: str = "embedding", metric: str = "cosine"):
+    """K-means cell centres of a sample of at most about ``sample`` vectors (of unit length for cosine); None without vectors."""
     import numpy as np
 
     n = vectors.count()
-    part = vectors if n <= sample else vectors.where(F.pmod(F.xxhash64(F.to_json(F.struct(vector))), F.lit(n // sample + 1)) == 0)
-    x = np.array([r[0] for r in part.select(vector).collect()], float)
-    x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-30)
+    part = vectors if n <= sample else vectors.where(F.pmod(F.xxhash64(vector), F.lit(n // sample + 1)) == 0)
+    x = np.array([r[0] for r in part.select(vector).where(F.col(vector).isNotNull()).collect()], float)
+    if not len(x):
+        return None
+    unit = lambda v: v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-30) if metric == "cosine" else v
+    x = unit(x)
     x = x[np.lexsort(x.T[::-1])]
     c = x[np.random.default_rng(seed).choice(len(x), min(cells, len(x)), replace=False)]
     for _ in range(rounds):
-        own = (x @ c.T).argmax(1)
+        own = _cell_order(x, c, metric if metric == "cosine" else "euclidean", 1)[:, 0]
         for j in range(len(c)):
             if (own == j).any():
                 c[j] = x[own == j].mean(0)
-        c /= np.maximum(np.linalg.norm(c, axis=1, keepdims=True), 1e-30)
+        c = unit(c)
     return c
 
 
-def ivf_search(vectors: DataFrame, queries: DataFrame, k: int = 5, cells: int = 16, probes: int = 4, metric: str = "cosine", node_id: str = "node_id", vector: str = "embedding", query_id: str = "query_id", query_vector: str = "embedding") -> DataFrame:
-    """Inverted lists: each vector is in its ``CELLS_OF_VECTOR`` nearest cells, and a query looks into its ``probes`` nearest cells.
+def _cell_order(x, centers, metric: str, most: int):
+    """The ``most`` best cells of each row, best first; ties by number."""
+    import numpy as np
+
+    far = -(x @ centers.T)
+    if metric == "euclidean":
+        far = 2 * far + (centers**2).sum(1)[None, :]
+    return np.argsort(far, axis=1, kind="stable")[:, :most]
 
-    A pair that shares several cells is scored in one of them only.
+
+def _with_cells(rows: DataFrame, centers, metric: str, most: int, vector: str, out: str = "cells") -> DataFrame:
+    """``rows`` with an array of the numbers of their ``most`` best cells; null vectors have none."""
+    spark = rows.sparkSession
+    ship(spark)
+    if centers.nbytes > CENTRE_BYTES:
+        raise ValueError(f"the centres would be larger than {CENTRE_BYTES} bytes")
+    shared, at = spark.sparkContext.broadcast(centers), rows.columns.index(vector)
+    names = [*rows.columns, out]
+
+    def work(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        for batch in batches:
+            for i in range(0, batch.num_rows, 1024):
+                part = batch.slice(i, 1024)
+                x, known = part.column(at), np.flatnonzero(part.column(at).is_valid().to_numpy(zero_copy_only=False))
+                flat = x.drop_null().flatten().to_numpy(zero_copy_only=False).astype(float).reshape(len(known), -1) if len(known) else None
+                own = [[] for _ in range(part.num_rows)]
+                if flat is not None:
+                    for k, cells in zip(known.tolist(), _cell_order(flat, shared.value, metric, most).tolist(), strict=True):
+                        own[k] = cells
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(own, pa.list_(pa.int32()))], names)
+
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema)
+    return rows.mapInArrow(work, f"{fields}, `{out}` array<int>")
+
+
+def ivf_search(vectors: DataFrame, queries: DataFrame, k: int = 5, cells: int | None = None, probes: int | None = None, metric: str = "cosine", node_id: str = "node_id", vector: str = "embedding", query_id: str = "query_id", query_vector: str = "embedding", recall: float = 0.95) -> DataFrame:
+    """Inverted lists: each vector is in its nearest cell, and a query looks into its ``probes`` best cells.
+
+    ``cells`` is the square root of the number of vectors unless given. ``probes``,
+    unless given, is the least number with which about ``TUNING_QUERIES`` of the
+    queries find ``recall`` of their true neighbours, which are computed for them.
+    An empty side gives an empty result.
     """
-    centers = centroids(vectors, cells, vector=vector)
-    table = F.array(*[F.array(*[F.lit(float(x)) for x in c]) for c in centers])
-    near = lambda v: F.transform(table, lambda c: V.dot(v, c))
-    order = lambda v: F.transform(F.reverse(F.array_sort(F.transform(near(v), lambda s, i: F.struct(s.alias("s"), (-i).alias("i"))))), lambda x: -x["i"])
+    V.check_metric(metric)
     rows = vectors.select(F.col(node_id).alias("node_id"), F.col(vector).alias("v"))
-    rows = rows.withColumn("own", F.slice(order(F.col("v")), 1, CELLS_OF_VECTOR)).withColumn("cell", F.explode("own"))
     asks = queries.select(F.col(query_id).alias("query_id"), F.col(query_vector).alias("qv"))
-    asks = asks.withColumn("probed", F.slice(order(F.col("qv")), 1, probes)).withColumn("cell", F.explode("probed"))
-    first = F.get(F.array_intersect("probed", "own"), F.lit(0))
-    scored = asks.join(rows, "cell").where(F.col("cell") == first).select("query_id", "node_id", V.score("qv", "v", metric).alias("score"))
+    n = rows.count()
+    centers = centroids(rows, min(cells or max(1, math.isqrt(n)), 1 << 16), vector="v", metric=metric) if n else None
+    if centers is None:
+        ids = asks.schema["query_id"].dataType.simpleString(), rows.schema["node_id"].dataType.simpleString()
+        return rows.sparkSession.createDataFrame([], f"query_id {ids[0]}, rank int, node_id {ids[1]}, score double, distance double")
+    placed = _with_cells(rows, centers, metric if metric == "cosine" else "euclidean", 1, "v", "own")
+    if probes is None:
+        every = max(1, asks.count() // TUNING_QUERIES)
+        some = asks.where(F.pmod(F.xxhash64("query_id"), F.lit(every)) == 0)
+        truth = knn_join(some, rows, k, metric, query_vector="qv", vector="v").select("query_id", "node_id")
+        where = truth.join(placed.select("node_id", F.get("own", F.lit(0)).alias("cell")), "node_id")
+        order = _with_cells(some, centers, metric, len(centers), "qv").select("query_id", "cells")
+        places = where.join(order, "query_id").groupBy(F.array_position("cells", F.col("cell")).alias("p")).count().orderBy("p").collect()
+        probes, met, total = 1, 0, sum(r["count"] for r in places)
+        for r in places:
+            if met >= recall * total:
+                break
+            probes, met = int(r["p"]), met + r["count"]
+    asks = _with_cells(asks, centers, metric, probes, "qv").select("query_id", "qv", F.explode("cells").alias("cell"))
+    # Both sides are shuffled by cell, and a crowded cell is split.
+    scored = asks.join(placed.select("node_id", "v", F.get("own", F.lit(0)).alias("cell")).hint("merge"), "cell").select("query_id", "node_id", V.score("qv", "v", metric).alias("score"))
     return top_k(scored, k).select("query_id", "rank", "node_id", "score", V.score_to_distance("score", metric).alias("distance"))
 
 
-def nearest_cells(vectors: DataFrame, cells: int, vector: str = "embedding") -> DataFrame:
-    """``vectors`` with the number of their cell."""
-    centers = centroids(vectors, cells, vector=vector)
-    table = F.array(*[F.array(*[F.lit(float(x)) for x in c]) for c in centers])
-    s = F.transform(table, lambda c: V.dot(F.col(vector), c))
-    return vectors.withColumn("cell", F.array_position(s, F.array_max(s)) - 1)
+def nearest_cells(vectors: DataFrame, cells: int, vector: str = "embedding", metric: str = "cosine") -> DataFrame:
+    """``vectors`` with the number of their cell; without any vector it is null."""
+    centers = centroids(vectors, cells, vector=vector, metric=metric)
+    if centers is None:
+        return vectors.withColumn("cell", F.lit(None).cast("int"))
+    return _with_cells(vectors, centers, metric if metric == "cosine" else "euclidean", 1, vector, "_cells").withColumn("cell", F.get("_cells", F.lit(0))).drop("_cells")

@@ -7,7 +7,6 @@ import time
 from collections import OrderedDict
 from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -89,29 +88,69 @@ def clear_global_cache() -> None:
     _SHARED.clear()
 
 
+def _folded(rows: DataFrame, groups: list[str], schema: str, start, step, result) -> DataFrame:
+    """One row per group from its rows in order of ``at`` and ``ord``, which stream through ``step`` and are never held together."""
+    ship(rows.sparkSession)
+    rows = rows.repartition(*groups).sortWithinPartitions(*groups, "at", "ord").select(*groups, "key", "at")
+    names = [x.split()[0] for x in schema.split(", ")]
+    kinds = [rows.schema[g].dataType for g in groups]
+
+    def work(batches):
+        import pyarrow as pa
+        from pyspark.sql.pandas.types import to_arrow_type
+
+        types = [to_arrow_type(k) for k in kinds] + [pa.int64()] * (len(names) - len(kinds))
+        group, state, done = None, None, []
+
+        def made():
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*done, strict=True), types, strict=True)], names)
+
+        for batch in batches:
+            for *own, key, at in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if state is None or own != group:
+                    if state is not None:
+                        done.append((*group, *result(state)))
+                    group, state = own, start()
+                step(state, key, at)
+            if len(done) >= 10_000:
+                yield made()
+                done.clear()
+        if state is not None:
+            done.append((*group, *result(state)))
+            yield made()
+
+    return rows.mapInArrow(work, schema)
+
+
+def _log(log: DataFrame, by: str, key: str, at: str, order: str) -> DataFrame:
+    return log.select(F.col(by).alias("by"), F.col(key).cast("string").alias("key"), F.unix_micros(F.col(at).cast("timestamp")).alias("at"), F.col(order).alias("ord"))
+
+
+def _rates(counts: DataFrame, by: str) -> DataFrame:
+    return counts.select(F.col("by").alias(by), "hits", (F.col("total") - F.col("hits")).alias("misses"), "total", (F.col("hits") / F.col("total")).alias("hit_rate"))
+
+
 def replay(log: DataFrame, by: str, key: str, at: str, order: str, max_size: int = 100, ttl_seconds: float = 3600) -> DataFrame:
     """What a cache of its own for each ``by`` would have done with a log of requests.
 
     ``by, hits, misses, total, hit_rate``. A missed key is stored at once. A cache is
-    ordered, so one cache is one task's work; partitions of users or collections run
-    side by side.
+    ordered, so one cache is one task's work, which holds no more than the cache;
+    caches of other users or collections run side by side.
     """
-    ship(log.sparkSession)
-    rows = log.select(F.col(by).alias("by"), F.col(key).cast("string").alias("key"), F.unix_micros(F.col(at).cast("timestamp")).alias("at"), F.col(order).alias("ord"))
-    kind = rows.schema["by"].dataType.simpleString()
+    rows = _log(log, by, key, at, order)
 
-    def run(name: tuple, group: pd.DataFrame) -> pd.DataFrame:
+    def start():
         now = [0.0]
-        cache = AnswerCache(max_size, ttl_seconds, lambda: now[0])
-        for r in group.sort_values(["at", "ord"]).itertuples():
-            now[0] = r.at / 1e6
-            if cache.get(r.key) is None:
-                cache.set(r.key, True)
-        s = cache.stats()
-        return pd.DataFrame([(name[0], s["hits"], s["misses"], s["total"], s["hit_rate"])], columns=["by", "hits", "misses", "total", "hit_rate"])
+        return AnswerCache(max_size, ttl_seconds, lambda: now[0]), now
+
+    def step(state, request, micros):
+        cache, now = state
+        now[0] = micros / 1e6
+        if cache.get(request) is None:
+            cache.set(request, True)
 
-    out = rows.groupBy("by").applyInPandas(run, f"by {kind}, hits long, misses long, total long, hit_rate double")
-    return out.withColumnRenamed("by", by)
+    counts = _folded(rows, ["by"], f"by {rows.schema['by'].dataType.simpleString()}, hits long, total long", start, step, lambda s: (s[0].hits, s[0].hits + s[0].misses))
+    return _rates(counts, by)
 
 
 def ttl_hits(log: DataFrame, by: str, key: str, at: str, order: str, ttl_seconds: float) -> DataFrame:
@@ -120,15 +159,15 @@ def ttl_hits(log: DataFrame, by: str, key: str, at: str, order: str, ttl_seconds
     Without eviction a request hits if the entry stored last for its key is young
     enough; entries are stored on misses only, so runs of requests are folded in order.
     """
-    rows = log.select(F.col(by).alias("by"), F.col(key).alias("key"), F.unix_micros(F.col(at).cast("timestamp")).alias("at"), F.col(order).alias("ord"))
-    lists = rows.groupBy("by", "key").agg(F.sort_array(F.collect_list(F.struct("at", "ord"))).alias("rs"))
-    start = F.struct(F.lit(None).cast("bigint").alias("stored"), F.lit(0).cast("bigint").alias("hits"))
     ttl = int(ttl_seconds * 1_000_000)
+    rows = _log(log, by, key, at, order).withColumn("one", F.col("key"))
 
-    def step(acc, r):
-        hit = acc["stored"].isNotNull() & (r["at"] - acc["stored"] <= ttl)
-        return F.struct(F.when(hit, acc["stored"]).otherwise(r["at"]).alias("stored"), (acc["hits"] + hit.cast("bigint")).alias("hits"))
+    def step(state, _, micros):
+        hit = state[0] is not None and micros - state[0] <= ttl
+        state[0] = state[0] if hit else micros
+        state[1] += hit
+        state[2] += 1
 
-    one = lists.select("by", F.aggregate("rs", start, step)["hits"].alias("h"), F.size("rs").alias("n"))
-    total = one.groupBy("by").agg(F.sum("h").alias("hits"), F.sum("n").alias("total"))
-    return total.select(F.col("by").alias(by), "hits", (F.col("total") - F.col("hits")).alias("misses"), "total", (F.col("hits") / F.col("total")).alias("hit_rate"))
+    schema = f"by {rows.schema['by'].dataType.simpleString()}, one string, hits long, total long"
+    per = _folded(rows, ["by", "one"], schema, lambda: [None, 0, 0], step, lambda s: (s[1], s[2]))
+    return _rates(per.groupBy("by").agg(F.sum("hits").alias("hits"), F.sum("total").alias("total")), by)

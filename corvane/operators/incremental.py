@@ -51,9 +51,15 @@ def lookup(requested: DataFrame, embeddings: DataFrame) -> tuple[DataFrame, Data
     return embeddings.join(ids, "chunk_id", "left_semi"), ids.join(embeddings.select("chunk_id"), "chunk_id", "left_anti")
 
 
+def one_per_key(rows: DataFrame, key: str) -> DataFrame:
+    """Of rows of equal key the one that comes last by its columns written as JSON."""
+    row = F.struct(*[F.col(c) for c in rows.columns])
+    return rows.groupBy(key).agg(F.max_by(row, F.to_json(row)).alias("_row")).select("_row.*")
+
+
 def upsert(existing: DataFrame, new: DataFrame, key: str = "chunk_id") -> DataFrame:
-    """``existing`` with the rows of ``new`` in place of those of equal key, or added."""
-    new = new.dropDuplicates([key])
+    """``existing`` with the rows of ``new`` in place of those of equal key, or added; of equal keys in ``new``, see :func:`one_per_key`."""
+    new = one_per_key(new, key)
     return existing.join(new.select(key), key, "left_anti").unionByName(new.select(*existing.columns))
 
 

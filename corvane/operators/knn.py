@@ -1,4 +1,11 @@
-"""Exact nearest neighbours for many queries at once."""
+"""Exact nearest neighbours for many queries at once.
+
+Queries are worked off in blocks of bounded bytes and rows, each sent to the
+executors on its own, and vectors in slices of bounded size, so that no matrix of
+scores has more than ``CELLS`` numbers. A product of matrices finds the candidates;
+their scores are then computed pair by pair, so that equal vectors have equal scores
+wherever they stand, and ties go to the smaller id.
+"""
 
 from __future__ import annotations
 
@@ -7,10 +14,11 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import vectors as V
+from ..scratch import Scratch
 from ..shipping import ship
 
-#: Bytes of query vectors that are sent to every executor at once, and rows * queries up to which expressions are used.
-QUERY_BYTES, EXPRESSION_PAIRS = 64 << 20, 2_000_000
+#: Bytes and rows of a block of queries, and numbers in a matrix of scores.
+QUERY_BYTES, QUERY_ROWS, CELLS = 8 << 20, 8192, 1 << 22
 
 
 def top_k(scored: DataFrame, k: int, by: str = "query_id", score: str = "score", tie: str = "node_id") -> DataFrame:
@@ -25,22 +33,19 @@ def knn_join(queries: DataFrame, vectors: DataFrame, k: int = 5, metric: str = "
     """``query_id, rank, node_id, score, distance``: each query's ``k`` nearest vectors.
 
     A larger score is nearer for every metric (Euclidean: minus the distance). Empty
-    sides give an empty result; cosine with a zero vector raises. ``expression``
-    scores in the JVM; ``blas`` multiplies blocks of vectors with blocks of queries
-    in Python and keeps k rows a task; ``auto`` chooses by the number of pairs. Query
-    blocks are bounded by ``QUERY_BYTES``: a larger query set is worked off in blocks,
-    never broadcast whole.
+    sides give an empty result; cosine with a zero vector raises. ``blas`` (and
+    ``auto``) multiplies blocks of vectors with blocks of queries in Python and keeps
+    k rows a task; ``expression`` scores all pairs in the JVM, for small query sets.
+    Several blocks of queries are one job each, whose results are stored.
     """
     V.check_metric(metric)
     if k <= 0:
         raise ValueError("k must be positive")
     q = queries.select(F.col(query_id).alias("query_id"), F.col(query_vector).alias("qv"))
     v = vectors.select(F.col(node_id).alias("node_id"), F.col(vector).alias("v"))
-    if strategy == "auto":
-        strategy = "expression" if q.count() * v.count() <= EXPRESSION_PAIRS else "blas"
     if strategy == "expression":
         scored = v.join(q).select("query_id", "node_id", V.score("qv", "v", metric, assume_normalized).alias("score"))
-    elif strategy == "blas":
+    elif strategy in ("auto", "blas"):
         scored = _blas(q, v, k, metric, assume_normalized)
     else:
         raise ValueError("strategy must be auto, expression or blas")
@@ -49,21 +54,73 @@ def knn_join(queries: DataFrame, vectors: DataFrame, k: int = 5, metric: str = "
 
 
 def scores(queries, block, metric: str, assume_normalized: bool):
-    """A matrix of scores, queries by vectors, in double precision."""
+    """A matrix that ranks vectors (columns) for queries (rows) like their scores, and a bound of its rounding errors."""
     import numpy as np
 
+    a, b = np.sqrt((queries**2).sum(1)), np.sqrt((block**2).sum(1))
+    dots = queries @ block.T
     if metric == "dot" or metric == "cosine" and assume_normalized:
-        return queries @ block.T
+        return dots, 1e-12 * a * b.max()
     if metric == "cosine":
-        a, b = np.linalg.norm(queries, axis=1), np.linalg.norm(block, axis=1)
         if (a == 0).any() or (b == 0).any():
             raise ValueError("cosine of a zero vector")
-        return (queries @ block.T) / (a[:, None] * b[None, :])
-    square = (queries**2).sum(1)[:, None] + (block**2).sum(1)[None, :] - 2 * (queries @ block.T)
-    return -np.sqrt(np.maximum(square, 0))
+        dots /= a[:, None]
+        dots /= b[None, :]
+        return dots, np.full(len(a), 1e-12)
+    dots *= 2
+    dots -= (b**2)[None, :]
+    return dots, 1e-12 * (a**2 + b.max() ** 2)
+
 
+def pair_scores(q, v, metric: str, assume_normalized: bool):
+    """The scores of rows of ``q`` and ``v``; the same numbers for the same pair, whatever stands beside it."""
+    import numpy as np
 
-def _query_blocks(q: DataFrame):
+    if metric == "euclidean":
+        return -np.sqrt(((q - v) ** 2).sum(1))
+    dots = (q * v).sum(1)
+    if metric == "dot" or assume_normalized:
+        return dots
+    return dots / (np.sqrt((q * q).sum(1)) * np.sqrt((v * v).sum(1)))
+
+
+class Best:
+    """The ``k`` best (score, id) of each query over slices of vectors; ties by id."""
+
+    def __init__(self, queries, k: int, metric: str, assume_normalized: bool = False):
+        import numpy as np
+
+        self.queries, self.k, self.metric, self.assume = np.asarray(queries, float), k, metric, assume_normalized
+        self.row = np.empty(0, np.int64)
+        self.score = np.empty(0)
+        self.node = None
+
+    def add(self, nodes, block) -> None:
+        """``nodes`` are the ids (an array) of the rows of ``block``."""
+        import numpy as np
+
+        step = max(1, CELLS // max(1, len(self.queries)))
+        for at in range(0, len(block), step):
+            part, names = block[at : at + step], nodes[at : at + step]
+            got, slack = scores(self.queries, part, self.metric, self.assume)
+            if self.k < got.shape[1]:
+                least = np.partition(got, got.shape[1] - self.k, axis=1)[:, got.shape[1] - self.k]
+                row, col = np.nonzero(got >= (least - slack)[:, None])
+            else:
+                row, col = (x.ravel() for x in np.indices(got.shape))
+            exact = np.empty(len(row))
+            for i in range(0, len(row), 65536):
+                r, c = row[i : i + 65536], col[i : i + 65536]
+                exact[i : i + 65536] = pair_scores(self.queries[r], part[c], self.metric, self.assume)
+            row, score, node = np.concatenate([self.row, row]), np.concatenate([self.score, exact]), names[col] if self.node is None else np.concatenate([self.node, names[col]])
+            order = np.lexsort((node, -score, row))
+            row = row[order]
+            first = np.searchsorted(row, row, "left")
+            keep = np.arange(len(row)) - first < self.k
+            self.row, self.score, self.node = row[keep], score[order][keep], node[order][keep]
+
+
+def query_blocks(q: DataFrame):
     """Bounded blocks of the query set, as (ids, matrix); a row streams to the driver only while its block fills."""
     import numpy as np
 
@@ -72,49 +129,61 @@ def _query_blocks(q: DataFrame):
         ids.append(r["query_id"])
         rows.append(r["qv"])
         size += 8 * len(r["qv"])
-        if size >= QUERY_BYTES:
+        if size >= QUERY_BYTES or len(ids) >= QUERY_ROWS:
             yield ids, np.array(rows, float)
             ids, rows, size = [], [], 0
     if ids:
         yield ids, np.array(rows, float)
 
 
+def by_query_block(q: DataFrame, search, schema: str, reduce) -> DataFrame:
+    """What ``search(shared)`` finds for each block of queries, where ``shared`` is its broadcast (ids, matrix).
+
+    A single block stays a lazy plan. Of several, each is a job of its own: what
+    ``reduce`` leaves of it is stored and its queries leave the executors before the
+    next block is sent.
+    """
+    spark = q.sparkSession
+    held, tmp, n = None, None, 0
+    for block in query_blocks(q):
+        if held is not None:
+            tmp = tmp or Scratch(spark, "queries")
+            tmp.append(reduce(search(held)), "found")
+            held.destroy()
+            n += 1
+        held = spark.sparkContext.broadcast(block)
+    if held is None:
+        return spark.createDataFrame([], schema)
+    if not n:
+        return search(held)
+    tmp.append(reduce(search(held)), "found")
+    held.destroy()
+    return tmp.table("found")
+
+
 def _blas(q: DataFrame, v: DataFrame, k: int, metric: str, assume_normalized: bool) -> DataFrame:
-    spark = v.sparkSession
-    ship(spark)
+    ship(v.sparkSession)
     schema = f"query_id {q.schema['query_id'].dataType.simpleString()}, node_id {v.schema['node_id'].dataType.simpleString()}, score double"
-    out = None
-    for ids, matrix in _query_blocks(q):
-        shared = spark.sparkContext.broadcast((ids, matrix))
 
-        def work(batches, shared=shared):
+    def search(shared) -> DataFrame:
+        def work(batches):
             import numpy as np
             import pyarrow as pa
 
             names, queries = shared.value
-            held_ids, held = [[] for _ in names], [np.empty(0) for _ in names]
-            kind = None
+            best, kind = Best(queries, k, metric, assume_normalized), None
             for batch in batches:
-                if not batch.num_rows:
-                    continue
-                kind = batch.column(0).type
-                nodes, col = batch.column(0).to_pylist(), batch.column(1)
-                block = col.flatten().to_numpy(zero_copy_only=False).astype(float).reshape(batch.num_rows, -1)
-                got = scores(queries, block, metric, assume_normalized)
-                for i in range(len(names)):
-                    keep = np.argpartition(-got[i], k - 1)[:k] if k < got.shape[1] else np.arange(got.shape[1])
-                    keep = np.flatnonzero(got[i] >= got[i][keep].min())  # with all ties
-                    s = np.concatenate([held[i], got[i][keep]])
-                    n = held_ids[i] + [nodes[j] for j in keep]
-                    order = sorted(range(len(n)), key=lambda j: (-s[j], n[j]))[:k]
-                    held[i], held_ids[i] = s[order], [n[j] for j in order]
-            for i, name in enumerate(names):
-                if held_ids[i]:
-                    yield pa.RecordBatch.from_arrays([pa.array([name] * len(held_ids[i])), pa.array(held_ids[i], kind), pa.array(held[i])], ["query_id", "node_id", "score"])
-
-        part = v.select("node_id", "v").mapInArrow(work, schema)
-        out = part if out is None else out.unionByName(part)
-    return spark.createDataFrame([], schema) if out is None else out
+                if batch.num_rows:
+                    kind = batch.column(0).type
+                    flat = batch.column(1).flatten().to_numpy(zero_copy_only=False)
+                    best.add(np.array(batch.column(0).to_pylist()), flat.astype(float).reshape(batch.num_rows, -1))
+            for at in range(0, len(best.row), 10_000):
+                rows = best.row[at : at + 10_000].tolist()
+                yield pa.RecordBatch.from_arrays([pa.array([names[i] for i in rows]), pa.array(best.node[at : at + 10_000].tolist(), kind), pa.array(best.score[at : at + 10_000])], ["query_id", "node_id", "score"])
+
+        return v.select("node_id", "v").mapInArrow(work, schema)
+
+    return by_query_block(q, search, schema, lambda found: top_k(found, k).drop("rank"))
 
 
 class VectorStore:

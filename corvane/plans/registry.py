@@ -10,6 +10,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..functions import answers as A
 from ..functions import text as T
@@ -141,9 +142,13 @@ def embedding_stats(spark, sf_dir):
     return s.select("num_embeddings", "dimension", *[r6(c).alias(c) for c in ("mean_norm", "min_norm", "max_norm", "mean_value", "std_value")])
 
 
-@query("SELECT count(*) AS num_rows, min(len(embedding))::INT AS min_dim, max(len(embedding))::INT AS max_dim, 0::BIGINT AS bad_vectors FROM embeddings")
+@query("""WITH e AS (SELECT CASE vec_id % 7 WHEN 0 THEN embedding[1:8] WHEN 1 THEN list_transform(embedding, lambda x: CASE WHEN x > 0.2 THEN 'nan'::FLOAT ELSE x END) ELSE embedding END AS embedding FROM embeddings)
+    SELECT count(*) AS num_rows, min(len(embedding))::INT AS min_dim, max(len(embedding))::INT AS max_dim, sum((len(list_filter(embedding, lambda x: isnan(x))) > 0)::INT)::BIGINT AS bad_vectors FROM e""")
 def vector_dim_check(spark, sf_dir):
-    return tables.validation(table(spark, sf_dir, "embeddings"))
+    part = F.col("vec_id") % 7
+    worse = F.transform("embedding", lambda x: F.when(x > 0.2, F.lit(float("nan"))).otherwise(x).cast("float"))
+    e = table(spark, sf_dir, "embeddings").select(F.when(part == 0, F.slice("embedding", 1, 8)).when(part == 1, worse).otherwise(F.col("embedding")).alias("embedding"))
+    return tables.validation(e)
 
 
 @query("SELECT count(*) AS num_vectors, 64 AS dimension, 'cosine' AS metric, sum(len(embedding) * 4 + length('{\"label\":\"' || label || '\"}'))::BIGINT AS memory_bytes FROM embeddings")
@@ -185,19 +190,18 @@ def query_to_json(spark, sf_dir):
 
 # Evaluation.
 
-_LISTS = f"""{_V}, s AS (SELECT query_id, node_id, {_COS} AS c, {_DOT} AS d, round({_COS}, 1) AS g FROM q CROSS JOIN v),
+_COARSE = _COS.replace("qe", "qe[1:24]").replace(", e)", ", e[1:24])").replace("(e, ", "(e[1:24], ")
+_LISTS = f"""{_V}, s AS (SELECT query_id, node_id, {_COS} AS c, {_COARSE} AS g FROM q CROSS JOIN v),
     a AS (SELECT query_id, list(node_id ORDER BY c DESC, node_id)[1:10] AS t FROM s GROUP BY query_id),
     b AS (SELECT query_id, list(node_id ORDER BY g DESC, node_id)[1:10] AS f FROM s GROUP BY query_id),
     l AS (SELECT query_id, t, f, len(list_intersect(t, f)) AS n, len(list_intersect(t[1:5], f[1:5])) AS n5 FROM a JOIN b USING (query_id))"""
 
 
 def _lists(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
-    """True neighbours, and those by a coarse score."""
+    """True neighbours, and those by the first 24 coordinates."""
     v = vectors(spark, sf_dir)
-    q = asked(v)
-    truth = knn.knn_join(q, v, 10)
-    coarse = asked(v).withColumnRenamed("embedding", "qv").join(v).select("query_id", "node_id", F.round(V.cosine_similarity("qv", "embedding"), 1).alias("score"))
-    return truth, knn.top_k(coarse, 10)
+    short = v.withColumn("embedding", F.slice("embedding", 1, 24))
+    return knn.knn_join(asked(v), v, 10), knn.knn_join(asked(short), short, 10)
 
 
 @query(f"WITH {_LISTS} SELECT query_id, round(n5 / 5.0, 6) AS recall, round(n5 / 5.0, 6) AS precision FROM l")
@@ -284,30 +288,37 @@ def content_hashes(spark, sf_dir):
     return documents(spark, sf_dir).select("doc_id", T.content_hash("text").alias("hash"), F.substring(F.md5("text"), 1, 7).alias("short"))
 
 
-_WORDS3 = "list_filter(regexp_split_to_array(text, '[ \\n]+'), lambda w: w != '')"
+_LETTERS = r"regexp_replace(coalesce(text, ''), '[^a-zA-Z,\n ]', '', 'g')"
+_PLAIN = _NORMAL.replace("text", _LETTERS)
 
 
-@query(f"""WITH d AS (SELECT doc_id, regexp_replace(list_transform({_WORDS3}, lambda w: regexp_replace(w, '[^a-zA-Z]', '', 'g'))[1], '^$', 'x') AS a, doc_id::VARCHAR AS n FROM documents WHERE len({_WORDS3}) > 0)
-    SELECT doc_id, '# ' || a || ' title ' || a || ' strong ' || n || ' ' || a || ' link one two [CODE] x = **' || n || '** [/CODE] end' AS text FROM d""")
+def _letters() -> F.Column:
+    """The whole text without what markdown could read as marks."""
+    return F.regexp_replace(F.coalesce("text", F.lit("")), "[^a-zA-Z,\n ]", "")
+
+
+@query(f"""SELECT doc_id, trim(regexp_replace('# Title ' || lang || ' ' || {_PLAIN} || ' strong ' || doc_id || ' ' || doc_id || ' link one two [CODE] x = **' || {_PLAIN} || '** [/CODE] end ' || {_PLAIN}, '\\s+', ' ', 'g')) AS text FROM documents""")
 def markdown_to_text(spark, sf_dir):
-    words = F.filter(F.split("text", r"[ \n]+"), lambda w: w != "")
-    d = documents(spark, sf_dir).where(F.size(words) > 0)
-    first = F.regexp_replace(F.regexp_replace(F.get(words, F.lit(0)), "[^a-zA-Z]", ""), "^$", "x")
-    d = d.select("doc_id", first.alias("a"), F.col("doc_id").cast("string").alias("n"))
-    md = F.concat(F.lit("### "), "a", F.lit(" title\n\n**"), "a", F.lit("** ~~strong~~ `"), "n", F.lit("`\n- ["), "a", F.lit("](http://x.y/z) link\n1. one\n> two\n\n---\n```py\nx = **"), "n", F.lit("**\n```\nend"))
+    d = documents(spark, sf_dir).select("doc_id", F.coalesce("lang", F.lit("")).alias("lang"), _letters().alias("a"), F.col("doc_id").cast("string").alias("n"))
+    md = F.concat(F.lit("### Title "), "lang", F.lit("\n\ntext "), "a", F.lit("\n\n~~strong~~ **"), "n", F.lit("** `"), "n", F.lit("`\n- [link](http://x.y/z)\n1. one\n> two\n\n---\n```py\nx = **"), "a", F.lit("**\n```\nend "), "a")
     return d.select("doc_id", T.markdown_to_text(md).alias("text"))
 
 
-@query("""SELECT doc_id, unnest([1, 2, 1])::INT AS level, unnest(['Title ' || doc_id, 'Part ' || lang, 'End']) AS header FROM documents""")
+@query(f"""WITH l AS (SELECT doc_id, lang, string_split({_LETTERS}, chr(10)) AS ls FROM documents), x AS (SELECT doc_id, generate_subscripts(ls, 1) AS i, unnest(ls) AS line, lang FROM l)
+    SELECT doc_id, i::INT AS position, CASE WHEN i % 8 < 1 THEN 1 ELSE i % 8 END::INT AS level, line[1:40].trim() || 'x' AS header FROM x WHERE i % 8 < 7""")
 def markdown_headers(spark, sf_dir):
-    md = F.concat(F.lit("# Title "), F.col("doc_id").cast("string"), F.lit("\ntext # no\n##  Part "), "lang", F.lit("\n####### no\n# End"))
-    d = documents(spark, sf_dir).select("doc_id", F.explode(T.markdown_headers(md)).alias("h"))
-    return d.select("doc_id", F.col("h.level").alias("level"), F.col("h.text").alias("header"))
+    # Every line becomes a header, with marks by its number; seven marks make none.
+    lines = F.split(_letters(), "\n")
+    marked = F.transform(lines, lambda x, i: F.concat(F.repeat(F.lit("#"), F.greatest(F.lit(1), (i + 1) % 8)), F.lit(" "), F.trim(F.substring(x, 1, 40)), F.lit("x")))
+    d = documents(spark, sf_dir).select("doc_id", F.posexplode(T.markdown_headers(F.array_join(marked, "\n"))).alias("k", "h"))
+    place = F.col("k") + 1 + F.floor((F.col("k") + 1) / 7)
+    return d.select("doc_id", place.cast("int").alias("position"), F.col("h.level").cast("int").alias("level"), F.col("h.text").alias("header"))
 
 
-@query("SELECT doc_id, 'head' || chr(10) || 'A ' || doc_id || chr(10) || lang || ' 2' AS text FROM documents")
+@query(f"SELECT doc_id, 'head' || chr(10) || 'A ' || doc_id || chr(10) || trim({_LETTERS.replace(chr(92) + 'n', '')}) || CASE WHEN trim({_LETTERS.replace(chr(92) + 'n', '')}) = '' THEN '2' ELSE ' 2' END || chr(10) || 'end | of' AS text FROM documents")
 def markdown_tables(spark, sf_dir):
-    md = F.concat(F.lit("head\n| A | "), F.col("doc_id").cast("string"), F.lit(" |\n|---|:--:|\n| "), "lang", F.lit(" | 2 |"))
+    cell = F.regexp_replace(F.coalesce("text", F.lit("")), "[^a-zA-Z, ]", "")
+    md = F.concat(F.lit("head\n| A | "), F.col("doc_id").cast("string"), F.lit(" |\n|---|:--:|\n| "), cell, F.lit(" | 2 |\nend | of"))
     return documents(spark, sf_dir).select("doc_id", T.markdown_tables(md).alias("text"))
 
 
@@ -375,13 +386,13 @@ def ingest_counters(spark, sf_dir):
 
 # Contexts, citations, confidence.
 
-_RAG = f"""{_TOP5}, f AS (SELECT query_id, rank, top.node_id, score, coalesce(left(trim(regexp_replace(d.text, '\\s+', ' ', 'g')), 300), '') AS text, 'doc' || top.node_id AS doc_id FROM top LEFT JOIN documents d ON d.doc_id = top.node_id),
+_RAG = f"""{_TOP5}, f AS (SELECT query_id, rank, top.node_id, score, coalesce({_NORMAL.replace('text', 'd.text')}, '') AS text, 'doc' || top.node_id AS doc_id FROM top LEFT JOIN documents d ON d.doc_id = top.node_id),
     c AS (SELECT *, '[' || rank || '] ' || text AS cited_text FROM f), u AS (SELECT *, sum(length(cited_text)) OVER (PARTITION BY query_id ORDER BY rank) AS used FROM c),
-    src AS (SELECT * FROM u WHERE used <= 700), ans AS (SELECT query_id, 'It is so [1] and [' || (query_id % 4) || '], see [9] [1].' AS answer FROM q)"""
+    src AS (SELECT * FROM u WHERE used <= 4000), ans AS (SELECT query_id, 'It is so [1] and [' || (query_id % 4) || '], see [9] [1].' AS answer FROM q)"""
 
 
 def _results(spark, sf_dir) -> DataFrame:
-    d = documents(spark, sf_dir).select(F.col("doc_id").alias("node_id"), F.substring(T.normalize_text("text"), 1, 300).alias("text"))
+    d = documents(spark, sf_dir).select(F.col("doc_id").alias("node_id"), T.normalize_text("text").alias("text"))
     found = top5(spark, sf_dir).join(d, "node_id", "left")
     return found.withColumn("text", F.coalesce("text", F.lit(""))).withColumn("doc_id", F.concat(F.lit("doc"), "node_id"))
 
@@ -393,40 +404,48 @@ def _answers(spark, sf_dir) -> DataFrame:
 
 @query(f"WITH {_RAG} SELECT query_id, string_agg(cited_text, chr(10) || chr(10) ORDER BY rank) AS context, count(*) AS num_sources FROM src GROUP BY query_id")
 def context_budget(spark, sf_dir):
-    return context.contexts(_results(spark, sf_dir), 700)
+    return context.contexts(_results(spark, sf_dir))
+
+
+_CITES = r"""a AS (SELECT doc_id, regexp_replace(text, '( \w+){2}', '\1 [' || doc_id % 13 || '] [12' || doc_id % 3 || ']' || '\1', 'g') || ' [x] [] [7' AS answer FROM documents WHERE text IS NOT NULL),
+    n AS (SELECT doc_id, list_sort(list_distinct(list_transform(regexp_extract_all(answer, '\[([0-9]{1,9})\]', 1), lambda x: x::INT))) AS cited FROM a)"""
 
 
-@query(f"WITH {_RAG} SELECT query_id, list_distinct([1, (query_id % 4)::INT, 9]).list_sort() AS cited, CASE WHEN query_id % 4 = 0 THEN [0, 9] ELSE [9] END AS invalid FROM ans")
+def _cited_texts(spark, sf_dir) -> DataFrame:
+    """Whole texts with citations put among their words."""
+    d = documents(spark, sf_dir).where("text is not null")
+    marks = F.concat(F.lit("$1 ["), F.col("doc_id") % 13, F.lit("] [12"), F.col("doc_id") % 3, F.lit("]$1"))
+    return d.select("doc_id", F.concat(F.regexp_replace("text", F.lit(r"( \w+){2}"), marks), F.lit(" [x] [] [7")).alias("answer"))
+
+
+@query(f"WITH {_CITES} SELECT doc_id, cited FROM n")
 def citation_extract(spark, sf_dir):
-    a = _answers(spark, sf_dir)
-    return a.select("query_id", F.array_sort(A.citations("answer")).alias("cited"), F.array_sort(A.invalid_citations("answer", F.lit(5))).alias("invalid"))
+    return _cited_texts(spark, sf_dir).select("doc_id", F.array_sort(A.citations("answer")).alias("cited"))
 
 
-@query(f"WITH {_RAG} SELECT query_id, unnest(CASE WHEN query_id % 4 = 0 THEN [0, 9] ELSE [9] END) AS n, 'citation [' || n || '] has no source; there are 5' AS warning FROM ans")
+@query(f"WITH {_CITES} SELECT doc_id, unnest(list_filter(cited, lambda x: x < 1 OR x > 5)) AS n, 'citation [' || n || '] has no source; there are 5' AS warning FROM n")
 def citation_validate(spark, sf_dir):
-    a = _answers(spark, sf_dir)
     both = F.arrays_zip(A.invalid_citations("answer", F.lit(5)).alias("n"), A.citation_warnings("answer", F.lit(5)).alias("warning"))
-    return a.select("query_id", F.explode(both).alias("x")).select("query_id", "x.n", "x.warning")
+    return _cited_texts(spark, sf_dir).select("doc_id", F.explode(both).alias("x")).select("doc_id", "x.n", "x.warning")
 
 
 @query(f"WITH {_RAG} SELECT query_id, rank::INT AS citation_num, node_id, rank IN (1, query_id % 4) AS cited FROM src")
 def mark_cited(spark, sf_dir):
-    s = context.mark_cited(context.sources(_results(spark, sf_dir), 700), _answers(spark, sf_dir))
+    s = context.mark_cited(context.sources(_results(spark, sf_dir)), _answers(spark, sf_dir))
     return s.select("query_id", "citation_num", "node_id", "cited")
 
 
 @query(f"WITH {_RAG} SELECT query_id, count(*) AS num_sources, sum((rank IN (1, query_id % 4))::INT)::BIGINT AS num_cited, round(100.0 * sum((rank IN (1, query_id % 4))::INT) / count(*), 6) AS citation_rate, round(avg(score), 6) AS avg_score, round(min(score), 6) AS min_score, round(max(score), 6) AS max_score FROM src GROUP BY query_id")
 def source_stats(spark, sf_dir):
-    s = context.mark_cited(context.sources(_results(spark, sf_dir), 700), _answers(spark, sf_dir))
+    s = context.mark_cited(context.sources(_results(spark, sf_dir)), _answers(spark, sf_dir))
     s = context.source_statistics(s, "query_id")
     return s.select("query_id", "num_sources", "num_cited", *[r6(c).alias(c) for c in ("citation_rate", "avg_score", "min_score", "max_score")])
 
 
-@query(f"""WITH {_RAG} SELECT query_id, string_agg(CASE WHEN rank IN (1, query_id % 4) THEN '✓' ELSE ' ' END || ' [' || rank || '] ' || doc_id || ': ' || CASE WHEN length(text) > 40 THEN left(text, 40) || '...' ELSE text END, chr(10) ORDER BY rank) AS display FROM src GROUP BY query_id""")
+@query(f"""WITH {_RAG} SELECT query_id, string_agg(CASE WHEN rank IN (1, query_id % 4) THEN '✓' ELSE ' ' END || ' [' || rank || '] ' || doc_id || ' (score ' || printf('%.2f', score) || '): ' || CASE WHEN length(text) > 40 THEN left(text, 40) || '...' ELSE text END, chr(10) ORDER BY rank) AS display FROM src GROUP BY query_id""")
 def format_sources(spark, sf_dir):
-    s = context.mark_cited(context.sources(_results(spark, sf_dir), 700), _answers(spark, sf_dir))
-    shown = context.format_sources(s, length=40)
-    return shown.withColumn("display", F.regexp_replace("display", r" \(score -?[0-9.]+\)", ""))
+    s = context.mark_cited(context.sources(_results(spark, sf_dir)), _answers(spark, sf_dir))
+    return context.format_sources(s, length=40)
 
 
 _CONF = f"""{_TOP5}, agg AS (SELECT query_id, avg(score) AS m, stddev_pop(score) AS s, avg((score >= 0.5)::INT) AS h, count(*) AS n FROM top GROUP BY query_id),
@@ -449,7 +468,7 @@ _QA = prompts.TEMPLATES["qa"].replace("'", "''")
 
 @query(f"WITH {_RAG}, x AS (SELECT query_id, string_agg(cited_text, chr(10) || chr(10) ORDER BY rank) AS context FROM src GROUP BY query_id) SELECT query_id, replace(replace('{_QA}', '{{{{ context }}}}', context), '{{{{ query }}}}', 'what is ' || query_id) AS prompt FROM x")
 def prompt_qa(spark, sf_dir):
-    c = context.contexts(_results(spark, sf_dir), 700).withColumn("query", F.concat(F.lit("what is "), "query_id"))
+    c = context.contexts(_results(spark, sf_dir)).withColumn("query", F.concat(F.lit("what is "), "query_id"))
     return c.select("query_id", prompts.prompt("qa").alias("prompt"))
 
 
@@ -460,17 +479,22 @@ def cache_key(spark, sf_dir):
     return d.select("doc_id", T.cache_key(F.concat(F.lit("  What Is "), "doc_id", F.lit(" ")), F.lit("main"), F.lit(5), model, F.lit(0.7), F.lit("qa")).alias("key"))
 
 
-@query(f"WITH {_CONF} SELECT query_id, CASE WHEN c < 0.5 THEN 'Low' WHEN c < 0.75 THEN 'Medium' ELSE 'High' END AS level, CASE WHEN c < 0.5 THEN 'poorly' WHEN c < 0.75 THEN 'in part' ELSE 'well' END AS how FROM conf")
+@query(f"""WITH {_CONF} SELECT query_id, CASE WHEN c < 0.5 THEN 'Low' WHEN c < 0.75 THEN 'Medium' ELSE 'High' END || ' confidence (' || printf('%.0f', c * 100) || '%, 5 sources): ' ||
+    CASE WHEN c < 0.5 THEN 'the sources match the question poorly or disagree; check the answer' WHEN c < 0.75 THEN 'the sources match the question in part' ELSE 'the sources match the question well and agree' END AS explanation FROM conf""")
 def confidence_explanation(spark, sf_dir):
-    c = context.confidence(top5(spark, sf_dir)).withColumn("x", A.confidence_explanation("confidence", F.lit(5)))
-    return c.select("query_id", F.regexp_extract("x", r"^(\w+) confidence", 1).alias("level"), F.regexp_extract("x", "(poorly|in part|well)", 1).alias("how"))
+    return context.confidence(top5(spark, sf_dir)).select("query_id", A.confidence_explanation("confidence", F.lit(5)).alias("explanation"))
 
 
-@query("SELECT vec_id % 100 AS node_id, count(*) AS n, min(vec_id) AS first FROM embeddings WHERE vec_id < 150 GROUP BY ALL HAVING count(*) > 1")
+@query("SELECT vec_id, label, (vec_id % 2)::INT AS batch, row_number() OVER (PARTITION BY vec_id % 2 ORDER BY vec_id) AS place, (SELECT count(*) FROM embeddings) AS num_vectors FROM embeddings")
 def store_append(spark, sf_dir):
-    e = table(spark, sf_dir, "embeddings").where("vec_id < 150").select((F.col("vec_id") % 100).alias("node_id"), "vec_id")
-    both = e.where("vec_id < 100").unionByName(e.where("vec_id >= 100"))
-    return both.groupBy("node_id").agg(F.count(F.lit(1)).alias("n"), F.min("vec_id").alias("first")).where("n > 1")
+    e = table(spark, sf_dir, "embeddings").withColumn("metadata", F.create_map(F.lit("vec_id"), F.col("vec_id").cast("string"), F.lit("label"), F.col("label").cast("string")))
+    s = knn.create_vector_store(spark, 64)
+    s.add_table(e.where("vec_id % 2 = 0"), metadata="metadata", order="vec_id")
+    first = len(s)
+    s.add_table(e.where("vec_id % 2 = 1"), metadata="metadata", order="vec_id")
+    rows = s.rows.select(F.col("metadata.vec_id").cast("long").alias("vec_id"), F.col("metadata.label").cast("int").alias("label"), (F.col("node_id") >= first).cast("int").alias("batch"), "node_id")
+    place = F.row_number().over(Window.partitionBy("batch").orderBy("node_id"))
+    return rows.withColumn("place", place).drop("node_id").join(s.statistics().select("num_vectors"))
 
 
 # Conversations.
@@ -562,18 +586,47 @@ def lru_cache_replay(spark, sf_dir):
 @query()
 def hnsw_search(spark, sf_dir):
     v = vectors(spark, sf_dir)
-    return ann.HNSWIndex.build(v, shards=4, ef_construction=100).search(asked(v), 5, 50)
+    return ann.HNSWIndex.build(v, ef_construction=100).search(asked(v), 5, 50)
+
+
+@query("SELECT count(*) AS num_queries, true AS found_all_ranks, true AS recall_of_95_percent FROM embeddings WHERE vec_id % 20 = 0")
+def hnsw_recall(spark, sf_dir):
+    return _recall(spark, sf_dir, hnsw_search(spark, sf_dir))
+
+
+@query("SELECT count(*) AS num_queries, true AS found_all_ranks, true AS recall_of_95_percent FROM embeddings WHERE vec_id % 20 = 0")
+def ivf_recall(spark, sf_dir):
+    return _recall(spark, sf_dir, ivf_search(spark, sf_dir))
+
+
+def _recall(spark, sf_dir, found: DataFrame) -> DataFrame:
+    """Recall of ``found`` against exact search; that it is high enough is what the SQL states."""
+    each = evaluate.recall_table(top5(spark, sf_dir), found, 5)
+    ranks = found.groupBy("query_id").agg((F.sort_array(F.collect_list("rank")) == F.array(*map(F.lit, range(1, 6)))).alias("whole"))
+    return each.join(ranks, "query_id", "left").agg(F.count(F.lit(1)).alias("num_queries"), F.coalesce(F.every("whole"), F.lit(False)).alias("found_all_ranks"), (F.avg("recall") >= 0.95).alias("recall_of_95_percent"))
 
 
 @query()
 def hnsw_graph_stats(spark, sf_dir):
-    return ann.HNSWIndex.build(vectors(spark, sf_dir), shards=4, ef_construction=100).statistics()
+    return ann.HNSWIndex.build(vectors(spark, sf_dir), ef_construction=100).statistics()
+
+
+@query("SELECT vec_id AS node_id, false AS linked_with_itself, false AS crowded, false AS alone, true AS known_ends FROM embeddings")
+def hnsw_invariants(spark, sf_dir):
+    """For every node: no link to itself, at most 32 links on the lowest layer and 16 above, at least one, all to nodes of the table."""
+    v = vectors(spark, sf_dir)
+    graphs = ann.HNSWIndex.build(v, ef_construction=100).graphs
+    links = ann.hnsw_edges(graphs).join(v.select(F.col("node_id").alias("dst"), F.lit(True).alias("known")), "dst", "left")
+    layers = links.groupBy(F.col("src").alias("node_id"), "layer").agg(F.count(F.lit(1)).alias("n"), F.max((F.col("src") == F.col("dst"))).alias("itself"), F.every(F.coalesce("known", F.lit(False))).alias("known"))
+    per = layers.groupBy("node_id").agg(F.max("itself").alias("itself"), F.max(F.col("n") > F.when(F.col("layer") == 0, 32).otherwise(16)).alias("crowded"), F.every("known").alias("known"), F.max("layer").alias("x"))
+    rows = ann.hnsw_nodes(graphs).select("node_id").join(per, "node_id", "left")
+    return rows.select("node_id", F.coalesce("itself", F.lit(False)).alias("linked_with_itself"), F.coalesce("crowded", F.lit(False)).alias("crowded"), F.col("x").isNull().alias("alone"), F.coalesce("known", F.lit(True)).alias("known_ends"))
 
 
 @query()
 def ivf_search(spark, sf_dir):
     v = vectors(spark, sf_dir)
-    return ann.ivf_search(v, asked(v), 5, 16, 4)
+    return ann.ivf_search(v, asked(v), 5)
 
 
 @query()

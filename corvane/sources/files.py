@@ -156,10 +156,12 @@ def pdf_metadata(content: bytes) -> dict[str, str]:
     return {m[1].decode(): _pdf_string(m[2]) for m in re.finditer(rb"/(Title|Author|Subject|Keywords|Creator|Producer|CreationDate|ModDate)\s*(" + _STRING + rb")", body, re.S)}
 
 
-def extract(files: DataFrame, pdf: Callable[[bytes], str] = pdf_text, docx: Callable[[bytes], str] = docx_text) -> DataFrame:
+def extract(files: DataFrame, pdf: Callable[[bytes], str] = pdf_text, docx: Callable[[bytes], str] = docx_text, unique_ids: bool = False) -> DataFrame:
     """``doc_id, filepath, text, size, format, error`` of a binaryFile table; a file that fails has a null text and the reason.
 
-    Text and markdown stay in the JVM; only PDF and DOCX go through Python.
+    Ids are file names; with ``unique_ids`` a hash of the whole path follows, so that
+    files of one name in several folders stay apart. Text and markdown stay in the
+    JVM; only PDF and DOCX go through Python.
     """
     ship(files.sparkSession)
     rows = files.select(F.col("path").alias("filepath"), T.detect_format("path").alias("format"), "content")
@@ -185,7 +187,7 @@ def extract(files: DataFrame, pdf: Callable[[bytes], str] = pdf_text, docx: Call
     other = rows.where(F.col("format").isin("pdf", "docx")).mapInArrow(work, "filepath string, format string, text string, error string")
     unknown = rows.where(F.col("format").isNull()).select("filepath", "format", F.lit(None).cast("string").alias("text"), F.lit("unsupported format").alias("error"))
     done = plain.unionByName(other).unionByName(unknown)
-    return done.select(T.document_id("filepath").alias("doc_id"), "filepath", "text", F.length("text").alias("size"), "format", "error")
+    return done.select(T.document_id("filepath", unique_ids).alias("doc_id"), "filepath", "text", F.length("text").alias("size"), "format", "error")
 
 
 def _suffix_filter(formats: tuple[str, ...]):
@@ -194,14 +196,17 @@ def _suffix_filter(formats: tuple[str, ...]):
 
 
 def scan_directory(spark: SparkSession, path: str, formats: tuple[str, ...] = ("txt",), recursive: bool = False, **extractors) -> DataFrame:
-    """All documents below a folder, failed ones with their reason (see :func:`loaded`); a missing folder is empty."""
+    """All documents below a folder, failed ones with their reason (see :func:`loaded`); a missing folder is empty.
+
+    A recursive scan gives unique ids (see :func:`extract`) unless told otherwise.
+    """
     jvm = spark._jvm
     at = jvm.org.apache.hadoop.fs.Path(path)
     fs = at.getFileSystem(spark._jsc.hadoopConfiguration())
     if not fs.exists(at) or not fs.getFileStatus(at).isDirectory():
         return spark.createDataFrame([], FIELDS)
     read = spark.read.format("binaryFile").option("recursiveFileLookup", str(recursive).lower())
-    return extract(read.load(path).where(_suffix_filter(formats)), **extractors)
+    return extract(read.load(path).where(_suffix_filter(formats)), **({"unique_ids": recursive} | extractors))
 
 
 def load_document(spark: SparkSession, path: str, **extractors) -> DataFrame:
@@ -210,7 +215,7 @@ def load_document(spark: SparkSession, path: str, **extractors) -> DataFrame:
 
 def loaded(documents: DataFrame) -> DataFrame:
     """Documents that could be read, in order of their path."""
-    return documents.where("error is null").drop("error")
+    return documents.where("error is null").drop("error").orderBy("filepath")
 
 
 def stream_directory(spark: SparkSession, path: str, formats: tuple[str, ...] = ("txt",), max_files: int = 1000) -> DataFrame:

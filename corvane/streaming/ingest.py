@@ -19,8 +19,9 @@ def index_stream(collection: Collection, path: str, checkpoint: str, formats: tu
     stream = files.stream_directory(collection.spark, path, formats, max_files)
 
     def add(batch: DataFrame, number: int) -> None:
-        docs = files.loaded(files.extract(batch.select("path", "content")))
-        collection.add_documents(docs)
+        # Folders are read to any depth, so ids hold a hash of the path.
+        docs = files.extract(batch.select("path", "content"), unique_ids=True)
+        collection.add_documents(docs.where("error is null"))
 
     writer = stream.writeStream.foreachBatch(add).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if once else writer).start()
@@ -35,16 +36,17 @@ def live_history(messages: DataFrame, max_turns: int = 10, max_tokens: int = 200
     """A stream of messages with each conversation's pruned history after every batch.
 
     The state of a conversation is its pruned history, which is bounded by
-    ``max_turns`` pairs. ``conv_id, num_messages, history``.
+    ``max_turns`` pairs; the messages of one conversation in one batch are held
+    together. ``conv_id, num_messages, history``.
     """
     from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
     def step(key, parts, state: GroupState):
         roles, texts = (list(x) for x in state.get) if state.exists else ([], [])
-        for part in parts:
-            for r in part.sort_values("turn").itertuples():
-                roles.append(r.role)
-                texts.append(r.text or "")
+        # What came for a conversation in one batch is put in order as a whole, over all parts that Spark hands on.
+        for r in pd.concat(list(parts)).sort_values("turn", kind="stable").itertuples():
+            roles.append(r.role)
+            texts.append(r.text or "")
         # Pairs are counted from the front, so whole pairs go.
         while len(texts) > 2 * max_turns or len(texts) > 2 and sum(len(t) // 4 for t in texts) > max_tokens:
             roles, texts = roles[2:], texts[2:]

@@ -214,7 +214,8 @@ def test_generation(spark):
     for bad in ({"temperature": 3, "model": "m"}, {"max_tokens": 0, "model": "m"}, {"model": " "}):
         with pytest.raises(ValueError):
             generation.validate_generation_config(bad)
-    assert generation.recommend_model(64) == "llama2:13b" and generation.recommend_model(1) == "phi:2.7b"
+    needs = {"small": 4, "large": 16, "middle": 8}
+    assert [generation.recommend_model(g, needs) for g in (64, 9, 1)] == ["large", "middle", "small"] and generation.recommend_model(8, {}) is None
     client = generation.HttpClient("http://127.0.0.1:9", timeout=1)
     assert not client.is_available()
     with pytest.raises(ConnectionError):
