@@ -2,83 +2,18 @@
 
 from __future__ import annotations
 
-import atexit
-import gc
 import heapq
 import importlib
 import os
-import shutil
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-_OWN: dict[str, str] = {}
-_MADE: list[tuple[SparkSession, str]] = []
+from ..scratch import Scratch, exists, scratch_root
 
-
-def scratch_root(spark: SparkSession) -> str:
-    """The shared folder for tables that cut lineage.
-
-    It is the session's ``spark.checkpoint.dir``. Where that is unset, a local
-    master gets a folder of its own; a cluster without the setting is an error,
-    because its executors could not see each other's files.
-    """
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if root:
-        return root.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    if "root" not in _OWN:
-        _OWN["root"] = tempfile.mkdtemp(prefix="corvane-")
-        atexit.register(shutil.rmtree, _OWN["root"], ignore_errors=True)
-    return "file://" + _OWN["root"]
-
-
-def _delete(spark: SparkSession, path: str) -> None:
-    jvm = spark._jvm
-    target = jvm.org.apache.hadoop.fs.Path(path)
-    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
-
-
-class Scratch:
-    """Parquet tables in the shared folder; they cut lineage and outlive executors.
-
-    ``save`` writes and rereads a table, ``drop`` removes one that nothing reads
-    any more. What a returned DataFrame still reads stays until the folder of
-    the session goes.
-    """
-
-    def __init__(self, spark: SparkSession, label: str):
-        self.spark = spark
-        self.path = f"{scratch_root(spark)}/corvane/{label}-{uuid.uuid4().hex[:12]}"
-        self.names: set[str] = set()
-
-    def save(self, df: DataFrame, name: str) -> DataFrame:
-        at = f"{self.path}/{name}"
-        df.write.parquet(at)
-        self.names.add(name)
-        self.release()
-        return self.spark.read.schema(df.schema).parquet(at)
-
-    def drop(self, *names: str) -> None:
-        for name in names:
-            _delete(self.spark, f"{self.path}/{name}")
-            self.names.discard(name)
-
-    def result(self, df: DataFrame) -> DataFrame:
-        """Saves what an operator returns and removes all else."""
-        out = self.save(df, "result")
-        self.drop(*(self.names - {"result"}))
-        return out
-
-    def release(self) -> None:
-        """Let Spark's cleaner remove the shuffle files of finished jobs."""
-        gc.collect()
-        self.spark._jvm.System.gc()
+__all__ = ["Interned", "Scratch", "exists", "fields", "keep_rows", "merge_in_order", "mix", "partitions", "scratch_root", "slices", "tokenizer_path", "word_hashes"]
 
 
 def partitions(spark: SparkSession) -> int:
