@@ -1,16 +1,24 @@
 """License scans: MinHash bands over windows retrieve templates, exact containment verifies them.
 
 A text is its words (runs of letters and digits, in lower case) and their 5-word
-shingles. A template is cut at every place into windows of 16, 4 or 1 shingles, the
-most that it has. Windows of the same sizes lie at every place of a text; those
-without a single template shingle cannot match and are passed over. The other
-windows get MinHash signatures in 16 bands of 2 rows: windows of similarity J meet
-in a band with a probability of 1 - (1 - J ** 2) ** 16, which is above 0.9999999
-from J = 0.8 and 1 for equal windows. A single shingle is its own signature.
-
-A template that was met counts if enough of its shingles stand close together in
-the text (within twice its length). All of it is DataFrame operations; the only
-broadcast are the bands of the templates, whose number is checked.
+shingles. Overlapping windows of shingles lie over every text, at every ``stride``-th
+place, and over every template, at every place. A window's signature has ``BANDS``
+MinHash values, each a band: windows of similarity J meet in a band with a
+probability of 1 - (1 - J) ** BANDS, 0.996 for J = 0.5, 0.999997 for J = 0.8, and
+equal windows always meet. A template is retrieved by the bands that it shares with a
+text.
+
+Window sizes are chosen so that a text with 0.8 of a template's shingles has a window
+equal to one of the template's. A changed word takes away 5 shingles, an inserted one
+4, so a template of m shingles may be broken up 0.05 m times, and a run of at least
+0.8 m / (0.05 m + 1) shingles is left: 12 from m = 60 on, 6 from m = 8 on. A run of
+size + stride - 1 shingles holds a whole window of the text: 11 and 5. Templates of
+fewer than 8 shingles are met by single shingles.
+
+A retrieved template counts if enough of its shingles stand close together in the
+text (within twice its length). All of it is DataFrame operations. Bands of the
+templates are worked off in blocks of at most ``KEYS_AT_ONCE``, so what is sent to the
+executors is bounded; each further block is another pass over the texts.
 """
 
 from __future__ import annotations
@@ -20,11 +28,12 @@ from pyspark.sql import functions as F
 
 from .common import Scratch
 
-SHINGLE, BANDS, ROWS = 5, 16, 2
-SCALES = (16, 4, 1)
+SHINGLE, BANDS = 5, 8
+#: Shingles of a window, its stride over texts, and least shingles of the templates that it serves.
+SCALES = ((8, 4, 60), (4, 2, 8), (1, 1, 1))
 LEAST_CONTAINMENT = 0.8
-#: More templates, or longer ones, are refused: their bands are broadcast.
-MOST_TEMPLATES, MOST_WORDS = 1000, 400
+#: Bands of templates that are sent to the executors at once.
+KEYS_AT_ONCE = 50_000
 
 #: Notices of public licenses.
 NOTICES = (
@@ -65,17 +74,29 @@ def _shingles(df: DataFrame, text_col: str, *keep: Column) -> DataFrame:
     return hashed.select(*[c for c in hashed.columns if c != "_h"], F.when(n >= SHINGLE, s).otherwise(F.array().cast("array<bigint>")).alias("s"))
 
 
-def _bands(window: Column, scale: int) -> Column:
-    """The band keys of a window of ``scale`` shingles."""
-    if scale == 1:
-        return F.array(F.xxhash64(F.lit(scale), F.get(window, F.lit(0))))
-    low = lambda j: F.array_min(F.transform(window, lambda x: F.xxhash64(x, F.lit(j))))
-    return F.array(*[F.xxhash64(F.lit(scale), F.lit(b), *[low(b * ROWS + r) for r in range(ROWS)]) for b in range(BANDS)])
+def _band_keys(windows: list[tuple[int, int]]) -> Column:
+    """The band keys of all windows of the given (shingles, stride) over ``s``; a single shingle is its own signature.
+
+    The hashes of the shingles are bound to a lambda's variable: as a column of their
+    own they could be written into the inner lambdas, and be made anew for each window.
+    """
+
+    def of(m: Column) -> Column:
+        return F.concat(*[_window_keys(size, stride, m) for size, stride in windows])
+
+    hashes = lambda b: F.transform("s", lambda x: F.xxhash64(x, F.lit(b)))
+    return F.get(F.transform(F.array(F.array(*[hashes(b) for b in range(BANDS if max(windows)[0] > 1 else 1)])), of), F.lit(0))
+
+
+def _window_keys(size: int, stride: int, m: Column) -> Column:
+    if size == 1:
+        return F.transform("s", lambda x: F.xxhash64(F.lit(1), x))
+    at = F.when(F.size("s") >= size, F.sequence(F.lit(1), F.greatest(F.lit(1), F.size("s") - size + 1), F.lit(stride))).otherwise(F.array().cast("array<int>"))
+    bands = lambda i: F.array(*[F.xxhash64(F.lit(size), F.lit(b), F.array_min(F.slice(F.get(m, F.lit(b)), i, F.lit(size)))) for b in range(BANDS)])
+    return F.flatten(F.transform(at, bands))
 
 
 def _templates(spark, notices) -> DataFrame:
-    if len(notices) > MOST_TEMPLATES or any(len(t.split()) > MOST_WORDS for _, t in notices):
-        raise ValueError(f"at most {MOST_TEMPLATES} templates of {MOST_WORDS} words")
     rows = spark.sql("select explode(array(" + ",".join(f"struct({i} as template, {_quoted(n)} as license, {_quoted(t)} as text)" for i, (n, t) in enumerate(notices)) + ")) as r").select("r.*")
     return _shingles(rows, "text", F.col("template"), F.col("license")).where(F.size("s") > 0)
 
@@ -84,55 +105,65 @@ def _quoted(text: str) -> str:
     return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
 
+def _blocks(templates: DataFrame) -> list[dict[int, list[tuple[int, int]]]]:
+    """Blocks of (template, band key) by window size, of at most ``KEYS_AT_ONCE`` keys; a template may lie in several."""
+    blocks, n = [], 0
+    for i, (size, _, least) in enumerate(SCALES):
+        mine = templates.where(F.size("s").between(least, SCALES[i - 1][2] - 1 if i else (1 << 31) - 1))
+        keys = mine.select("template", F.explode(_band_keys([(size, 1)])).alias("key")).distinct()
+        for r in keys.orderBy("template", "key").collect():
+            if not n % KEYS_AT_ONCE:
+                blocks.append({})
+            blocks[-1].setdefault(size, []).append((r["template"], r["key"]))
+            n += 1
+    return blocks
+
+
 def license_matches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", notices=NOTICES, least: float = LEAST_CONTAINMENT) -> DataFrame:
     """One row per document and license found: ``id, license, containment, word_start``.
 
     ``containment`` is the largest share of a template's shingles that stand
     together, ``word_start`` the number of the first word of the first such place.
     Null and empty texts match nothing; repeated rows match each; an empty table
-    gives an empty result. Templates of fewer than five words are ignored.
+    gives an empty result; other columns are not read. Templates can be notices or
+    whole license texts; those of fewer than five words are ignored. Templates of
+    equal words match each on their own.
     """
     spark = docs.sparkSession
     tmp = Scratch(spark, "licenses")
     templates = _templates(spark, notices)
-    known = sorted({x for r in templates.select("s").collect() for x in r.s})
-    columns = f"`{id_col}` {docs.schema[id_col].dataType.simpleString()}, license string, containment double, word_start int"
-    if not known:
-        return spark.createDataFrame([], columns)
     every = _shingles(docs, text_col, F.monotonically_increasing_id().alias("rid"), F.col(id_col).alias("doc_id"))
-    hits = F.filter(F.sequence(F.lit(0), F.size("s") - 1), lambda i: F.get("s", i).isin(known))
-    near = tmp.save(every.where(F.arrays_overlap("s", F.array(*[F.lit(x) for x in known]))).select("rid", "doc_id", "s", hits.alias("hits")), "near")
-
-    met = None
-    for scale in SCALES:
-        # A template is cut by the largest scale that it fills.
-        larger = [x for x in SCALES if x > scale]
-        mine = templates.where((F.size("s") >= scale) & (F.size("s") < min(larger) if larger else F.lit(True)))
-        cut = mine.select("template", F.explode(F.sequence(F.lit(0), F.size("s") - scale)).alias("at"), "s")
-        keys = cut.select("template", F.explode(_bands(F.slice("s", F.col("at") + 1, F.lit(scale)), scale)).alias("band")).distinct()
-        starts = F.transform("hits", lambda p: F.sequence(F.greatest(F.lit(0), p - (scale - 1)), F.greatest(F.lit(0), F.least(p, F.size("s") - scale))))
-        windows = near.where(F.size("s") >= scale).select("rid", "s", F.explode(F.array_distinct(F.flatten(starts))).alias("at"))
-        windows = windows.select("rid", F.slice("s", F.col("at") + 1, F.lit(scale)).alias("w")).distinct()
-        found = windows.select("rid", F.explode(_bands(F.col("w"), scale)).alias("band")).join(F.broadcast(keys), "band").select("rid", "template")
-        met = found if met is None else met.unionByName(found)
-    met = tmp.save(met.distinct(), "met")
-
     shingles = templates.select("template", "license", F.array_distinct("s").alias("t"))
-    rows = near.join(met, "rid").join(F.broadcast(shingles), "template")
-    rows = rows.select("rid", "doc_id", "license", "s", "t", F.filter("hits", lambda p: F.array_contains("t", F.get("s", p))).alias("own"))
-    reach = 2 * F.size("t")
-
-    def together(p: Column, k: Column) -> Column:
-        close = F.filter(F.slice("own", k + 1, reach), lambda q: q < p + reach)
-        return F.struct(F.size(F.array_distinct(F.transform(close, lambda q: F.get("s", q)))).alias("n"), (-p).alias("back"))
-
-    best = rows.select("rid", "doc_id", "license", F.size("t").alias("m"), F.array_max(F.transform("own", together)).alias("b"))
-    best = best.select("rid", "doc_id", "license", (F.col("b.n") / F.col("m")).alias("c"), (-F.col("b.back")).alias("at")).where(F.col("c") >= least)
-    one = best.groupBy("rid", "doc_id", "license").agg(F.max(F.struct("c", (-F.col("at")).alias("back"))).alias("b"))
-    return one.select(F.col("doc_id").alias(id_col), "license", F.col("b.c").alias("containment"), (-F.col("b.back")).alias("word_start"))
+    best = None
+    for k, block in enumerate(_blocks(templates)):
+        known = ",".join(f"{key}L" for own in block.values() for key in sorted({key for _, key in own}))
+        met = every.select("rid", "doc_id", "s", _band_keys([x[:2] for x in SCALES if x[0] in block]).alias("keys"))
+        met = met.select("rid", "doc_id", "s", F.expr(f"array_distinct(filter(keys, x -> x in ({known})))").alias("keys"))
+        near = tmp.save(met.where(F.size("keys") > 0), f"near{k}")
+        pairs = spark.createDataFrame([(t, key) for own in block.values() for t, key in own], "template int, key long")
+        met = near.select("rid", F.explode("keys").alias("key")).join(F.broadcast(pairs), "key").select("rid", "template").distinct()
+        met = tmp.save(met, f"met{k}")
+        mine = shingles.join(F.broadcast(pairs.select("template").distinct()), "template", "left_semi")
+        rows = near.join(met, "rid").join(F.broadcast(mine), "template")
+        own = F.filter(F.sequence(F.lit(0), F.size("s") - 1), lambda p: F.array_contains("t", F.get("s", p)))
+        rows = rows.select("rid", "doc_id", "license", "s", "t", own.alias("own"))
+
+        def together(p: Column, k: Column) -> Column:
+            reach = 2 * F.size("t")
+            close = F.filter(F.slice("own", k + 1, reach), lambda q: q < p + reach)
+            return F.struct(F.size(F.array_distinct(F.transform(close, lambda q: F.get("s", q)))).alias("n"), (-p).alias("back"))
+
+        one = rows.select("rid", "doc_id", "license", F.size("t").alias("m"), F.array_max(F.transform("own", together)).alias("b"))
+        one = one.select("rid", "doc_id", "license", (F.col("b.n") / F.col("m")).alias("c"), F.col("b.back").alias("back")).where(F.col("c") >= least)
+        best = one if best is None else best.unionByName(one)
+    if best is None:
+        return spark.createDataFrame([], f"`{id_col}` {docs.schema[id_col].dataType.simpleString()}, license string, containment double, word_start int")
+    best = best.groupBy("rid", "doc_id", "license").agg(F.max(F.struct("c", "back")).alias("b"))
+    return best.select(F.col("doc_id").alias(id_col), "license", F.col("b.c").alias("containment"), (-F.col("b.back")).alias("word_start"))
 
 
 def op1_license_scan(spark, sf_dir: str) -> DataFrame:
+    """Licenses of every document by the notices; null and empty texts as in :func:`license_matches`."""
     return license_matches(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
