@@ -8,15 +8,18 @@ shard. Each window has an anchor, the smallest hash among its short word runs;
 neighbouring windows with one anchor form a segment, and the anchor decides the
 shard. Only segments whose anchor occurs at least twice go on, one copy of each
 with its number of occurrences. Segments of a crowded anchor, such as the edges of
-a passage that very many documents share, are taken apart into windows, which are
-pre-aggregated and spread by their own hash.
+a passage that very many documents share, are taken apart into windows; equal ones
+are one row with their number of occurrences, and each goes to the shard of its own
+hash, so that no anchor fills a shard.
 
 Each shard is an FM-index of its segments: the Burrows-Wheeler transform in a
 wavelet matrix of packed bits with block ranks. All segments are streamed through
 it in step by backward search, which gives the matching statistics: the longest
 run from each word that occurs at least twice, up to the window. Runs that reach
-the window are the reported intervals. Words are compared, not hashes, so nothing
-is removed because hashes collide.
+the window are the reported intervals. Inside a shard words are compared, not
+hashes. Two things rest on hashes: segments are one copy if the 128 bits of their
+anchor and digest agree, and words behind the 64 bits of a word hash; both would have
+to collide for the same 35 words to remove anything wrongly.
 """
 
 from __future__ import annotations
@@ -358,16 +361,16 @@ def repeated_spans(docs: DataFrame, window: int = 50, id_col: str = "doc_id", te
 
     one = tmp.save(every.groupBy("anchor", "digest").agg(F.count(F.lit(1)).alias("times"), F.min("rid").alias("rid"), F.max("windows").alias("windows")), "distinct")
     crowd = tmp.save(one.groupBy("anchor").count().where(F.col("count") > CROWDED).select("anchor", F.lit(True).alias("crowded")), "crowded")
-    wanted = one.join(crowd, "anchor", "left").withColumn("crowded", F.coalesce("crowded", F.lit(False)))
-    wanted = wanted.groupBy("rid").agg(F.collect_list(F.struct("anchor", "digest", "times", "crowded")).alias("wanted"))
+    marked = one.join(crowd, "anchor", "left").withColumn("crowded", F.coalesce("crowded", F.lit(False)))
+    total = marked.agg(F.sum(F.when(F.col("crowded"), F.col("windows") * (window + 1)).otherwise(F.col("windows") + window))).first()[0] or 0
+    wanted = marked.groupBy("rid").agg(F.collect_list(F.struct("anchor", "digest", "times", "crowded")).alias("wanted"))
     texts = source.join(wanted.hint("merge"), "rid").select("text", "wanted").mapInArrow(_texts(window), "crowded boolean, key long, anchor long, digest long, at int, times long, words binary")
     texts = tmp.save(texts, "texts")
 
     windows = texts.where("crowded")
-    some = windows.groupBy("key", "words").agg(F.sum("times").alias("times")).where("times > 1")
+    some = windows.groupBy("key", "words").agg(F.sum("times").alias("times"))
     rows = texts.where("not crowded").select("crowded", F.col("anchor").alias("s1"), F.col("digest").alias("s2"), "times", "words")
     rows = rows.unionByName(some.select(F.lit(True).alias("crowded"), F.col("key").alias("s1"), F.lit(0).cast("long").alias("s2"), "times", "words"))
-    total = one.agg(F.sum(F.col("windows") + window)).first()[0] or 0
     shards = max(partitions(spark), -(-total // SHARD_WORDS))
     found = tmp.save(rows.repartition(shards, "s1").mapInArrow(_shards(window), "crowded boolean, s1 long, s2 long, w0 int, w1 int"), "found")
     of_windows = windows.select("key", "anchor", "digest", "at").join(found.where("crowded").select(F.col("s1").alias("key")).distinct(), "key", "left_semi")
@@ -375,7 +378,8 @@ def repeated_spans(docs: DataFrame, window: int = 50, id_col: str = "doc_id", te
     hits = tmp.save(hits.unionByName(of_windows.select("anchor", "digest", F.col("at").alias("w0"), (F.col("at") + 1).alias("w1"))), "hits")
     tmp.drop("texts")
     placed = every.join(hits, ["anchor", "digest"]).select("rid", "rid2", (F.col("start") + F.col("w0")).alias("a"), (F.col("start") + F.col("w1") + (window - 1)).alias("b"))
-    return tmp.result(placed.groupBy("rid", "rid2").agg(F.collect_list(F.struct("a", "b")).alias("spans")))
+    # A set: rows that are repeated with their id have one list, not one for each repetition.
+    return tmp.result(placed.groupBy("rid", "rid2").agg(F.collect_set(F.struct("a", "b")).alias("spans")))
 
 
 def _covered(n: int, spans):
@@ -403,7 +407,12 @@ def _cut(data: bytes, gone) -> bytes:
 
 
 def remove_repeats(docs: DataFrame, window: int = 50, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with the repeated words cut out of the text; null stays null, other columns stay as they were."""
+    """``docs`` with the repeated words cut out of the text, with the white space behind each.
+
+    Null, empty and short texts and all other columns stay as they were. Rows that
+    are repeated, with or without their id, are repeats of each other and lose every
+    window; an empty table gives an empty result.
+    """
     spans = repeated_spans(docs, window, id_col, text_col)
     key = {"rid": "__corvane_rid", "rid2": "__corvane_rid2", "spans": "__corvane_spans"}
     keyed = docs.select("*", *[c.alias(key[n]) for n, c in zip(("rid", "rid2"), _keys(id_col, text_col), strict=True)])
@@ -426,7 +435,11 @@ def remove_repeats(docs: DataFrame, window: int = 50, id_col: str = "doc_id", te
 
 
 def removal_rows(docs: DataFrame, window: int = 50, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per input row: ``id, n_words, n_removed, kept_sha256`` (of the kept words joined by one space)."""
+    """One row per input row: ``id, n_words, n_removed, kept_sha256`` (of the kept words joined by one space).
+
+    Null and empty texts have no words. Rows that are repeated, with or without
+    their id, are repeats of each other; an empty table gives an empty result.
+    """
     kind = docs.schema[id_col].dataType.simpleString()
     spans = repeated_spans(docs, window, id_col, text_col)
     rows = docs.select(id_col, F.col(text_col).alias("text"), *_keys(id_col, text_col)).join(spans.hint("merge"), ["rid", "rid2"], "left").select(id_col, "text", "spans")
@@ -453,6 +466,7 @@ def removal_rows(docs: DataFrame, window: int = 50, id_col: str = "doc_id", text
 
 
 def op7_substring_dedup(spark, sf_dir: str) -> DataFrame:
+    """Words and removed words of every document; odd rows as in :func:`removal_rows`."""
     return removal_rows(spark.read.parquet(f"{sf_dir}/documents.parquet"), window=35)
 
 
