@@ -289,6 +289,40 @@ def test_shards(table, n):
     assert sorted(got["size"]) == sorted(len(t or "") + 16 for _, t in rows)
 
 
+def test_shards_like_brute_force(table, monkeypatch):
+    """Every size, digest, place and the greedy choice of shards from the slots, and the same rows from another split."""
+    monkeypatch.setattr(sharding, "COPIES", 20)
+    rows = [(k, "é" * (k * 7 % 50)) for k in range(300)] + [(5, f"hot {k}" * 9) for k in range(200)] + [(None, "copy")] * 150 + [(None, None)]
+    got = sharding.shard(table(rows), shards=5, slots=64).toPandas()
+    again = sharding.shard(table(rows).repartition(7), shards=5, slots=64).toPandas()
+    key = ["doc_id", "size", "text_crc32", "virtual_slot", "shard", "slot"]
+    ordered = lambda x: x[key].fillna(-1).sort_values(key).values.tolist()
+    assert ordered(got) == ordered(again)
+    want = sorted((-1 if i is None else i, len((t or "").encode()) + 16, zlib.crc32((t or "").encode())) for i, t in rows)
+    assert sorted((int(i), int(n), int(c)) for i, n, c in got[["doc_id", "size", "text_crc32"]].fillna(-1).values) == want
+    weight = got.groupby("virtual_slot")["size"].sum().reindex(range(64), fill_value=0)
+    load, place = [0] * 5, {}
+    for v in sorted(range(64), key=lambda v: (-weight[v], v)):
+        place[v] = min(range(5), key=lambda s: (load[s], s))
+        load[place[v]] += weight[v]
+    assert all(place[v] == s for v, s in zip(got.virtual_slot, got.shard, strict=True))
+    for _, own in got.groupby("shard"):
+        assert sorted(own.slot) == list(range(len(own)))
+        assert own.sort_values("slot").virtual_slot.is_monotonic_increasing
+
+
+def test_stored_map_is_edited(table, spark, tmp_path):
+    path = f"file://{tmp_path}/map"
+    rows = [(k, "x" * (k % 60)) for k in range(600)]
+    first = sharding.shard(table(rows), shards=4, slots=128, map_path=path).toPandas()
+    same = sharding.shard(table(rows), shards=4, slots=128, map_path=path).toPandas()
+    assert set(first.map_version) == set(same.map_version) == {1} and dict(zip(first.doc_id, first.shard)) == dict(zip(same.doc_id, same.shard))
+    grown = sharding.shard(table(rows), shards=5, map_path=path).toPandas()
+    assert set(grown.map_version) == {2} and sharding.SlotMap.load(spark, path).version == 2
+    moved = [(a, b) for a, b in zip(first.sort_values("doc_id").shard, grown.sort_values("doc_id").shard, strict=True) if a != b]
+    assert moved and all(b == 4 for _, b in moved)
+
+
 def test_slot_maps(spark, tmp_path):
     w = [(k * 7919) % 100 for k in range(512)]
     a = sharding.SlotMap.build(w, 8)
@@ -319,5 +353,31 @@ def test_licenses(table):
     assert got[1][2] == 500
     assert license_scan.license_matches(table([])).count() == 0
     assert license_scan.license_matches(docs, notices=[("X", "too short")]).count() == 0
-    with pytest.raises(ValueError):
-        license_scan.license_matches(docs, notices=[("X", "w " * 500)])
+
+
+def test_whole_license_texts_in_blocks(table, monkeypatch):
+    """Templates of thousands of words, edited copies of them, and more bands than are sent at once."""
+    monkeypatch.setattr(license_scan, "KEYS_AT_ONCE", 3000)
+    r = np.random.default_rng(2)
+    notices = [(f"L{k}", " ".join(f"w{x}" for x in r.integers(0, 3000, n))) for k, n in enumerate((1500, 900, 64, 30, 12, 5))]
+    rows, i = [], 0
+    for _, text in notices:
+        words = text.split()
+        for edits in (0, 1, 3, 20, 60):
+            copy = list(words)
+            for _ in range(edits):
+                at, kind = int(r.integers(0, len(copy))), r.integers(0, 3)
+                copy[at : at + (kind != 1)] = [] if kind == 2 else ["new"]
+            rows.append((i, "start of it " + " ".join(copy) + " and the end"))
+            i += 1
+    want = set()
+    shingles = lambda t: [tuple(t.split()[k : k + 5]) for k in range(len(t.split()) - 4)]
+    for i, text in rows:
+        own = shingles(text)
+        for name, t in notices:
+            m = set(shingles(t))
+            if any(len(m & set(own[p : p + 2 * len(m)])) >= 0.8 * len(m) for p in range(len(own)) if own[p] in m):
+                want.add((i, name))
+    assert len(want) > 15
+    got = license_scan.license_matches(table(rows), notices=notices).collect()
+    assert {(r["doc_id"], r["license"]) for r in got} == want and len(got) == len(want)
