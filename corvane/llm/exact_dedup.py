@@ -130,8 +130,10 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with one row of each text, all columns as they were.
 
-    The row is found by its id, null or not, and the SHA-256 of its text; of
-    repeated rows with both, one stays.
+    Of equal texts the row of the largest id stays, a null id only if there is no
+    other. The row is found by its id, null or not, and the SHA-256 of its text; of
+    repeated rows with both, one stays. Null and empty texts are equal; an empty
+    table gives an empty result.
     """
     tmp = Scratch(docs.sparkSession, "copies")
     groups = exact_groups(docs, id_col, text_col).select(F.col(id_col).alias("_kept_id"), F.col("text_sha256").alias("_kept_content"), "kept")
@@ -142,6 +144,7 @@ def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
 
 def op4_exact_dedup(spark, sf_dir: str) -> DataFrame:
+    """Groups of equal texts of all documents; odd rows as in :func:`exact_groups`."""
     return exact_groups(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 

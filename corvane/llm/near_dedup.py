@@ -23,7 +23,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
-from pyspark.sql.window import Window
 
 from ..shipping import ship
 from .common import Interned, Scratch, keep_rows, mix, slices, word_hashes
@@ -328,7 +327,8 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     """``docs`` with one row of each group, all columns as they were: that of the smallest id, a null one only if there is no other.
 
     The row is found by its id, null or not, and the hash of its id and text; of
-    repeated rows with both, one stays. Rows without shingles all stay.
+    repeated rows with both, one stays. Rows without shingles, null and empty texts
+    among them, all stay; an empty table gives an empty result.
     """
     rows, tmp = _grouped(docs, id_col, text_col, **options)
     keys = rows.groupBy("doc_id", "rid", "root").agg(F.count(F.lit(1)).alias("times"))
@@ -340,6 +340,7 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
 
 
 def op5_minhash_near_dedup(spark, sf_dir: str) -> DataFrame:
+    """Components of near copies among all documents; odd rows as in :func:`near_duplicates`."""
     return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"), shingle_words=2, percent=80)
 
 

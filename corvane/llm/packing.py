@@ -278,4 +278,5 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokeni
 
 
 def op10_packing(spark, sf_dir: str) -> DataFrame:
+    """Pieces of all documents; null, empty and repeated ones as in :func:`pack`."""
     return pack(spark.read.parquet(f"{sf_dir}/documents.parquet"))
