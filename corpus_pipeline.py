@@ -17,8 +17,8 @@ PASSAGE_WORDS, SHINGLE_WORDS, SIMILARITY = 50, 5, 80
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that fail the rules go."""
-    return quality.keep_good(docs)
+    """Documents that fail the rules go; short ones are judged too, as clean ones are to stay."""
+    return quality.keep_good(docs, judge_short=True)
 
 
 def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

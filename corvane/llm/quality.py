@@ -30,6 +30,8 @@ COUNTED_WORDS = 200_000
 #: Largest distances that are kept. A histogram of n words strays from its language by about 1 / sqrt(n) of
 #: itself, so the word limit is wider for shorter texts; below LEAST_WORDS only characters are judged.
 MOST_CHAR_DISTANCE, MOST_WORD_DISTANCE, WORD_NOISE, LEAST_WORDS = 0.30, 0.235, 1.6, 60
+#: The same widening of the character limit, by the number of characters, for texts below BASE_WORDS words.
+CHAR_NOISE, BASE_WORDS = 1.0, 50
 
 _SPACE = b" \t\n\r\x0b\x0c"
 _SYMBOLS = b"#*$%&|<>"
@@ -178,8 +180,12 @@ class Judge:
         k = int(np.argmin(char + word))
         return float(char[k]), float(word[k]), self.langs[k]
 
-    def row(self, text: str | None, own: str | None = None) -> tuple:
-        """The columns of a text whose language is ``own``."""
+    def row(self, text: str | None, own: str | None = None, judge_short: bool = False) -> tuple:
+        """The columns of a text whose language is ``own``.
+
+        With ``judge_short`` a text is not rejected for having few words, but by its
+        repetitions and characters; one without any word is rejected all the same.
+        """
         data = (text or "").encode(errors="replace")
         words = data.split()
         n = len(words)
@@ -188,11 +194,16 @@ class Judge:
         lines = [x for x in data.split(b"\n") if x.strip()]
         ids = self.common.index(words)
         repeat = self.repeated(ids)
-        failed = n < 50 or 100 * repeat > 50 * n
+        failed = n < BASE_WORDS or 100 * repeat > 50 * n
         char, word, lang = self.distances(data, ids, n)
         near = char <= MOST_CHAR_DISTANCE and (n < LEAST_WORDS or word <= MOST_WORD_DISTANCE + WORD_NOISE / n**0.5)
+        if judge_short and 0 < n < BASE_WORDS:
+            rejected = 100 * repeat > 50 * n
+            near = char <= MOST_CHAR_DISTANCE + CHAR_NOISE / (len(text) or 1) ** 0.5
+        else:
+            rejected = failed
         symbols = len(data) - len(data.translate(None, _SYMBOLS))
-        return n, word_chars, symbols, len(lines) - len(set(lines)), repeat, failed, char, word, lang, not failed and (near or not self.langs or own is not None and own not in self.known)
+        return n, word_chars, symbols, len(lines) - len(set(lines)), repeat, failed, char, word, lang, not rejected and (near or not self.langs or own is not None and own not in self.known)
 
 
 _COLUMNS = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, char_distance double, word_distance double, nearest_lang string, kept boolean"
@@ -222,10 +233,14 @@ def quality_rows(docs: DataFrame, references: str, id_col: str = "doc_id", text_
     return docs.select(id_col, text_col, lang_col).mapInArrow(work, f"`{id_col}` {kind}, {_COLUMNS}")
 
 
-def keep_good(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
+def keep_good(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", judge_short: bool = False) -> DataFrame:
     """The documents that the rules keep, all columns as they were.
 
-    The verdict is made in the same pass over the rows, so nothing is joined or shuffled.
+    The verdict is made in the same pass over the rows, so nothing is joined or
+    shuffled. Documents of fewer than ``BASE_WORDS`` words go, or with
+    ``judge_short`` are judged by what can be told of them (see :meth:`Judge.row`).
+    Null and empty texts go; repeated rows are judged each; null ids make no
+    difference; an empty table gives an empty result.
     """
     references = language_references(docs, text_col, lang_col)
     at, lang_at = docs.columns.index(text_col), docs.columns.index(lang_col)
@@ -235,12 +250,13 @@ def keep_good(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", l
 
         judge = Judge(references)
         for batch in slices(batches):
-            kept = [judge.row(t, own)[-1] for t, own in zip(batch.column(at).to_pylist(), batch.column(lang_at).to_pylist(), strict=True)]
+            kept = [judge.row(t, own, judge_short)[-1] for t, own in zip(batch.column(at).to_pylist(), batch.column(lang_at).to_pylist(), strict=True)]
             yield batch.filter(pa.array(kept, pa.bool_()))
 
     return docs.mapInArrow(work, docs.schema)
 
 
 def op9_quality_rules(spark, sf_dir: str) -> DataFrame:
+    """Counts and verdicts of every document; odd rows as in :func:`quality_rows`."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     return quality_rows(docs, language_references(docs))
