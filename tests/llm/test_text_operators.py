@@ -1,4 +1,5 @@
 import json
+import math
 import re
 import zlib
 from collections import Counter
@@ -167,6 +168,76 @@ def test_quality_counts_references_on_all_rows(spark, monkeypatch):
     assert json.loads(quality.language_references(docs)) == ref
 
 
+def brute_distance(p, q):
+    h = lambda x: -sum(v * math.log2(v) for v in x if v > 0)
+    return math.sqrt(max(0.0, h([(a + b) / 2 for a, b in zip(p, q, strict=True)]) - (h(p) + h(q)) / 2))
+
+
+def brute_references(rows):
+    """Shares of character classes and of the fifty most common words of each language with enough words."""
+    chars, words = {}, {}
+    for t, lang in rows:
+        if t is not None and lang is not None:
+            chars.setdefault(lang, Counter()).update(map(char_class, t))
+            words.setdefault(lang, Counter()).update(plain_word(w) for w in re.findall(r"[^\x20\x09-\x0D]+", t))
+    out = {}
+    for lang, count in words.items():
+        total = sum(count.values())
+        if total >= quality.LEAST_REFERENCE_WORDS:
+            top = sorted((w for w in count if w), key=lambda w: (-count[w], "w" + w))[:50]
+            out[lang] = [chars[lang][k] / sum(chars[lang].values()) for k in range(8)], {w: count[w] / total for w in top}
+    return out
+
+
+def char_class(c):
+    if c > "\x7f":
+        return 7
+    for k, pattern in enumerate(("[a-z]", "[A-Z]", "[0-9]", "[\x20\x09-\x0D]", r"[.,;:!?'\"\-()]", "[#*$%&|<>]")):
+        if re.match(pattern, c):
+            return k
+    return 6
+
+
+def plain_word(w):
+    return re.sub("[A-Z]", lambda m: m[0].lower(), w).strip(".,;:!?'\"-()[]#*$%&|<>")
+
+
+def brute_kept(t, lang, ref, judge_short=False):
+    n, _, _, _, repeat, failed = brute_quality(t)
+    if failed and not (judge_short and 0 < n < 50):
+        return False
+    if 100 * repeat > 50 * n:
+        return False
+    if not ref or lang is not None and lang not in ref:
+        return True
+    words = Counter(map(plain_word, re.findall(r"[^\x20\x09-\x0D]+", t)))
+    kinds, best = Counter(map(char_class, t)), None
+    for name in sorted(ref):
+        char = brute_distance([kinds[k] / len(t) for k in range(8)], ref[name][0])
+        own = sorted(ref[name][1])
+        p, q = [words[w] / n for w in own], [ref[name][1][w] for w in own]
+        word = brute_distance([*p, max(0, 1 - sum(p))], [*q, max(0, 1 - sum(q))])
+        if best is None or char + word < best[0] - 1e-12:
+            best = char + word, char, word
+    if n < 50:
+        return best[1] <= 0.30 + 1.0 / len(t) ** 0.5
+    return best[1] <= 0.30 and (n < 60 or best[2] <= 0.235 + 1.6 / n**0.5)
+
+
+def test_quality_verdicts_like_brute_force(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    rows = [tuple(r) for r in docs.select("doc_id", "text", "lang").collect()]
+    rows = [r for r in rows if len(r[1] or "") < 6000][:350] + [(9001, None, None), (9002, "", "en"), (9003, "word " * 70, "xx"), (9004, "$#| " * 20, "en"), (9005, "Tiny text.", None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    ref = brute_references([r[1:] for r in rows])
+    assert len(ref) >= 3
+    got = {r["doc_id"]: r["kept"] for r in quality.quality_rows(docs, quality.language_references(docs)).collect()}
+    assert got == {i: brute_kept(t, lang, ref) for i, t, lang in rows} and 20 < sum(got.values()) < len(rows)
+    for short in (False, True):
+        kept = {r["doc_id"] for r in quality.keep_good(docs, judge_short=short).collect()}
+        assert kept == {i for i, t, lang in rows if brute_kept(t, lang, ref, short)}
+
+
 def test_distance():
     p, q = np.array([0.5, 0.5, 0]), np.array([0, 0.5, 0.5])
     assert quality.js_distance(p, p) == 0 and quality.js_distance(np.array([1.0, 0]), np.array([0, 1.0])) == 1
