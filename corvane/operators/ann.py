@@ -44,6 +44,13 @@ class _Lists:
         return ((n, self.get(n)) for n in range(len(self.start) - 1))
 
 
+def _scattered(nodes):
+    """An order of equally near nodes that favours none: else the first ones would get all links, the last ones none."""
+    import numpy as np
+
+    return (nodes.astype(np.int64) + 1) * 0x9E3779B1 & 0xFFFFFFFF
+
+
 class Graph:
     """One HNSW graph over a matrix. ``links[layer].get(node)`` are the neighbours."""
 
@@ -154,7 +161,7 @@ class Graph:
 
         theirs = np.array(self.links[layer][node])
         d = self._matrix([node], theirs)[0]
-        order = np.argsort(d, kind="stable")
+        order = np.lexsort((_scattered(theirs), d))
         self.links[layer][node] = self._diverse(d[order], theirs[order], self._most(layer))
 
     def _link(self, layer: int, node: int, distances, nodes, slack: int = 1) -> None:
@@ -215,7 +222,7 @@ class Graph:
                         continue
                     own = d[i, :before]
                     near = np.argpartition(own, ef_construction)[:ef_construction] if before > ef_construction else np.arange(before)
-                    near = near[np.lexsort((near, own[near]))]
+                    near = near[np.lexsort((_scattered(near), own[near]))]
                     g._link(layer, node, own[near], nodes[near], slack=2)
             for node, theirs in g.links[layer].items():
                 if len(theirs) > g._most(layer):
@@ -226,8 +233,8 @@ class Graph:
     def search(self, q, k: int = 5, ef_search: int | None = None, live: set[int] | None = None) -> list[tuple[float, int]]:
         """(distance, node) of the ``k`` nearest found; an empty graph gives nothing.
 
-        With ``live`` other nodes only lead the way: the beam is widened until ``k``
-        of those are found, or all.
+        With ``live`` other nodes only lead the way. The beam is widened until ``k``
+        nodes that count are found, or all.
         """
         if k <= 0:
             raise ValueError("k must be positive")
@@ -238,14 +245,20 @@ class Graph:
         for layer in range(len(self.links) - 1, 0, -1):
             at = self._beam(q, at, layer, 1)
         width = max(ef_search or self.ef_search, k)
+        wanted = min(k, len(self) if live is None else len(live))
         while True:
             found = self._beam(q, at, 0, width)
-            if live is None:
-                return found[:k]
-            found = [x for x in found if x[1] in live]
-            if len(found) >= min(k, len(live)) or width >= len(self):
+            if live is not None:
+                found = [x for x in found if x[1] in live]
+            if len(found) >= wanted:
                 return found[:k]
+            if width >= len(self):
+                break
             width *= 2
+        # Nodes that no link leads to are compared one by one.
+        met = {n for _, n in found}
+        rest = [n for n in (range(len(self)) if live is None else sorted(live)) if n not in met]
+        return sorted(found + list(zip(self._distances(q, rest).tolist(), rest, strict=True)))[:k]
 
     def edges(self) -> tuple[list[int], list[int], list[int]]:
         """Layers, sources and ends of all links, in this order."""

@@ -289,7 +289,6 @@ def content_hashes(spark, sf_dir):
 
 
 _LETTERS = r"regexp_replace(coalesce(text, ''), '[^a-zA-Z,\n ]', '', 'g')"
-_PLAIN = _NORMAL.replace("text", _LETTERS)
 
 
 def _letters() -> F.Column:
@@ -297,7 +296,7 @@ def _letters() -> F.Column:
     return F.regexp_replace(F.coalesce("text", F.lit("")), "[^a-zA-Z,\n ]", "")
 
 
-@query(f"""SELECT doc_id, trim(regexp_replace('# Title ' || lang || ' ' || {_PLAIN} || ' strong ' || doc_id || ' ' || doc_id || ' link one two [CODE] x = **' || {_PLAIN} || '** [/CODE] end ' || {_PLAIN}, '\\s+', ' ', 'g')) AS text FROM documents""")
+@query(f"""SELECT doc_id, trim(regexp_replace('# Title ' || lang || ' text ' || {_LETTERS} || ' strong ' || doc_id || ' ' || doc_id || ' link one two [CODE] x = **' || {_LETTERS} || '** [/CODE] end ' || {_LETTERS}, '\\s+', ' ', 'g')) AS text FROM documents""")
 def markdown_to_text(spark, sf_dir):
     d = documents(spark, sf_dir).select("doc_id", F.coalesce("lang", F.lit("")).alias("lang"), _letters().alias("a"), F.col("doc_id").cast("string").alias("n"))
     md = F.concat(F.lit("### Title "), "lang", F.lit("\n\ntext "), "a", F.lit("\n\n~~strong~~ **"), "n", F.lit("** `"), "n", F.lit("`\n- [link](http://x.y/z)\n1. one\n> two\n\n---\n```py\nx = **"), "a", F.lit("**\n```\nend "), "a")
@@ -408,7 +407,7 @@ def context_budget(spark, sf_dir):
 
 
 _CITES = r"""a AS (SELECT doc_id, regexp_replace(text, '( \w+){2}', '\1 [' || doc_id % 13 || '] [12' || doc_id % 3 || ']' || '\1', 'g') || ' [x] [] [7' AS answer FROM documents WHERE text IS NOT NULL),
-    n AS (SELECT doc_id, list_sort(list_distinct(list_transform(regexp_extract_all(answer, '\[([0-9]{1,9})\]', 1), lambda x: x::INT))) AS cited FROM a)"""
+    found AS (SELECT doc_id, list_sort(list_distinct(list_transform(regexp_extract_all(answer, '\[([0-9]{1,9})\]', 1), lambda x: x::INT))) AS cited FROM a)"""
 
 
 def _cited_texts(spark, sf_dir) -> DataFrame:
@@ -418,12 +417,12 @@ def _cited_texts(spark, sf_dir) -> DataFrame:
     return d.select("doc_id", F.concat(F.regexp_replace("text", F.lit(r"( \w+){2}"), marks), F.lit(" [x] [] [7")).alias("answer"))
 
 
-@query(f"WITH {_CITES} SELECT doc_id, cited FROM n")
+@query(f"WITH {_CITES} SELECT doc_id, cited FROM found")
 def citation_extract(spark, sf_dir):
     return _cited_texts(spark, sf_dir).select("doc_id", F.array_sort(A.citations("answer")).alias("cited"))
 
 
-@query(f"WITH {_CITES} SELECT doc_id, unnest(list_filter(cited, lambda x: x < 1 OR x > 5)) AS n, 'citation [' || n || '] has no source; there are 5' AS warning FROM n")
+@query(f"WITH {_CITES} SELECT doc_id, unnest(list_filter(cited, lambda x: x < 1 OR x > 5)) AS n, 'citation [' || n || '] has no source; there are 5' AS warning FROM found")
 def citation_validate(spark, sf_dir):
     both = F.arrays_zip(A.invalid_citations("answer", F.lit(5)).alias("n"), A.citation_warnings("answer", F.lit(5)).alias("warning"))
     return _cited_texts(spark, sf_dir).select("doc_id", F.explode(both).alias("x")).select("doc_id", "x.n", "x.warning")

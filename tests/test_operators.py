@@ -210,6 +210,92 @@ def test_replay_agrees_with_fold(spark, sf_dir):
     assert sorted(map(tuple, a.collect())) == sorted(map(tuple, b.collect()))
 
 
+def test_replay_evicts_like_a_loop(spark, sf_dir):
+    events = spark.read.parquet(f"{sf_dir}/events.parquet").withColumn("event_type", F.concat("event_type", F.lit("-"), F.col("event_id") % 3))
+    log = {}
+    for r in events.orderBy("ts", "event_id").collect():
+        log.setdefault(r["user_id"], []).append((r["ts"].timestamp(), r["event_type"]))
+    want = {}
+    for user, requests in log.items():
+        held, hits = {}, 0  # in order of use
+        for at, key in requests:
+            stored = held.pop(key, None)
+            hit = stored is not None and at - stored <= 7 * 86400
+            hits += hit
+            held[key] = stored if hit else at
+            if len(held) > 3:
+                del held[next(iter(held))]
+        want[user] = hits, len(requests)
+    got = cache.replay(events, "user_id", "event_type", "ts", "event_id", 3, 7 * 86400).collect()
+    assert {r["user_id"]: (r["hits"], r["total"]) for r in got} == want and sum(h for h, _ in want.values()) > 0
+
+
+def test_keys_that_are_expressions(spark):
+    rows = lambda xs: spark.createDataFrame([(0, i + 1, x) for i, x in enumerate(xs)], "query_id long, rank int, chunk string")
+    key = F.split("chunk", "_")[0]
+    r = evaluate.recall_table(rows(["a_1", "b_1"]), rows(["a_2", "c_1"]), 2, key).first()
+    assert (r["recall"], r["precision"]) == (0.5, 0.5)
+
+
+def test_cited_sources_only(spark):
+    rows = spark.createDataFrame([(0, 1, "d1", 0.5, "x"), (0, 2, "d2", 0.25, "y")], "query_id long, rank int, doc_id string, score double, text string")
+    answers = spark.createDataFrame([(0, "so [2].")], "query_id long, answer string")
+    marked = context.mark_cited(context.sources(rows), answers)
+    assert [r["doc_id"] for r in context.cited_only(marked).collect()] == ["d2"]
+    assert context.format_sources(marked, only_cited=True).first()["display"] == "✓ [2] d2 (score 0.25): y"
+
+
+def test_store_options(spark):
+    s = knn.create_vector_store(spark, 2)
+    rows = spark.createDataFrame([(2, [0.0, 1.0]), (1, [1.0, 0.0])], "o long, embedding array<double>")
+    s.add_table(rows, order="o")
+    s.add_table(rows.limit(0))
+    assert len(s) >= 2 and s.get(0)["embedding"] == [1.0, 0.0]
+    q = spark.createDataFrame([(0, [1.0, 0.1])], "query_id long, embedding array<double>")
+    assert s.search(q, 1, return_scores=False, return_vectors=True).columns == ["query_id", "rank", "node_id", "metadata", "embedding"]
+    with pytest.raises(Exception):
+        s.add_table(spark.createDataFrame([([1.0],)], "embedding array<double>")) or s.rows.collect()
+
+
+def test_equal_keys_have_a_stated_winner(spark):
+    new = spark.createDataFrame([("a", 1), ("a", 3), ("a", 2)], "chunk_id string, x int")
+    for n in (1, 3):
+        assert [tuple(r) for r in incremental.upsert(new.limit(0), new.repartition(n)).collect()] == [("a", 3)]
+
+
+def test_blocks_of_queries_are_bounded(spark, monkeypatch):
+    """Many more queries than a block holds, and slices of vectors: no matrix of scores is larger than CELLS."""
+    monkeypatch.setattr(knn, "QUERY_ROWS", 16)
+    monkeypatch.setattr(knn, "CELLS", 64)
+    seen = []
+    plain = knn.scores
+    monkeypatch.setattr(knn, "scores", lambda q, v, *a: (seen.append(len(q) * len(v)), plain(q, v, *a))[1])
+    r = np.random.default_rng(0)
+    best = knn.Best(r.normal(size=(16, 4)), 3, "cosine")
+    best.add(np.arange(50), r.normal(size=(50, 4)))
+    assert len(seen) > 10 and max(seen) <= 64 and len(best.row) == 48
+    monkeypatch.undo()
+    monkeypatch.setattr(knn, "QUERY_ROWS", 16)
+    v = synthetic.random_vectors(spark, 90, 4, seed=2)
+    q = v.withColumnRenamed("node_id", "query_id")
+    got = knn.knn_join(q, v, 2).where("rank = 1").collect()
+    assert len(got) == 90 and all(r["query_id"] == r["node_id"] for r in got)
+    index = ann.HNSWIndex.build(v, shards=2)
+    assert index.search(q, 1).where("query_id = node_id").count() == 90
+
+
+def test_inverted_lists_of_nothing_and_of_any_metric(spark):
+    v = synthetic.random_vectors(spark, 300, 8, seed=5).withColumn("embedding", F.transform("embedding", lambda x: x * (1 + F.col("node_id") % 5)))
+    q = v.where("node_id % 7 = 0").withColumnRenamed("node_id", "query_id")
+    for metric in ("cosine", "euclidean", "dot"):
+        truth = knn.knn_join(q, v, 5, metric)
+        found = ann.ivf_search(v, q, 5, metric=metric)
+        assert evaluate.recall_statistics(evaluate.recall_table(truth, found, 5)).first()["recall_mean"] >= 0.9, metric
+    assert ann.ivf_search(v.limit(0), q, 5).count() == 0 and ann.ivf_search(v, q.limit(0), 5).count() == 0
+    assert ann.nearest_cells(v.limit(0), 4).count() == 0 and ann.nearest_cells(v, 4).where("cell between 0 and 3").count() == 300
+    assert ann.HNSWIndex.build(v.limit(0)).search(q, 3).count() == 0
+
+
 def test_generation(spark):
     for bad in ({"temperature": 3, "model": "m"}, {"max_tokens": 0, "model": "m"}, {"model": " "}):
         with pytest.raises(ValueError):
@@ -230,17 +316,23 @@ def test_http_service(spark):
     import threading
     from http.server import BaseHTTPRequestHandler, HTTPServer
 
+    names = ["m"]
+
     class Handler(BaseHTTPRequestHandler):
         def log_message(self, *a):
             pass
 
         def do_GET(self):
             self.send_response(200), self.end_headers()
-            self.wfile.write(json.dumps({"models": [{"name": "m", "size": 3}]}).encode())
+            self.wfile.write(json.dumps({"models": [{"name": n, "size": 3} for n in names]}).encode())
 
         def do_POST(self):
             body = json.loads(self.rfile.read(int(self.headers["Content-Length"])))
             self.send_response(200), self.end_headers()
+            if self.path == "/api/pull":
+                names.append(body["name"]) if body["name"] != "none" else None
+                self.wfile.write(json.dumps({"status": "success"} if body["name"] != "none" else {"error": "unknown"}).encode())
+                return
             parts = [{"response": "a"}, {"response": "b", "done": True}] if body["stream"] else [{"response": body["prompt"] + "!"}]
             self.wfile.write("\n".join(map(json.dumps, parts)).encode())
 
@@ -248,6 +340,7 @@ def test_http_service(spark):
     threading.Thread(target=server.serve_forever, daemon=True).start()
     client = generation.HttpClient(f"http://127.0.0.1:{server.server_port}", "m")
     assert client.is_available() and client.model_info("m").size == 3 and client.model_info("x") is None
+    assert client.ensure_model() and client.ensure_model("new") and names == ["m", "new"] and not client.ensure_model("none")
     assert client.generate("hi") == "hi!" and list(client.stream("hi")) == ["a", "b"]
     server.shutdown()
 

@@ -1,7 +1,8 @@
 import json
+import shutil
+import zlib
 
 import pytest
-from pyspark.sql import functions as F
 
 from corvane import cli
 from corvane import collection as C
@@ -41,6 +42,64 @@ def test_scan(spark, folder):
             files.pdf_text(bad)
 
 
+def pdf_with_streams():
+    """Two pages in an object stream, the second by number first, with hexadecimal strings and a font with a map to Unicode."""
+    cmap = b"1 begincodespacerange <0000> <FFFF> endcodespacerange 1 beginbfchar <0001> <0048> endbfchar 1 beginbfrange <0002> <0003> <0069> endbfrange"
+    objects = {
+        7: b"<< /Type /Page /Parent 2 0 R /Contents 10 0 R >>", 3: b"<</Type/Page/Parent 2 0 R/Contents [11 0 R]>>", 1: b"<< /Type /Catalog /Pages 2 0 R >>",
+        2: b"<< /Type /Pages /Kids [7 0 R 3 0 R] /Count 2 /Resources << /Font << /F1 5 0 R >> >> >>", 5: b"<< /Type /Font /ToUnicode 12 0 R >>",
+    }
+    head, data = b"", b""
+    for n, body in objects.items():
+        head, data = head + b"%d %d " % (n, len(data)), data + body + b" "
+    stream = lambda n, s, extra=b"": b"%d 0 obj << /Length %d %s >>\nstream\n" % (n, len(s), extra) + s + b"\nendstream endobj\n"
+    packed = stream(20, zlib.compress(head + data), b"/Type /ObjStm /N 5 /First %d /Filter /FlateDecode" % len(head))
+    shown = stream(10, b"BT /F1 9 Tf <000100020003> Tj T* [(\\000\\001) -300 <0002>] TJ ET") + stream(11, b"BT <48656C6C6F> Tj (a\\)b (c)) ' ET")
+    return b"%PDF-1.5\n" + packed + shown + stream(12, cmap) + stream(30, b"", b"/Type /XRef /Root 1 0 R")
+
+
+def test_pdf_page_tree_and_fonts():
+    assert files.pdf_text(pdf_with_streams()) == "--- Page 1 --- Hij H i --- Page 2 --- Hello a)b (c)"
+    assert files.pdf_text(files.sample_pdf([f"page {k}" for k in range(12)])).count("--- Page") == 12
+
+
+def test_files_of_one_name_stay_apart(spark, tmp_path):
+    for d in ("b", "a"):
+        (tmp_path / "in" / d).mkdir(parents=True)
+        (tmp_path / "in" / d / "x.txt").write_text(f"text of {d}")
+    docs = files.scan_directory(spark, str(tmp_path / "in"), recursive=True)
+    assert [r["text"] for r in files.loaded(docs).collect()] == ["text of a", "text of b"]
+    c = C.create_collection(spark, f"file://{tmp_path}/db", "one", "brute_force")
+    assert c.add_documents(docs)["new_documents"] == 2 and c.info()["num_documents"] == 2
+    twice = spark.createDataFrame([("same", "a b"), ("same", "c d"), (None, "x")], "doc_id string, text string")
+    assert c.add_documents(twice)["new_documents"] == 1 and c.add_documents(twice)["updated_documents"] == 0
+    assert [r["text"] for r in c.tables.load("chunks", "one").where("doc_id = 'same'").collect()] == ["c d"]
+
+
+def test_graph_with_replaced_vectors_gives_all_results(spark, tmp_path):
+    c = C.create_collection(spark, f"file://{tmp_path}", "live", "hnsw")
+    text = lambda k, word: f"{word} number {k}"
+    c.add_documents(spark.createDataFrame([(f"d{k}", text(k, "apple" if k < 8 else "pear")) for k in range(120)], "doc_id string, text string"))
+    c.add_documents(spark.createDataFrame([(f"d{k}", text(k, "plum")) for k in range(8)], "doc_id string, text string"))
+    assert int(c.tables.info("indexes", "live")["properties"]["stale"]) == 8
+    q = spark.createDataFrame([(0, "apple number 3")], "query_id long, query string")
+    for k in (3, 120):
+        found = c.search(q, k, least=-1.0).collect()
+        assert len(found) == k and sorted(r["rank"] for r in found) == list(range(1, k + 1)) and not any("apple" in r["text"] for r in found)
+    # The index is compared with its manifest when it is read.
+    part = c.tables.info("indexes", "live")["parts"][0]["path"]
+    spark.read.parquet(f"file://{tmp_path}/indexes/live/{part}").limit(0).write.mode("overwrite").parquet(f"file://{tmp_path}/indexes/live/{part}x")
+    shutil.rmtree(tmp_path / "indexes" / "live" / part)
+    (tmp_path / "indexes" / "live" / f"{part}x").rename(tmp_path / "indexes" / "live" / part)
+    with pytest.raises(IntegrityError):
+        C.load_collection(spark, f"file://{tmp_path}", "live").search(q, 3)
+
+
+def test_checksum_sees_pairs_of_equal_rows(spark):
+    a, b = ([(x,) for x in xs] for xs in ((1, 1, 2), (3, 3, 2)))
+    assert tables.checksum(spark.createDataFrame(a, "x long")) != tables.checksum(spark.createDataFrame(b, "x long"))
+
+
 def test_tables(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(tables, "LONG_LOG", 4)
     t = Tables(spark, f"file://{tmp_path}")
@@ -127,6 +186,17 @@ def test_stream_of_messages(spark, tmp_path):
     assert spark.sql("SELECT num_messages FROM hist").first()[0] == 3
 
 
+def test_messages_of_one_batch_are_put_in_order(spark, tmp_path, monkeypatch):
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "3")
+    rows = spark.createDataFrame([(1, i, "user" if i % 2 == 0 else "assistant", f"m{i}") for i in reversed(range(10))], "conv_id long, turn long, role string, text string")
+    rows.repartition(5).write.parquet(str(tmp_path / "in"))
+    q = ingest.live_history(spark.readStream.schema(rows.schema).parquet(str(tmp_path / "in")), 3, 100).writeStream.format("memory").queryName("ordered").outputMode("update").start()
+    q.processAllAvailable()
+    q.stop()
+    spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert spark.sql("SELECT history FROM ordered").first()[0].split("\n") == [f"{'user' if i % 2 == 0 else 'assistant'}: m{i}" for i in range(4, 10)]
+
+
 def test_command_line(spark, tmp_path, folder, capsys):
     root = ["--root", f"file://{tmp_path}/db"]
 
@@ -157,6 +227,8 @@ def test_command_line(spark, tmp_path, folder, capsys):
 def test_benchmark_and_reports(spark, tmp_path):
     r = evaluate.run_benchmark(spark, evaluate.BenchmarkConfig(200, 16, 10, [5], [50], ef_construction=50))
     assert r.rows[1]["recall_mean"] > 0.8 and r.table(spark).count() == 2
+    assert r.build_seconds["brute_force"] > 0 and r.to_dict()["build_speedup"] > 0
+    assert [x.config.n_vectors for x in evaluate.compare_algorithms(spark, (30, 60), dimension=8, n_queries=5, k_values=[1], ef_values=[10])] == [30, 60]
     assert json.loads(reports.to_json(r, tmp_path / "r.json"))["rows"] and reports.to_table(r).startswith("| algorithm")
     assert reports.to_table(r, "csv").count("\n") == 3 and "vectors" in reports.console(r) and "n=200" in reports.comparison([r])
 
@@ -176,7 +248,13 @@ def test_config(tmp_path):
         config.load_config(tmp_path / "none.yaml")
 
 
-def test_event_stream_matches_batch(spark, sf_dir):
-    path = f"{sf_dir}/events.parquet"
-    batch = ingest.event_windows(spark.read.parquet(path))
-    assert batch.agg(F.sum("n")).first()[0] == spark.read.parquet(path).count()
+def test_event_stream_matches_batch(spark, sf_dir, tmp_path):
+    events = spark.read.parquet(f"{sf_dir}/events.parquet")
+    events = events.withColumn("ts", events["ts"].cast("timestamp"))
+    events.coalesce(1).write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(events.schema).parquet(str(tmp_path / "in"))
+    q = ingest.event_windows(stream).writeStream.format("memory").queryName("windows").outputMode("update").start()
+    q.processAllAvailable()
+    q.stop()
+    plain = lambda rows: sorted((str(r["window_start"]), r["event_type"], r["n"], round(r["total"], 6)) for r in rows)
+    assert plain(spark.sql("SELECT * FROM windows").collect()) == plain(ingest.event_windows(events).collect())
