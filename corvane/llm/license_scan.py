@@ -1,19 +1,19 @@
 """License scans: MinHash bands over windows retrieve templates, exact containment verifies them.
 
 A text is its words (runs of letters and digits, in lower case) and their 5-word
-shingles. Overlapping windows of shingles lie over every text, at every ``stride``-th
+shingles. Overlapping windows of shingles lie over every text, at every ``STRIDE``-th
 place, and over every template, at every place. A window's signature has ``BANDS``
-MinHash values, each a band: windows of similarity J meet in a band with a
-probability of 1 - (1 - J) ** BANDS, 0.996 for J = 0.5, 0.999997 for J = 0.8, and
-equal windows always meet. A template is retrieved by the bands that it shares with a
-text.
-
-Window sizes are chosen so that a text with 0.8 of a template's shingles has a window
-equal to one of the template's. A changed word takes away 5 shingles, an inserted one
-4, so a template of m shingles may be broken up 0.05 m times, and a run of at least
-0.8 m / (0.05 m + 1) shingles is left: 12 from m = 60 on, 6 from m = 8 on. A run of
-size + stride - 1 shingles holds a whole window of the text: 11 and 5. Templates of
-fewer than 8 shingles are met by single shingles.
+MinHash values, each a band: its least shingle hash under a mask of that band. Windows
+of similarity J meet in a band with a probability of about 1 - (1 - J) ** BANDS, 0.94
+for J = 0.5, 0.998 for J = 0.8, and equal windows always meet. A template is retrieved
+by the bands that it shares with a text.
+
+The window is chosen so that a text with 0.8 of a template's shingles has a window
+equal to one of the template's. A changed word takes away 5 shingles and an inserted
+one 4, so a template of m shingles is broken up 0.2 m / 4 times at most, and a run of
+at least 7 of its shingles is left if it has 8 or more. A run of WINDOW + STRIDE - 1
+shingles holds a whole window of the text. Shorter templates are met by single
+shingles, which are their own signatures.
 
 A retrieved template counts if enough of its shingles stand close together in the
 text (within twice its length). All of it is DataFrame operations. Bands of the
@@ -28,9 +28,12 @@ from pyspark.sql import functions as F
 
 from .common import Scratch
 
-SHINGLE, BANDS = 5, 8
-#: Shingles of a window, its stride over texts, and least shingles of the templates that it serves.
-SCALES = ((8, 4, 60), (4, 2, 8), (1, 1, 1))
+SHINGLE, WINDOW, STRIDE = 5, 5, 3
+#: Masks of the bands: they differ in their first bits, which decide most about what is least.
+MASKS = (0x1B873593CC9E2D51, 0x5A308D313198A2E0, -0x4B9F5C2E1D73A86F, -0x165667B19E3779F9)
+BANDS = len(MASKS)
+#: Templates of so many shingles are met by windows, shorter ones by single shingles.
+LEAST_WINDOWED = 8
 LEAST_CONTAINMENT = 0.8
 #: Bands of templates that are sent to the executors at once.
 KEYS_AT_ONCE = 50_000
@@ -74,26 +77,20 @@ def _shingles(df: DataFrame, text_col: str, *keep: Column) -> DataFrame:
     return hashed.select(*[c for c in hashed.columns if c != "_h"], F.when(n >= SHINGLE, s).otherwise(F.array().cast("array<bigint>")).alias("s"))
 
 
-def _band_keys(windows: list[tuple[int, int]]) -> Column:
-    """The band keys of all windows of the given (shingles, stride) over ``s``; a single shingle is its own signature.
+def _band_keys(stride: int) -> Column:
+    """The band keys of all windows over ``s``: for each band, the least masked hash of every window.
 
-    The hashes of the shingles are bound to a lambda's variable: as a column of their
-    own they could be written into the inner lambdas, and be made anew for each window.
+    The masked hashes are bound to a lambda's variable: as a column of their own they
+    could be written into the inner lambda, and be made anew for each window.
     """
+    at = F.when(F.size("s") >= WINDOW, F.sequence(F.lit(1), F.greatest(F.lit(1), F.size("s") - WINDOW + 1), F.lit(stride))).otherwise(F.array().cast("array<int>"))
+    masked = [_masked(m) for m in MASKS]
+    least = lambda hashes: F.transform(at, lambda i: F.array_min(F.slice(hashes, i, F.lit(WINDOW))))
+    return F.flatten(F.transform(F.array(*masked), least))
 
-    def of(m: Column) -> Column:
-        return F.concat(*[_window_keys(size, stride, m) for size, stride in windows])
 
-    hashes = lambda b: F.transform("s", lambda x: F.xxhash64(x, F.lit(b)))
-    return F.get(F.transform(F.array(F.array(*[hashes(b) for b in range(BANDS if max(windows)[0] > 1 else 1)])), of), F.lit(0))
-
-
-def _window_keys(size: int, stride: int, m: Column) -> Column:
-    if size == 1:
-        return F.transform("s", lambda x: F.xxhash64(F.lit(1), x))
-    at = F.when(F.size("s") >= size, F.sequence(F.lit(1), F.greatest(F.lit(1), F.size("s") - size + 1), F.lit(stride))).otherwise(F.array().cast("array<int>"))
-    bands = lambda i: F.array(*[F.xxhash64(F.lit(size), F.lit(b), F.array_min(F.slice(F.get(m, F.lit(b)), i, F.lit(size)))) for b in range(BANDS)])
-    return F.flatten(F.transform(at, bands))
+def _masked(mask: int) -> Column:
+    return F.transform("s", lambda x: x.bitwiseXOR(F.lit(mask)))
 
 
 def _templates(spark, notices) -> DataFrame:
@@ -105,18 +102,11 @@ def _quoted(text: str) -> str:
     return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
 
-def _blocks(templates: DataFrame) -> list[dict[int, list[tuple[int, int]]]]:
-    """Blocks of (template, band key) by window size, of at most ``KEYS_AT_ONCE`` keys; a template may lie in several."""
-    blocks, n = [], 0
-    for i, (size, _, least) in enumerate(SCALES):
-        mine = templates.where(F.size("s").between(least, SCALES[i - 1][2] - 1 if i else (1 << 31) - 1))
-        keys = mine.select("template", F.explode(_band_keys([(size, 1)])).alias("key")).distinct()
-        for r in keys.orderBy("template", "key").collect():
-            if not n % KEYS_AT_ONCE:
-                blocks.append({})
-            blocks[-1].setdefault(size, []).append((r["template"], r["key"]))
-            n += 1
-    return blocks
+def _blocks(templates: DataFrame) -> list[list[tuple[int, int]]]:
+    """Blocks of at most ``KEYS_AT_ONCE`` (template, band key); a template may lie in several."""
+    keys = F.when(F.size("s") >= LEAST_WINDOWED, _band_keys(1)).otherwise(F.col("s"))
+    rows = templates.select("template", F.explode(keys).alias("key")).distinct().orderBy("template", "key").collect()
+    return [[(r["template"], r["key"]) for r in rows[k : k + KEYS_AT_ONCE]] for k in range(0, len(rows), KEYS_AT_ONCE)]
 
 
 def license_matches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", notices=NOTICES, least: float = LEAST_CONTAINMENT) -> DataFrame:
@@ -136,11 +126,11 @@ def license_matches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     shingles = templates.select("template", "license", F.array_distinct("s").alias("t"))
     best = None
     for k, block in enumerate(_blocks(templates)):
-        known = ",".join(f"{key}L" for own in block.values() for key in sorted({key for _, key in own}))
-        met = every.select("rid", "doc_id", "s", _band_keys([x[:2] for x in SCALES if x[0] in block]).alias("keys"))
+        known = ",".join(f"{key}L" for key in sorted({key for _, key in block}))
+        met = every.select("rid", "doc_id", "s", F.concat("s", _band_keys(STRIDE)).alias("keys"))
         met = met.select("rid", "doc_id", "s", F.expr(f"array_distinct(filter(keys, x -> x in ({known})))").alias("keys"))
         near = tmp.save(met.where(F.size("keys") > 0), f"near{k}")
-        pairs = spark.createDataFrame([(t, key) for own in block.values() for t, key in own], "template int, key long")
+        pairs = spark.createDataFrame(block, "template int, key long")
         met = near.select("rid", F.explode("keys").alias("key")).join(F.broadcast(pairs), "key").select("rid", "template").distinct()
         met = tmp.save(met, f"met{k}")
         mine = shingles.join(F.broadcast(pairs.select("template").distinct()), "template", "left_semi")
