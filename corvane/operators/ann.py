@@ -16,7 +16,7 @@ from __future__ import annotations
 import heapq
 import math
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import vectors as V
@@ -289,19 +289,35 @@ class Graph:
 _GRAPHS = "shard int, ids array<{id}>, dimension int, vectors array<float>, levels array<int>, layer array<int>, src array<int>, dst array<int>"
 
 
-def _spread(spark: SparkSession, n: int) -> list[int]:
-    """``n`` keys whose hashes fall into ``n`` different partitions; beyond a thousand, chance is even enough."""
+def _partition(key: int, n: int) -> int:
+    """The partition of ``n`` that Spark's hash partitioning (Murmur3 of a long, seed 42) deals a key to."""
+    rotated = lambda x, r: (x << r | x >> (32 - r)) & 0xFFFFFFFF
+    h = 42
+    for part in (key & 0xFFFFFFFF, key >> 32 & 0xFFFFFFFF):
+        h ^= rotated(part * 0xCC9E2D51 & 0xFFFFFFFF, 15) * 0x1B873593 & 0xFFFFFFFF
+        h = (rotated(h, 13) * 5 + 0xE6546B64) & 0xFFFFFFFF
+    h ^= 8
+    h = (h ^ h >> 16) * 0x85EBCA6B & 0xFFFFFFFF
+    h = (h ^ h >> 13) * 0xC2B2AE35 & 0xFFFFFFFF
+    h ^= h >> 16
+    return (h - (1 << 32) if h >> 31 else h) % n
+
+
+def _spread(n: int) -> list[int]:
+    """``n`` keys that fall into ``n`` different partitions; beyond a thousand, chance is even enough."""
     if n > 1000:
         return list(range(n))
-    part = F.pmod(F.hash("id"), F.lit(n))
-    found = spark.range(0, 40 * n + 200, 1, 1).groupBy(part.alias("p")).agg(F.min("id").alias("id")).collect()
-    keys = {r["p"]: r["id"] for r in found}
-    return [keys.get(p, p) for p in range(n)]
+    keys: dict[int, int] = {}
+    key = 0
+    while len(keys) < n:
+        keys.setdefault(_partition(key, n), key)
+        key += 1
+    return [keys[p] for p in range(n)]
 
 
 def _dealt(rows: DataFrame, number, n: int) -> DataFrame:
     """``rows`` with ``_key``, in ``n`` partitions by it: one for each ``number`` from 0 to n - 1, whatever adaptive execution merges."""
-    keys = F.array(*[F.lit(int(x)) for x in _spread(rows.sparkSession, n)]).cast("array<bigint>")
+    keys = F.array(*[F.lit(int(x)) for x in _spread(n)]).cast("array<bigint>")
     return rows.withColumn("_key", F.get(keys, number)).repartition(n, "_key")
 
 

@@ -92,6 +92,15 @@ def test_ivf_recall_as_registered(spark, sf_dir):
     assert found.select("query_id", "node_id").distinct().count() == found.count()
 
 
+def test_keys_fall_into_different_partitions(spark):
+    for n in (1, 3, 16):
+        keys = ann._spread(n)
+        rows = spark.createDataFrame([(k,) for k in keys], "id long").select("id", F.pmod(F.hash("id"), F.lit(n)).alias("p")).collect()
+        assert sorted(r["p"] for r in rows) == list(range(n)) == sorted(ann._partition(r["id"], n) for r in rows)
+    one = spark.range(16).withColumn("x", F.col("id").cast("int"))
+    assert ann._dealt(one, F.col("x"), 16).groupBy(F.spark_partition_id()).count().count() == 16
+
+
 def test_graph_alone():
     g = ann.Graph(3, "euclidean", m=4, ef_construction=20)
     assert g.search([0, 0, 0]) == []
