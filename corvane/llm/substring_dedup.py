@@ -32,8 +32,9 @@ from pyspark.sql import functions as F
 from ..shipping import ship
 from .common import Interned, Scratch, mix, partitions, slices, word_hashes
 
-#: Words of a run that can be an anchor; distinct segments above which an anchor is crowded; words of a shard.
-ANCHOR_WORDS, CROWDED, SHARD_WORDS = 8, 64, 1 << 19
+#: Words of a run that can be an anchor; words of a shard; distinct segments above which an anchor is crowded: with
+#: some fifty words each, they are a tenth of a shard.
+ANCHOR_WORDS, SHARD_WORDS, CROWDED = 8, 1 << 19, 1024
 _BASE = 0x9E3779B97F4A7C15
 
 
