@@ -257,6 +257,48 @@ def keep_good(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", l
 
 
 def op9_quality_rules(spark, sf_dir: str) -> DataFrame:
-    """Counts and verdicts of every document; odd rows as in :func:`quality_rows`."""
+    """Counts and verdicts of every document, distances to six digits; odd rows as in :func:`quality_rows`."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    return quality_rows(docs, language_references(docs))
+    rows = quality_rows(docs, language_references(docs))
+    return rows.withColumns({c: F.round(c, 6) for c in ("char_distance", "word_distance")})
+
+
+def _oracle() -> str:
+    classes = ("[^a-z]", "[^A-Z]", "[^0-9]", r"[^\x20\x09-\x0D]", r"[^.,;:!?''\x22\-()]", "[^#*$%&|<>]")
+    counts = ", ".join(f"length(regexp_replace(t, '{c}', '', 'g'))" for c in classes)
+    ends = r"[.,;:!?''\x22\-()\[\]#*$%&|<>]+"
+    js = "sqrt(greatest(0, list_sum(list_transform(list_zip({p}, {q}), lambda x: (CASE WHEN x[1] > 0 THEN x[1] * log2(2 * x[1] / (x[1] + x[2])) ELSE 0 END + CASE WHEN x[2] > 0 THEN x[2] * log2(2 * x[2] / (x[1] + x[2])) ELSE 0 END) / 2))))"
+    return f"""
+WITH d AS (SELECT doc_id, lang, text IS NULL AS absent, coalesce(text, '') AS t, list_filter(regexp_split_to_array(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda x: x != '') AS ws FROM documents),
+counted AS (SELECT *, [{counts}] AS c, length(regexp_replace(t, '[\\x00-\\x7F]', '', 'g')) AS beyond, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\\x20\\x09-\\x0D]')) AS ls FROM d),
+x AS (SELECT *, list_transform(list_concat(c, [length(t) - list_sum(c)::BIGINT - beyond, beyond]), lambda n: n::DOUBLE) AS h FROM counted),
+words AS (SELECT doc_id, lang, absent, unnest(ws) AS w, generate_subscripts(ws, 1) AS i FROM x),
+triples AS (SELECT doc_id, i, w, lead(w) OVER o AS w2, lead(w, 2) OVER o AS w3 FROM words WINDOW o AS (PARTITION BY doc_id ORDER BY i)),
+grams AS (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, w, w2, w3) AS n FROM triples WHERE w3 IS NOT NULL),
+repeats AS (SELECT doc_id, count(DISTINCT k) AS n FROM (SELECT doc_id, unnest([i, i + 1, i + 2]) AS k FROM grams WHERE n > 1) GROUP BY doc_id),
+plain AS (SELECT doc_id, lang, absent, regexp_replace(translate(w, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '^{ends}|{ends}$', '', 'g') AS w FROM words),
+total AS (SELECT lang, count(*) AS n FROM plain WHERE lang IS NOT NULL GROUP BY lang HAVING count(*) >= {LEAST_REFERENCE_WORDS}),
+top AS (SELECT lang, w, count(*) / any_value(total.n) AS q FROM plain JOIN total USING (lang) WHERE w != '' GROUP BY lang, w QUALIFY row_number() OVER (PARTITION BY lang ORDER BY count(*) DESC, w) <= {COMMON_WORDS}),
+chars AS (SELECT lang, list(s / z ORDER BY k) AS q FROM (SELECT lang, k, sum(v) AS s, sum(sum(v)) OVER (PARTITION BY lang) AS z FROM (SELECT lang, unnest(h) AS v, generate_subscripts(h, 1) AS k FROM x JOIN total USING (lang) WHERE NOT absent) GROUP BY lang, k) GROUP BY lang),
+own AS (SELECT doc_id, w, count(*) AS n FROM plain GROUP BY ALL),
+hits AS (SELECT doc_id, top.lang AS ref, w, own.n FROM own JOIN top USING (w)),
+pairs AS (SELECT doc_id, total.lang AS ref, h, len(ws) AS n FROM x CROSS JOIN total WHERE len(ws) > 0),
+shares AS (SELECT pairs.doc_id, ref, list(coalesce(hits.n, 0) / pairs.n ORDER BY top.w) AS p, list(top.q ORDER BY top.w) AS q
+           FROM pairs JOIN top ON top.lang = ref LEFT JOIN hits USING (doc_id, ref, w) GROUP BY ALL),
+rest AS (SELECT doc_id, ref, list_append(p, greatest(0, 1 - list_sum(p))) AS p, list_append(q, greatest(0, 1 - list_sum(q))) AS q FROM shares),
+far AS (SELECT doc_id, ref, {js.format(p="list_transform(h, lambda v: v / list_sum(h))", q="chars.q")} AS char, {js.format(p="rest.p", q="rest.q")} AS word
+        FROM pairs JOIN rest USING (doc_id, ref) JOIN chars ON chars.lang = ref),
+near AS (SELECT * FROM far QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY char + word, ref) = 1),
+y AS (SELECT x.doc_id, x.lang, len(ws) AS n, coalesce(list_sum(list_transform(ws, lambda w: length(w))), 0)::BIGINT AS word_chars, length(regexp_replace(t, '[^#*$%&|<>]', '', 'g')) AS n_symbols,
+        len(ls) - len(list_distinct(ls)) AS dup, coalesce(repeats.n, 0) AS rep, coalesce(char, 1) AS char, coalesce(word, 1) AS word, ref
+      FROM x LEFT JOIN repeats USING (doc_id) LEFT JOIN near USING (doc_id)),
+z AS (SELECT *, n < {BASE_WORDS} OR 100 * rep > 50 * n AS failed FROM y)
+SELECT doc_id, n::BIGINT AS n_words, word_chars, n_symbols::BIGINT AS n_symbols, dup::BIGINT AS n_dup_lines, rep::BIGINT AS n_repeat_words, failed AS base_failed,
+  round(char, 6)::DOUBLE AS char_distance, round(word, 6)::DOUBLE AS word_distance, ref AS nearest_lang,
+  NOT failed AND (char <= {MOST_CHAR_DISTANCE} AND (n < {LEAST_WORDS} OR word <= {MOST_WORD_DISTANCE} + {WORD_NOISE} / sqrt(n))
+    OR (SELECT count(*) FROM total) = 0 OR lang IS NOT NULL AND lang NOT IN (SELECT lang FROM total)) AS kept
+FROM z
+"""
+
+
+ORACLE = _oracle()

@@ -21,4 +21,5 @@ ORACLES = {
     "op4_exact_dedup": exact_dedup.ORACLE,
     "op5_minhash_near_dedup": near_dedup.ORACLE,
     "op7_substring_dedup": substring_dedup.ORACLE,
+    "op9_quality_rules": quality.ORACLE,
 }
