@@ -13,7 +13,7 @@ from pyspark.sql.window import Window
 
 from ..scratch import Scratch, exists, scratch_root
 
-__all__ = ["Interned", "Scratch", "exists", "fields", "keep_rows", "merge_in_order", "mix", "partitions", "scratch_root", "slices", "tokenizer_path", "word_hashes"]
+__all__ = ["Interned", "Scratch", "exists", "keep_rows", "merge_in_order", "mix", "partitions", "scratch_root", "slices", "tokenizer_path", "word_hashes"]
 
 
 def partitions(spark: SparkSession) -> int:
@@ -74,11 +74,6 @@ def merge_in_order(symbols: list[int], pair) -> list[int]:
     return [x for x in symbols if x is not None]
 
 
-def fields(df: DataFrame, *names: str) -> DataFrame:
-    """Only the named columns: extra or clashing columns of the input never meet ours."""
-    return df.select(*[df[n] for n in names])
-
-
 def keep_rows(docs: DataFrame, id_col: str, content: Column, kept: DataFrame, once: DataFrame) -> DataFrame:
     """The rows of ``docs`` whose id and content hash are in ``kept``; of the equal ones in ``once``, one each.
 

@@ -20,7 +20,7 @@ listed.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -194,17 +194,31 @@ def components(edges: DataFrame, tmp: Scratch, name: str) -> DataFrame:
     return labels
 
 
-def _grouped(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle_words: int = 5, percent: int = 80, bands: int = BANDS, rows: int = ROWS) -> tuple[DataFrame, Scratch]:
-    """(doc_id, rid, n, root, component_id) of each row: equal roots if and only if in one component; no root without shingles."""
+def _row_key(id_col: str, text_col: str, salt: int) -> Column:
+    """A row's key follows from its content, so that it is the same in every reading of the input."""
+    return F.xxhash64(id_col, text_col, F.lit(salt))
+
+
+def _grouped(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle_words: int = 5, percent: int = 80, bands: int = BANDS, rows: int = ROWS) -> tuple[DataFrame, Scratch, int]:
+    """(doc_id, rid, n, root, component_id) of each row: equal roots if and only if in one component; no root without shingles.
+
+    Also the salt of the rows' keys: it is raised until no two different sets share one.
+    """
     spark = docs.sparkSession
     ship(spark)
     tmp = Scratch(spark, "near")
     kind = docs.schema[id_col].dataType.simpleString()
-    # A row's key follows from its content, so that it is the same in every reading of the input.
-    source = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(id_col, text_col).alias("rid"), F.col(text_col).alias("text"))
-    every = tmp.save(source.mapInArrow(_signatures(shingle_words, bands, rows), f"doc_id {kind}, rid long, n long, d1 long, d2 long, bands array<long>"), "signatures")
+    salt = 0
+    while True:
+        source = docs.select(F.col(id_col).alias("doc_id"), _row_key(id_col, text_col, salt).alias("rid"), F.col(text_col).alias("text"))
+        every = tmp.save(source.mapInArrow(_signatures(shingle_words, bands, rows), f"doc_id {kind}, rid long, n long, d1 long, d2 long, bands array<long>"), f"signatures{salt}")
+        some = every.where("n > 0")
+        digests = some.groupBy("rid").agg(*[f(d).alias(f"{d}{k}") for d in ("d1", "d2") for k, f in enumerate((F.min, F.max))])
+        if digests.where("d10 != d11 or d20 != d21").isEmpty():
+            break
+        tmp.drop(f"signatures{salt}")
+        salt += 1
 
-    some = every.where("n > 0")
     classes = tmp.save(some.groupBy("d1", "d2").agg(F.min("rid").alias("rep"), F.min("doc_id").alias("low")), "classes")
     reps = some.select("rid", "n", "bands").join(classes.select(F.col("rep").alias("rid")), "rid", "left_semi").dropDuplicates(["rid"])
     member = reps.select("rid", "n", F.explode("bands").alias("bucket"))
@@ -306,7 +320,7 @@ def _grouped(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sh
     classes = tmp.save(classes.join(lows, "root").select("d1", "d2", "root", "component_id"), "class_components")
     out = every.select("doc_id", "rid", "n", "d1", "d2").join(classes, ["d1", "d2"], "left")
     some = F.col("n") > 0
-    return out.select("doc_id", "rid", "n", F.when(some, F.col("root")).alias("root"), F.when(some, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id")), tmp
+    return out.select("doc_id", "rid", "n", F.when(some, F.col("root")).alias("root"), F.when(some, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id")), tmp, salt
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle_words: int = 5, percent: int = 80, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
@@ -319,7 +333,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     component (rows that also share the id are all kept or all not). An empty table
     gives an empty result; null ids never name a component unless nothing else is there.
     """
-    rows_, tmp = _grouped(docs, id_col, text_col, shingle_words, percent, bands, rows)
+    rows_, tmp, _ = _grouped(docs, id_col, text_col, shingle_words, percent, bands, rows)
     return tmp.result(rows_.select(F.col("doc_id").alias(id_col), F.col("n").alias("n_shingles"), "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept")))
 
 
@@ -330,13 +344,13 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     repeated rows with both, one stays. Rows without shingles, null and empty texts
     among them, all stay; an empty table gives an empty result.
     """
-    rows, tmp = _grouped(docs, id_col, text_col, **options)
+    rows, tmp, salt = _grouped(docs, id_col, text_col, **options)
     keys = rows.groupBy("doc_id", "rid", "root").agg(F.count(F.lit(1)).alias("times"))
     keys = tmp.save(keys.select("root", F.col("doc_id").alias("_kept_id"), F.col("rid").alias("_kept_content"), "times"), "keys")
     least = F.min(F.struct(F.col("_kept_id").isNull(), "_kept_id", "_kept_content", "times")).alias("x")
     one = keys.where("root is not null").groupBy("root").agg(least).select("x._kept_id", "x._kept_content", "x.times")
     kept = tmp.result(one.unionByName(keys.where("root is null").select("_kept_id", "_kept_content", F.lit(1).cast("long").alias("times"))))
-    return keep_rows(docs, id_col, F.xxhash64(id_col, text_col), kept.drop("times"), kept.where("times > 1").drop("times"))
+    return keep_rows(docs, id_col, _row_key(id_col, text_col, salt), kept.drop("times"), kept.where("times > 1").drop("times"))
 
 
 def op5_minhash_near_dedup(spark, sf_dir: str) -> DataFrame:

@@ -93,6 +93,16 @@ def test_large_family_of_near_copies(table, monkeypatch):
     assert {x["doc_id"]: x["component_id"] for x in rows} == want
 
 
+def test_colliding_row_keys_get_another_salt(table, monkeypatch):
+    plain = near_dedup._row_key
+    monkeypatch.setattr(near_dedup, "_row_key", lambda i, t, salt: plain(i, t, salt) if salt > 1 else plain(i, t, salt) % 8)
+    texts = families(3, 25)
+    want, _ = jaccard_groups(texts, 2, 80)
+    docs = table(list(enumerate(texts)))
+    assert {r["doc_id"]: r["component_id"] for r in near_dedup.near_duplicates(docs, shingle_words=2).collect()} == want
+    assert sorted(r["doc_id"] for r in near_dedup.drop_near_duplicates(docs, shingle_words=2).collect()) == sorted(set(want.values()))
+
+
 def test_near_odd_rows(table):
     rows = near_dedup.near_duplicates(table(ODD), shingle_words=2).collect()
     assert len(rows) == len(ODD)
