@@ -18,8 +18,11 @@ of scores is not what the model computes: pieces weigh 0, and the acceptor weigh
 a pair 0 if byte-pair merging of their concatenation leaves just that pair, and
 infinity otherwise. A segmentation is the one that merging produces if and only if
 all its neighbours are such pairs. So the path of least weight is the encoding, of
-any beginning of the text as well: one state per place has a finite weight. For
-both kinds, then, the search keeps one state per place and is linear in the arcs.
+any beginning of the text as well: one state per place has a finite weight.
+
+The search settles states by rising weight, of equal ones the farthest place first,
+and asks the acceptor only for arcs that are next to be settled. For both kinds of
+models a place is settled once, so the search is linear in the arcs.
 
 Texts are composed piecewise: no piece crosses the front of a run of marks or a
 line break, which is checked against the vocabulary.
@@ -30,11 +33,13 @@ from __future__ import annotations
 import codecs
 import re
 import zlib
+from functools import lru_cache
+from heapq import heappop, heappush
 
 from pyspark.sql import DataFrame
 
 from ..shipping import ship
-from .common import Interned, merge_in_order, slices, tokenizer_path
+from .common import Interned, slices, tokenizer_path
 
 _MARK = "▁"
 _LETTERS = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz" + "".join(chr(c) for c in range(0xC0, 0x100) if c not in (0xD7, 0xF7))
@@ -72,22 +77,7 @@ class Machine:
                         self.step[state][char] = to
                 state = to
             self.emits[state], self.weight[state] = piece, weight[piece]
-        self.rest, self.longest = SPELLED, max(map(len, pieces), default=1)
-
-    def arcs(self, text: str, place: int) -> list[tuple[int, int, float]]:
-        """(stop, piece, weight) of the paths from a place of the text back to the start; -1 is a character in bytes."""
-        out, step, emits = [], self.step, self.emits
-        state, stop = 0, place
-        for c in text[place : place + self.longest]:
-            state = step[state].get(c)
-            if state is None:
-                break
-            stop += 1
-            if emits[state] >= 0:
-                out.append((stop, emits[state], self.weight[state]))
-        if not out or out[0][0] > place + 1:
-            out.append((place + 1, -1, self.rest))
-        return out
+        self.rest = SPELLED
 
 
 class Transducer:
@@ -116,24 +106,34 @@ class Transducer:
         # BPE scores are minus the rank of a merge, unigram scores are logarithms with fractions.
         self.bpe = all(float(x).is_integer() for x in score.values())
         ranked = {s: r for r, s in enumerate(sorted(set(score.values()), reverse=True))}
-        self.rank = {i: ranked[x] for i, x in score.items()}
+        self.rank = {self.piece[i]: ranked[x] for i, x in score.items()}
         self.machine = Machine(pieces, {i: 0.0 if self.bpe else -x for i, x in score.items()}, {" ": _MARK})
         self.byte = byte
         self.out = {i: p.replace(_MARK, " ").encode() for p, i in pieces.items()} | {i: bytes([b]) for b, i in byte.items()} | dict.fromkeys(skipped, b"")
         self._pair: dict[int, float] = {}
-        self._known = Interned(self._encode_words, limit=400_000)
+        self._known = Interned(self._encode_words, limit=800_000)
         self._flat, self._used = None, 0
 
     # The acceptor of pairs: its arcs are made when they are first met.
 
-    def _merge(self, a: str, b: str):
-        i = self.id.get(a + b)
-        return None if i is None else (self.rank[i], a + b)
+    def merged(self, text: str) -> list[str]:
+        """Byte-pair merging of a few characters as defined: the best pair, of those the leftmost, again and again."""
+        parts, rank = list(text), self.rank.get
+        ranks = [rank(a + b, INFINITE) for a, b in zip(parts, parts[1:], strict=False)]
+        while ranks and (best := min(ranks)) != INFINITE:
+            k = ranks.index(best)
+            parts[k : k + 2] = [parts[k] + parts[k + 1]]
+            del ranks[k]
+            if k < len(ranks):
+                ranks[k] = rank(parts[k] + parts[k + 1], INFINITE)
+            if k:
+                ranks[k - 1] = rank(parts[k - 1] + parts[k], INFINITE)
+        return parts
 
     def pair_weight(self, a: int, b: int) -> float:
         """0 if merging leaves the two pieces side by side, else infinite."""
         x, y = self.piece[a], self.piece[b]
-        w = 0.0 if x + y not in self.id and merge_in_order(list(x + y), self._merge) == [x, y] else INFINITE
+        w = 0.0 if x + y not in self.id and self.merged(x + y) == [x, y] else INFINITE
         if len(self._pair) > 1_000_000:
             self._pair.clear()
         self._pair[a << 32 | b] = w
@@ -142,26 +142,38 @@ class Transducer:
     def shortest_path(self, text: str) -> list[int]:
         """Ids of the path of least weight through the composition of ``text``, the machine and the acceptor of pairs.
 
-        ``text`` has its mark in front already. ``weight[place]`` is that of the state
-        (place, ``last[place]``), ``before[place]`` the place that its last arc comes from.
+        ``text`` has its mark in front already. A settled place has its piece in
+        ``last`` and the place that this piece begins at in ``before``.
         """
         n = len(text)
-        weight, last, before = [0.0] + [INFINITE] * n, [-1] * (n + 1), [0] * (n + 1)
-        arcs, pair, bpe = self.machine.arcs, self._pair.get, self.bpe
-        for place in range(n):
-            here, own = weight[place], last[place]
-            if here == INFINITE:
-                continue
-            for stop, piece, w in arcs(text, place):
-                w += here
-                if w >= weight[stop]:
+        step, emits, weights, rest = self.machine.step, self.machine.emits, self.machine.weight, self.machine.rest
+        pair, bpe = self._pair.get, self.bpe
+        last, before = [-1] * (n + 1), [-1] * (n + 1)
+        place, own, here = 0, -1, 0.0
+        waiting: list[tuple[float, int, int, int]] = []  # weight, minus the place reached, piece, place left
+        while place < n:
+            # The arcs of the piece machine out of here: paths back to its start.
+            state, stop, alone = 0, place, False
+            while stop < n and (state := step[state].get(text[stop])) is not None:
+                stop += 1
+                if (piece := emits[state]) >= 0:
+                    alone = alone or stop == place + 1
+                    if before[stop] < 0:
+                        heappush(waiting, (here + weights[state], -stop, piece, place))
+            if not alone and before[place + 1] < 0:
+                heappush(waiting, (here + rest, -place - 1, -1, place))
+            while True:
+                here, stop, piece, left = heappop(waiting)
+                if before[-stop] >= 0:
                     continue
+                own = last[left]
                 if bpe and own >= 0 <= piece:
                     between = pair(own << 32 | piece)
-                    w += self.pair_weight(own, piece) if between is None else between
-                    if w >= weight[stop]:
+                    if (self.pair_weight(own, piece) if between is None else between) == INFINITE:
                         continue
-                weight[stop], last[stop], before[stop] = w, piece, place
+                break
+            place = -stop
+            last[place], before[place] = piece, left
         path, stop = [], n
         while stop:
             place = before[stop]
@@ -190,8 +202,8 @@ class Transducer:
         self._used = int(ends[-1])
         return out
 
-    def encode_batch(self, texts: list[bytes]) -> list:
-        """Arrays of the ids of texts in UTF-8."""
+    def encode_flat(self, texts: list[bytes]):
+        """The ids of texts in UTF-8 in one array, and where each text's begin, with the end of the last."""
         import numpy as np
 
         every, sizes = [], []
@@ -200,23 +212,30 @@ class Transducer:
             words = self.find(b" " + data.replace(b"\xe2\x96\x81", b" ")) if data else []
             every += words
             sizes.append(len(words))
-        if not every:
-            return [np.empty(0, np.int32)] * len(texts)
         numbers = self._known.index(every)
-        starts, lens = self._known.values[numbers].T
+        starts, lens = self._known.values[numbers].T if every else (numbers, numbers)
         ends = np.concatenate([[0], np.cumsum(lens)])
-        flat = self._flat[np.arange(ends[-1]) + np.repeat(starts - ends[:-1], lens)]
-        cuts = ends[np.concatenate([[0], np.cumsum(sizes, dtype=np.int64)])]
-        return [flat[a:b] for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+        flat = self._flat[np.arange(ends[-1]) + np.repeat(starts - ends[:-1], lens)] if every else np.empty(0, np.int32)
+        return flat, ends[np.concatenate([[0], np.cumsum(sizes, dtype=np.int64)])]
 
     def encode(self, data: bytes) -> list[int]:
         """Ids of a text in UTF-8."""
-        return self.encode_batch([data])[0].tolist()
+        return self.encode_flat([data])[0].tolist()
 
     def decode(self, ids: list[int]) -> str:
         """The text of ids: the output side of the pieces, marks to spaces, without the space in front."""
         return b"".join(map(self.out.__getitem__, ids)).decode(errors="corvane_each_byte").removeprefix(" ")
 
+    def decode_bytes(self, ids: list[int]) -> bytes:
+        """The same in UTF-8, for ids of a whole text, whose bytes are complete."""
+        return b"".join(map(self.out.__getitem__, ids)).removeprefix(b" ")
+
+
+@lru_cache(maxsize=1)
+def _compiled(name: str, folder: str | None) -> Transducer:
+    """A worker compiles a model once and keeps it, with the paths that it has found, for its next tasks."""
+    return Transducer(name, folder)
+
 
 def encode_rows(docs: DataFrame, model: str = "piece_bpe_32k.model", id_col: str = "doc_id", text_col: str = "text", folder: str | None = None, with_ids: bool = True) -> DataFrame:
     """One row per input row: ``id, n_pieces, ids_crc32, round_trip`` and, if asked for, ``ids`` and ``decoded``.
@@ -231,19 +250,23 @@ def encode_rows(docs: DataFrame, model: str = "piece_bpe_32k.model", id_col: str
     names = [id_col, "n_pieces", "ids_crc32", "round_trip"] + ["ids", "decoded"] * with_ids
 
     def work(batches):
+        import numpy as np
         import pyarrow as pa
 
-        machine = Transducer(model, folder)
-        kinds = [pa.int64(), pa.int64(), pa.bool_()] + [pa.list_(pa.int32()), pa.string()] * with_ids
+        machine = _compiled(model, folder)
         for batch in slices(batches, 256):
-            rows = []
-            texts = [t or "" for t in batch.column(1).to_pylist()]
-            for text, ids in zip(texts, machine.encode_batch([t.encode(errors="replace") for t in texts]), strict=True):
-                back = machine.decode(ids.tolist())
-                row = (len(ids), zlib.crc32(ids.astype("<u4").tobytes()), back == text.replace(_MARK, " "))
-                rows.append(row + (ids, back) if with_ids else row)
-            cols = list(zip(*rows, strict=True)) if rows else [()] * len(kinds)
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, k) for c, k in zip(cols, kinds, strict=True))], names)
+            texts = batch.column(1).cast(pa.binary()).to_pylist()
+            flat, cuts = machine.encode_flat([t or b"" for t in texts])
+            ids, at = flat.astype("<u4"), cuts.tolist()
+            back = [machine.decode_bytes(part) for part in (flat[a:b].tolist() for a, b in zip(at[:-1], at[1:], strict=True))]
+            cols = [
+                pa.array(cuts[1:] - cuts[:-1], pa.int64()),
+                pa.array([zlib.crc32(ids[a:b]) for a, b in zip(at[:-1], at[1:], strict=True)], pa.int64()),
+                pa.array([x == (t or b"").replace(b"\xe2\x96\x81", b" ") for x, t in zip(back, texts, strict=True)], pa.bool_()),
+            ]
+            if with_ids:
+                cols += [pa.ListArray.from_arrays(pa.array(cuts.astype(np.int32)), pa.array(flat)), pa.array(back, pa.binary()).cast(pa.string())]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *cols], names)
 
     schema = f"`{id_col}` {kind}, n_pieces long, ids_crc32 long, round_trip boolean" + ", ids array<int>, decoded string" * with_ids
     return docs.select(id_col, text_col).mapInArrow(work, schema)
@@ -257,7 +280,7 @@ def decode_rows(rows: DataFrame, model: str = "piece_bpe_32k.model", id_col: str
     def work(batches):
         import pyarrow as pa
 
-        machine = Transducer(model, folder)
+        machine = _compiled(model, folder)
         for batch in slices(batches, 256):
             texts = [None if ids is None else machine.decode(ids) for ids in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], [id_col, "text"])
