@@ -80,18 +80,23 @@ def keep_rows(docs: DataFrame, id_col: str, content: Column, kept: DataFrame, on
     ``kept`` and ``once``, a part of it, are stored tables of distinct (_kept_id,
     _kept_content); null ids equal each other. Whole rows come back as they were.
     """
-    rows = docs.withColumn("_content", content)
+    # Numbers stand for the columns of ``docs``, so that none of them can clash with ours.
+    own = [f"_{i}" for i in range(len(docs.columns))]
+    id_own = own[docs.columns.index(id_col)]
+    rows = docs.select(*[docs[c].alias(n) for c, n in zip(docs.columns, own, strict=True)], content.alias("_content"))
 
     def among(rows: DataFrame, keys: DataFrame) -> DataFrame:
-        same = (rows["_content"] == keys["_kept_content"]) & rows[id_col].eqNullSafe(keys["_kept_id"])
+        same = (rows["_content"] == keys["_kept_content"]) & rows[id_own].eqNullSafe(keys["_kept_id"])
         return rows.join(keys.hint("merge"), same, "left_semi")
 
     if once.isEmpty():
-        return among(rows, kept).drop("_content")
-    same = (kept["_kept_content"] == once["_kept_content"]) & kept["_kept_id"].eqNullSafe(once["_kept_id"])
-    # Each task keeps the first of equal rows before the shuffle, so that a hot row is not dealt to one task.
-    first = rows.withColumn("_n", F.row_number().over(Window.partitionBy("_content", id_col).orderBy("_content"))).where("_n = 1").drop("_n")
-    return among(rows, kept.join(once, same, "left_anti")).unionByName(among(first, once)).drop("_content")
+        found = among(rows, kept)
+    else:
+        same = (kept["_kept_content"] == once["_kept_content"]) & kept["_kept_id"].eqNullSafe(once["_kept_id"])
+        # Each task keeps the first of equal rows before the shuffle, so that a hot row is not dealt to one task.
+        first = rows.withColumn("_n", F.row_number().over(Window.partitionBy("_content", id_own).orderBy("_content"))).where("_n = 1").drop("_n")
+        found = among(rows, kept.join(once, same, "left_anti")).unionByName(among(first, once))
+    return found.select(*own).toDF(*docs.columns)
 
 
 class Interned(dict):
