@@ -10,11 +10,17 @@ from pathlib import Path
 from pyspark.sql import SparkSession
 
 _SHIPPED: set[str] = set()
+#: Bytes of a batch of rows on its way to or from a Python worker, unless the session sets another number. Ten
+#: thousand rows, Spark's own bound, could be any number of bytes where texts are long.
+BATCH_BYTES = 4 << 20
+_BATCH_SETTING = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
 def ship(spark: SparkSession) -> None:
-    """Sends the package to the executors, once for each application."""
+    """Sends the package to the executors, once for each application, and bounds the session's batches to Python."""
     sc = spark.sparkContext
+    if spark.conf.get(_BATCH_SETTING, None) is None:
+        spark.conf.set(_BATCH_SETTING, str(BATCH_BYTES))
     if sc.applicationId in _SHIPPED:
         return
     top = Path(__file__).resolve().parent
