@@ -32,7 +32,11 @@ SLICE_BYTES = 4 << 20
 
 
 def slices(batches: Iterator, rows: int = 512) -> Iterator:
-    """Arrow record batches cut to at most ``rows`` rows and ``SLICE_BYTES`` bytes, so that Python holds few texts."""
+    """Arrow record batches cut to at most ``rows`` rows and ``SLICE_BYTES`` bytes, so that Python holds few texts.
+
+    A worker that begins a task gives back to the system what its last one has freed.
+    """
+    _trim()
     for batch in batches:
         todo = [batch.slice(at, rows) for at in range(0, batch.num_rows, rows)][::-1]
         while todo:
@@ -44,6 +48,15 @@ def slices(batches: Iterator, rows: int = 512) -> Iterator:
                 yield part
 
 
+def _trim() -> None:
+    import ctypes
+
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
 def merge_in_order(symbols: list[int], pair) -> list[int]:
     """Byte-pair merging as defined: the pair of lowest rank, of those the leftmost, again and again.
 
