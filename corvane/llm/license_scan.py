@@ -64,38 +64,38 @@ NOTICES = (
 )
 
 
-def _word_hashes(text: Column) -> Column:
-    plain = F.trim(F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}]+", " "))
-    return F.transform(F.split(plain, " "), lambda w: F.xxhash64(w))
+def _bound(value: Column, use) -> Column:
+    """``use`` of a value that is made once: as a column, it could be written into each place that reads it."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
 
+def _shingled(text: Column) -> Column:
+    """The hashes of all shingles of a text in order."""
+    plain = F.trim(F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}]+", " "))
+    words = F.transform(F.split(plain, " "), lambda w: F.xxhash64(w))
+    each = lambda h: F.transform(F.sequence(F.lit(0), F.size(h) - SHINGLE), lambda i: F.xxhash64(*[F.get(h, i + j) for j in range(SHINGLE)]))
+    return _bound(words, lambda h: F.when(F.size(h) >= SHINGLE, each(h)).otherwise(F.array().cast("array<bigint>")))
 
-def _shingles(df: DataFrame, text_col: str, *keep: Column) -> DataFrame:
-    """The kept columns and ``s``, the hashes of all shingles in order."""
-    hashed = df.select(*keep, _word_hashes(F.col(text_col)).alias("_h"))
-    n = F.size("_h")
-    s = F.transform(F.sequence(F.lit(0), n - SHINGLE), lambda i: F.xxhash64(*[F.get("_h", i + j) for j in range(SHINGLE)]))
-    return hashed.select(*[c for c in hashed.columns if c != "_h"], F.when(n >= SHINGLE, s).otherwise(F.array().cast("array<bigint>")).alias("s"))
 
+def _band_keys(s: Column, stride: int) -> Column:
+    """The band keys of all windows over shingles: for each band, the least masked hash of every window."""
+    at = F.when(F.size(s) >= WINDOW, F.sequence(F.lit(1), F.greatest(F.lit(1), F.size(s) - WINDOW + 1), F.lit(stride))).otherwise(F.array().cast("array<int>"))
+    least = lambda i, hashes: F.array_min(F.slice(hashes, i, F.lit(WINDOW)))
+    return _bound(at, lambda at: F.concat(*[_bound(_masked(s, m), lambda hashes: F.transform(at, lambda i: least(i, hashes))) for m in MASKS]))
 
-def _band_keys(stride: int) -> Column:
-    """The band keys of all windows over ``s``: for each band, the least masked hash of every window.
 
-    The masked hashes are bound to a lambda's variable: as a column of their own they
-    could be written into the inner lambda, and be made anew for each window.
-    """
-    at = F.when(F.size("s") >= WINDOW, F.sequence(F.lit(1), F.greatest(F.lit(1), F.size("s") - WINDOW + 1), F.lit(stride))).otherwise(F.array().cast("array<int>"))
-    masked = [_masked(m) for m in MASKS]
-    least = lambda hashes: F.transform(at, lambda i: F.array_min(F.slice(hashes, i, F.lit(WINDOW))))
-    return F.flatten(F.transform(F.array(*masked), least))
+def _known_keys(s: Column, known: list[int]) -> Column:
+    """The keys of a text, its shingles and its bands, that are among the templates' keys."""
+    return F.filter(F.concat(s, _band_keys(s, STRIDE)), lambda key: key.isin(known))
 
 
-def _masked(mask: int) -> Column:
-    return F.transform("s", lambda x: x.bitwiseXOR(F.lit(mask)))
+def _masked(s: Column, mask: int) -> Column:
+    return F.transform(s, lambda x: x.bitwiseXOR(F.lit(mask)))
 
 
 def _templates(spark, notices) -> DataFrame:
     rows = spark.sql("select explode(array(" + ",".join(f"struct({i} as template, {_quoted(n)} as license, {_quoted(t)} as text)" for i, (n, t) in enumerate(notices)) + ")) as r").select("r.*")
-    return _shingles(rows, "text", F.col("template"), F.col("license")).where(F.size("s") > 0)
+    return rows.select("template", "license", _shingled(F.col("text")).alias("s")).where(F.size("s") > 0)
 
 
 def _quoted(text: str) -> str:
@@ -104,7 +104,7 @@ def _quoted(text: str) -> str:
 
 def _blocks(templates: DataFrame) -> list[list[tuple[int, int]]]:
     """Blocks of at most ``KEYS_AT_ONCE`` (template, band key); a template may lie in several."""
-    keys = F.when(F.size("s") >= LEAST_WINDOWED, _band_keys(1)).otherwise(F.col("s"))
+    keys = F.when(F.size("s") >= LEAST_WINDOWED, _band_keys(F.col("s"), 1)).otherwise(F.col("s"))
     rows = templates.select("template", F.explode(keys).alias("key")).distinct().orderBy("template", "key").collect()
     return [[(r["template"], r["key"]) for r in rows[k : k + KEYS_AT_ONCE]] for k in range(0, len(rows), KEYS_AT_ONCE)]
 
@@ -122,14 +122,14 @@ def license_matches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     spark = docs.sparkSession
     tmp = Scratch(spark, "licenses")
     templates = _templates(spark, notices)
-    every = _shingles(docs, text_col, F.monotonically_increasing_id().alias("rid"), F.col(id_col).alias("doc_id"))
+    every = docs.select(F.monotonically_increasing_id().alias("rid"), F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     shingles = templates.select("template", "license", F.array_distinct("s").alias("t"))
     best = None
     for k, block in enumerate(_blocks(templates)):
-        known = ",".join(f"{key}L" for key in sorted({key for _, key in block}))
-        met = every.select("rid", "doc_id", "s", F.concat("s", _band_keys(STRIDE)).alias("keys"))
-        met = met.select("rid", "doc_id", "s", F.expr(f"array_distinct(filter(keys, x -> x in ({known})))").alias("keys"))
-        near = tmp.save(met.where(F.size("keys") > 0), f"near{k}")
+        known = sorted({key for _, key in block})
+        found = _bound(_shingled(F.col("text")), lambda s: F.struct(s.alias("s"), _known_keys(s, known).alias("keys")))
+        near = every.select("rid", "doc_id", found.alias("f")).where(F.size("f.keys") > 0)
+        near = tmp.save(near.select("rid", "doc_id", "f.s", F.array_distinct("f.keys").alias("keys")), f"near{k}")
         pairs = spark.createDataFrame(block, "template int, key long")
         met = near.select("rid", F.explode("keys").alias("key")).join(F.broadcast(pairs), "key").select("rid", "template").distinct()
         met = tmp.save(met, f"met{k}")
