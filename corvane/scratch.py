@@ -57,7 +57,7 @@ class Scratch:
     still reads stays until the driver ends, whose file system then deletes it.
     """
 
-    RELEASE_SECONDS = 5.0
+    RELEASE_SECONDS = 2.0
     _released = 0.0
 
     def __init__(self, spark: SparkSession, label: str):
