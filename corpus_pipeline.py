@@ -37,8 +37,8 @@ def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of sequences, with their token ids."""
-    return packing.pack(docs, with_ids=True)
+    """Pieces of sequences, with their token ids; workers keep no words, as other stages need the room."""
+    return packing.pack(docs, with_ids=True, keep_words=False)
 
 
 STAGES = [

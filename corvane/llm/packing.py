@@ -18,6 +18,7 @@ import os
 import re
 import zlib
 from bisect import bisect_right, insort
+from functools import lru_cache
 
 from pyspark.sql import DataFrame
 
@@ -28,6 +29,8 @@ MAX_LEN, TIERS = 2048, (256, 512, 1024, 2048)
 #: Ids that a task holds before it packs them; sequences of a tier that make up one step.
 BUFFER_IDS, GROUP_IDS = 1 << 20, 32 * 2048
 END_ID = 1
+#: Distinct words that a worker keeps between tasks.
+KEPT_WORDS = 800_000
 
 
 #: ASCII and Latin-1 letters, with or without one stop behind them: the tokenizer splits there in any case.
@@ -127,6 +130,14 @@ class WordTokenizer:
         return [np.concatenate([flat[a:b], end]) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
 
 
+@lru_cache(maxsize=1)
+def _kept(name: str, folder: str | None) -> WordTokenizer:
+    """A worker's tokenizer with the words that it has encoded, kept for its next tasks."""
+    kept = WordTokenizer(name, folder)
+    kept.words.limit = KEPT_WORDS
+    return kept
+
+
 class Packer:
     """Packs (key, start, length) items of one partition; ``out`` gets (key, start, length, sequence, offset, tier, group)."""
 
@@ -225,13 +236,14 @@ class Packer:
         return out
 
 
-def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokenizer: str = "word_bpe_49k.json", folder: str | None = None, tiers: tuple[int, ...] = TIERS, end_id: int = END_ID, with_ids: bool = False) -> DataFrame:
+def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokenizer: str = "word_bpe_49k.json", folder: str | None = None, tiers: tuple[int, ...] = TIERS, end_id: int = END_ID, with_ids: bool = False, keep_words: bool = True) -> DataFrame:
     """One row per piece: ``id, start, length, ids_crc32, doc_tokens, sequence_id, offset, tier, step_group`` and, if asked for, ``ids``.
 
     A null or empty text is the end mark alone. Repeated rows are packed each. Each
-    id lies in exactly one piece; an empty table gives an empty result. A step
-    group's sequences are of one tier and hold the same number of ids, but for the
-    last group of a tier in a partition.
+    id lies in exactly one piece; an empty table gives an empty result; other columns
+    are not read. A step group's sequences are of one tier and hold the same number of
+    ids, but for the last group of a tier in a partition. With ``keep_words`` workers
+    hold their encoded words between tasks, which takes memory from other operators.
     """
     ship(docs.sparkSession)
     kind = docs.schema[id_col].dataType.simpleString()
@@ -241,7 +253,7 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokeni
         import pyarrow as pa
         from pyspark import TaskContext
 
-        encode, packer = WordTokenizer(tokenizer, folder), Packer(TaskContext.get().partitionId(), tiers)
+        encode, packer = (_kept if keep_words else WordTokenizer)(tokenizer, folder), Packer(TaskContext.get().partitionId(), tiers)
         held: dict[int, tuple] = {}  # key -> id, ids
         id_type, n = None, 0
 
