@@ -25,6 +25,8 @@ from ..shipping import ship
 from .knn import by_query_block, knn_join, top_k
 
 SHARD_VECTORS = 20_000
+#: Nodes that a search holds for each one that ``ef_search`` asks for: queries far from all vectors need them.
+BEAM = 3
 #: Nodes whose distances to all before them are computed at once.
 BLOCK_NODES = 256
 #: Bytes of the cell centres of inverted lists, and queries from which the number of probes is learned.
@@ -244,7 +246,7 @@ class Graph:
         at = [(float(self._distances(q, [self.entry])[0]), self.entry)]
         for layer in range(len(self.links) - 1, 0, -1):
             at = self._beam(q, at, layer, 1)
-        width = max(ef_search or self.ef_search, k)
+        width = BEAM * max(ef_search or self.ef_search, k)
         wanted = min(k, len(self) if live is None else len(live))
         while True:
             found = self._beam(q, at, 0, width)

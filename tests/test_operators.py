@@ -101,6 +101,21 @@ def test_keys_fall_into_different_partitions(spark):
     assert ann._dealt(one, F.col("x"), 16).groupBy(F.spark_partition_id()).count().count() == 16
 
 
+def test_recall_of_hard_queries():
+    """Noise of 0.1 a coordinate, in 384 dimensions: queries are far from the vectors that they come from."""
+    r = np.random.default_rng(0)
+    v = r.normal(size=(1000, 384))
+    v /= np.linalg.norm(v, axis=1, keepdims=True)
+    q = v[r.integers(0, 1000, 100)] + 0.1 * r.normal(size=(100, 384))
+    truth = np.argsort(-(q / np.linalg.norm(q, axis=1, keepdims=True)) @ v.T, axis=1)[:, :5]
+    g = ann.Graph.bulk(v)
+    again = ann.Graph.restore(v, g.levels, *g.edges())
+    for ef, least in ((10, 0.88), (50, 0.96), (100, 0.98)):
+        found = [[n for _, n in again.search(x, 5, ef)] for x in q]
+        assert np.mean([len(set(a) & set(b)) / 5 for a, b in zip(found, truth, strict=True)]) >= least, ef
+    assert found[0] == [n for _, n in g.search(q[0], 5, 100)]
+
+
 def test_graph_alone():
     g = ann.Graph(3, "euclidean", m=4, ef_construction=20)
     assert g.search([0, 0, 0]) == []
