@@ -22,15 +22,17 @@ from pyspark.sql import functions as F
 from ..functions import vectors as V
 from ..scratch import Scratch
 from ..shipping import ship
-from .knn import by_query_block, knn_join, top_k
+from .knn import CELLS, Best, by_query_block, knn_join, top_k
 
 SHARD_VECTORS = 20_000
 #: Nodes that a search holds for each one that ``ef_search`` asks for: queries far from all vectors need them.
 BEAM = 3
 #: Nodes whose distances to all before them are computed at once.
 BLOCK_NODES = 256
-#: Bytes of the cell centres of inverted lists, and queries from which the number of probes is learned.
+#: Bytes of the cell centres of inverted lists, and queries from which the number of probes is learned, at least.
 CENTRE_BYTES, TUNING_QUERIES = 64 << 20, 256
+#: Rows of a part of the inverted lists, and numbers in the table of a block's queries and cells.
+LIST_ROWS, QUERY_CELLS = 1 << 16, 1 << 24
 
 
 class _Lists:
@@ -445,12 +447,15 @@ class HNSWIndex:
         return hnsw_statistics(self.graphs)
 
 
-def centroids(vectors: DataFrame, cells: int, rounds: int = 5, seed: int = 42, sample: int = 20_000, vector: str = "embedding", metric: str = "cosine"):
-    """K-means cell centres of a sample of at most about ``sample`` vectors (of unit length for cosine); None without vectors."""
+def centroids(vectors: DataFrame, cells: int, rounds: int = 5, seed: int = 42, sample: int = 20_000, vector: str = "embedding", metric: str = "cosine", key: str | None = None):
+    """K-means cell centres of a sample of at most about ``sample`` vectors (of unit length for cosine); None without vectors.
+
+    The sample is drawn by a hash of the column ``key``, which tells copies apart, or of the vector.
+    """
     import numpy as np
 
     n = vectors.count()
-    part = vectors if n <= sample else vectors.where(F.pmod(F.xxhash64(vector), F.lit(n // sample + 1)) == 0)
+    part = vectors if n <= sample else vectors.where(F.pmod(F.xxhash64(key or vector), F.lit(n // sample + 1)) == 0)
     x = np.array([r[0] for r in part.select(vector).where(F.col(vector).isNotNull()).collect()], float)
     if not len(x):
         return None
@@ -474,7 +479,7 @@ def _cell_order(x, centers, metric: str, most: int):
     far = -(x @ centers.T)
     if metric == "euclidean":
         far = 2 * far + (centers**2).sum(1)[None, :]
-    return np.argsort(far, axis=1, kind="stable")[:, :most]
+    return np.argmin(far, axis=1)[:, None] if most == 1 else np.argsort(far, axis=1, kind="stable")[:, :most]
 
 
 def _with_cells(rows: DataFrame, centers, metric: str, most: int, vector: str, out: str = "cells") -> DataFrame:
@@ -490,9 +495,10 @@ def _with_cells(rows: DataFrame, centers, metric: str, most: int, vector: str, o
         import numpy as np
         import pyarrow as pa
 
+        step = max(1, min(1024, CELLS // len(shared.value)))
         for batch in batches:
-            for i in range(0, batch.num_rows, 1024):
-                part = batch.slice(i, 1024)
+            for i in range(0, batch.num_rows, step):
+                part = batch.slice(i, step)
                 x, known = part.column(at), np.flatnonzero(part.column(at).is_valid().to_numpy(zero_copy_only=False))
                 flat = x.drop_null().flatten().to_numpy(zero_copy_only=False).astype(float).reshape(len(known), -1) if len(known) else None
                 own = [[] for _ in range(part.num_rows)]
@@ -505,38 +511,108 @@ def _with_cells(rows: DataFrame, centers, metric: str, most: int, vector: str, o
     return rows.mapInArrow(work, f"{fields}, `{out}` array<int>")
 
 
+def _probes(asked, cells, truth, centers, metric: str, recall: float, population: int) -> int:
+    """The least number of probes with which ``asked``, a sample of ``population`` queries, finds ``recall`` of the truth.
+
+    ``truth`` are numbers of queries, ``cells`` where the true neighbours of those are.
+    """
+    import numpy as np
+
+    place = np.empty(len(truth), np.int64)
+    for i in range(0, len(asked), step := max(1, CELLS // len(centers))):
+        order = _cell_order(asked[i : i + step], centers, metric, len(centers))
+        own = np.flatnonzero((truth >= i) & (truth < i + step))
+        place[own] = np.argsort(order, axis=1)[truth[own] - i, cells[own]]
+    total = np.bincount(truth, minlength=len(asked))
+    known = total > 0
+    n, size, found = int(known.sum()), len(centers), np.zeros(len(asked))
+    order = np.argsort(place, kind="stable")
+    ends = np.searchsorted(place[order], np.arange(size), "right")
+    for p in range(size):
+        found += np.bincount(truth[order[ends[p - 1] if p else 0 : ends[p]]], minlength=len(asked))
+        share = found[known] / total[known]
+        if not n or share.mean() >= recall:
+            return p + 1
+    return size
+
+
+def _askers(asked, centers, sizes, metric: str, probes: int, k: int):
+    """For each cell the numbers of the queries that look into it, as (start, queries): their ``probes`` best cells, and more until ``k`` vectors are there."""
+    import numpy as np
+
+    order = _cell_order(asked, centers, metric, len(centers))
+    met = np.cumsum(sizes[order], axis=1)
+    need = (met < min(k, int(sizes.sum()))).sum(1) + 1
+    row, at = np.nonzero(np.arange(len(centers))[None, :] < np.maximum(need, probes)[:, None])
+    cell = order[row, at]
+    return np.searchsorted(np.sort(cell), np.arange(len(centers) + 1)), row[np.argsort(cell, kind="stable")].astype(np.int32)
+
+
 def ivf_search(vectors: DataFrame, queries: DataFrame, k: int = 5, cells: int | None = None, probes: int | None = None, metric: str = "cosine", node_id: str = "node_id", vector: str = "embedding", query_id: str = "query_id", query_vector: str = "embedding", recall: float = 0.95) -> DataFrame:
-    """Inverted lists: each vector is in its nearest cell, and a query looks into its ``probes`` best cells.
+    """Inverted lists: each vector is in its nearest cell, and a query looks into its ``probes`` best cells, and more until it has met ``k`` vectors.
 
     ``cells`` is the square root of the number of vectors unless given. ``probes``,
-    unless given, is the least number with which about ``TUNING_QUERIES`` of the
-    queries find ``recall`` of their true neighbours, which are computed for them.
-    An empty side gives an empty result.
+    unless given, is the least number with which a sample of ``TUNING_QUERIES`` to
+    twice as many queries finds ``recall`` of its true neighbours. The lists are stored by
+    cell; a task multiplies a cell's vectors with the queries that look into it and
+    keeps ``k`` rows of each query. Null vectors are in no cell. An empty side gives an
+    empty result.
     """
+    import numpy as np
+
     V.check_metric(metric)
-    rows = vectors.select(F.col(node_id).alias("node_id"), F.col(vector).alias("v"))
-    asks = queries.select(F.col(query_id).alias("query_id"), F.col(query_vector).alias("qv"))
+    if k <= 0 or probes is not None and probes <= 0:
+        raise ValueError("k and probes must be positive")
+    spark = vectors.sparkSession
+    rows = vectors.select(F.col(node_id).alias("node_id"), F.col(vector).alias("v")).where(F.col("v").isNotNull())
+    asks = queries.select(F.col(query_id).alias("query_id"), F.col(query_vector).alias("qv")).where(F.col("qv").isNotNull())
+    ids = asks.schema["query_id"].dataType.simpleString(), rows.schema["node_id"].dataType.simpleString()
     n = rows.count()
-    centers = centroids(rows, min(cells or max(1, math.isqrt(n)), 1 << 16), vector="v", metric=metric) if n else None
+    centers = centroids(rows, min(cells or max(1, math.isqrt(n)), 1 << 16), vector="v", metric=metric, key="node_id") if n else None
     if centers is None:
-        ids = asks.schema["query_id"].dataType.simpleString(), rows.schema["node_id"].dataType.simpleString()
-        return rows.sparkSession.createDataFrame([], f"query_id {ids[0]}, rank int, node_id {ids[1]}, score double, distance double")
-    placed = _with_cells(rows, centers, metric if metric == "cosine" else "euclidean", 1, "v", "own")
+        return spark.createDataFrame([], f"query_id {ids[0]}, rank int, node_id {ids[1]}, score double, distance double")
+    placed = _with_cells(rows, centers, metric if metric == "cosine" else "euclidean", 1, "v", "own").select("node_id", "v", F.get("own", F.lit(0)).alias("cell"))
+    # Copies lie side by side, where all but k of them are put aside, and a crowded cell is in several parts.
+    by = ["cell", F.xxhash64("v"), "node_id"]
+    parts = max(2 * spark.sparkContext.defaultParallelism, -(-n // LIST_ROWS))
+    lists = Scratch(spark, "ivf").save(placed.repartitionByRange(parts, *by).sortWithinPartitions(*by), "lists")
+    sizes = np.zeros(len(centers), np.int64)
+    for r in lists.groupBy("cell").count().collect():
+        sizes[r["cell"]] = r["count"]
     if probes is None:
-        every = max(1, asks.count() // TUNING_QUERIES)
-        some = asks.where(F.pmod(F.xxhash64("query_id"), F.lit(every)) == 0)
-        truth = knn_join(some, rows, k, metric, query_vector="qv", vector="v").select("query_id", "node_id")
-        where = truth.join(placed.select("node_id", F.get("own", F.lit(0)).alias("cell")), "node_id")
-        order = _with_cells(some, centers, metric, len(centers), "qv").select("query_id", "cells")
-        places = where.join(order, "query_id").groupBy(F.array_position("cells", F.col("cell")).alias("p")).count().orderBy("p").collect()
-        probes, met, total = 1, 0, sum(r["count"] for r in places)
-        for r in places:
-            if met >= recall * total:
-                break
-            probes, met = int(r["p"]), met + r["count"]
-    asks = _with_cells(asks, centers, metric, probes, "qv").select("query_id", "qv", F.explode("cells").alias("cell"))
-    # Both sides are shuffled by cell, and a crowded cell is split.
-    scored = asks.join(placed.select("node_id", "v", F.get("own", F.lit(0)).alias("cell")).hint("merge"), "cell").select("query_id", "node_id", V.score("qv", "v", metric).alias("score"))
+        population = asks.count()
+        some = asks.where(F.pmod(F.xxhash64("query_id"), F.lit(max(1, population // TUNING_QUERIES))) == 0)
+        truth = knn_join(some, lists, k, metric, query_vector="qv", vector="v").select("query_id", "node_id")
+        where = lists.select("node_id", "cell").join(F.broadcast(truth), "node_id").select("query_id", "cell").collect()
+        asked = {r["query_id"]: r["qv"] for r in some.collect()}
+        number = {q: i for i, q in enumerate(asked)}
+        own = [np.array(x, np.int64) for x in ([r["cell"] for r in where], [number[r["query_id"]] for r in where])]
+        probes = _probes(np.array(list(asked.values()), float), *own, centers, metric, recall, population) if asked else len(centers)
+    schema = f"query_id {ids[0]}, node_id {ids[1]}, score double"
+
+    def search(shared) -> DataFrame:
+        def work(batches):
+            import numpy as np
+            import pyarrow as pa
+
+            names, asked, start, askers = shared.value
+            best, kind = Best(asked, k, metric), None
+            for batch in batches:
+                if not batch.num_rows:
+                    continue
+                kind, cell = batch.column(0).type, batch.column(2).to_numpy(zero_copy_only=False)
+                block = batch.column(1).flatten().to_numpy(zero_copy_only=False).astype(float).reshape(batch.num_rows, -1)
+                nodes, order = np.array(batch.column(0).to_pylist()), np.argsort(cell, kind="stable")
+                for own in np.split(order, np.flatnonzero(np.diff(cell[order])) + 1):
+                    c = cell[own[0]]
+                    best.add(nodes[own], block[own], askers[start[c] : start[c + 1]])
+            for at in range(0, len(best.row), 10_000):
+                found = best.row[at : at + 10_000].tolist()
+                yield pa.RecordBatch.from_arrays([pa.array([names[i] for i in found]), pa.array(best.node[at : at + 10_000].tolist(), kind), pa.array(best.score[at : at + 10_000])], ["query_id", "node_id", "score"])
+
+        return lists.select("node_id", "v", "cell").mapInArrow(work, schema)
+
+    scored = by_query_block(asks, search, schema, lambda x: top_k(x, k).drop("rank"), lambda names, asked: (names, asked, *_askers(asked, centers, sizes, metric, probes, k)), max(1, QUERY_CELLS // len(centers)))
     return top_k(scored, k).select("query_id", "rank", "node_id", "score", V.score_to_distance("score", metric).alias("distance"))
 
 

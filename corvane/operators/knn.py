@@ -9,6 +9,8 @@ wherever they stand, and ties go to the smaller id.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -18,7 +20,7 @@ from ..scratch import Scratch
 from ..shipping import ship
 
 #: Bytes and rows of a block of queries, and numbers in a matrix of scores.
-QUERY_BYTES, QUERY_ROWS, CELLS = 8 << 20, 8192, 1 << 22
+QUERY_BYTES, QUERY_ROWS, CELLS = 8 << 20, 8192, 1 << 18
 
 
 def top_k(scored: DataFrame, k: int, by: str = "query_id", score: str = "score", tie: str = "node_id") -> DataFrame:
@@ -53,23 +55,13 @@ def knn_join(queries: DataFrame, vectors: DataFrame, k: int = 5, metric: str = "
     return best.select("query_id", "rank", "node_id", "score", V.score_to_distance("score", metric).alias("distance"))
 
 
-def scores(queries, block, metric: str, assume_normalized: bool):
-    """A matrix that ranks vectors (columns) for queries (rows) like their scores, and a bound of its rounding errors."""
-    import numpy as np
-
-    a, b = np.sqrt((queries**2).sum(1)), np.sqrt((block**2).sum(1))
+def scores(queries, block, metric: str):
+    """A matrix that ranks vectors (columns) for queries (rows) like their scores."""
     dots = queries @ block.T
-    if metric == "dot" or metric == "cosine" and assume_normalized:
-        return dots, 1e-12 * a * b.max()
-    if metric == "cosine":
-        if (a == 0).any() or (b == 0).any():
-            raise ValueError("cosine of a zero vector")
-        dots /= a[:, None]
-        dots /= b[None, :]
-        return dots, np.full(len(a), 1e-12)
-    dots *= 2
-    dots -= (b**2)[None, :]
-    return dots, 1e-12 * (a**2 + b.max() ** 2)
+    if metric == "euclidean":
+        dots *= 2
+        dots -= (block**2).sum(1)[None, :]
+    return dots
 
 
 def pair_scores(q, v, metric: str, assume_normalized: bool):
@@ -84,43 +76,132 @@ def pair_scores(q, v, metric: str, assume_normalized: bool):
     return dots / (np.sqrt((q * q).sum(1)) * np.sqrt((v * v).sum(1)))
 
 
+def first_copies(nodes, block, k: int):
+    """The rows without those of which ``k`` copies with smaller ids are there: no search for ``k`` finds them."""
+    import numpy as np
+
+    bits = np.ascontiguousarray(block).view(np.uint64)
+    odd = np.random.default_rng(0).integers(0, 1 << 63, bits.shape[1], np.uint64) * np.uint64(2) + np.uint64(1)
+    key = (bits * odd[None, :]).sum(1, dtype=np.uint64)
+    if len(np.unique(key)) == len(key):
+        return nodes, block
+    order = np.lexsort((nodes, key))
+    new = np.ones(len(order), bool)
+    new[1:] = (key[order[1:]] != key[order[:-1]]) | (block[order[1:]] != block[order[:-1]]).any(1)
+    at = np.arange(len(order))
+    kept = np.sort(order[at - np.maximum.accumulate(np.where(new, at, 0)) < k])
+    return nodes[kept], block[kept]
+
+
 class Best:
-    """The ``k`` best (score, id) of each query over slices of vectors; ties by id."""
+    """The ``k`` best (score, id) of each query over slices of vectors; ties by id.
+
+    A vector is a candidate if it may reach the ``k``-th best score that its query has
+    so far; candidates are held back and merged in bulk. Products for cosine and dot are
+    those of rows no longer than 1 in single precision, with a bound of their error.
+    """
+
+    #: Candidates that are held back.
+    HELD = 1 << 15
 
     def __init__(self, queries, k: int, metric: str, assume_normalized: bool = False):
         import numpy as np
 
         self.queries, self.k, self.metric, self.assume = np.asarray(queries, float), k, metric, assume_normalized
-        self.row = np.empty(0, np.int64)
-        self.score = np.empty(0)
-        self.node = None
+        self._best, self._held, self._n = None, [], 0
+        #: The ``k``-th best score, for Euclidean in the unit of ``scores``; and lengths.
+        self.least, self._length = np.full(len(self.queries), -np.inf), np.sqrt((self.queries**2).sum(1))
+        self._ranked = self.queries
+        if metric != "euclidean":
+            self._ranked = (self.queries / np.where(self._length == 0, 1.0, self._length)[:, None]).astype(np.float32)
+
+    def _scaled(self, block):
+        """The block as ``scores`` takes it, what its numbers must be multiplied with for queries of length 1, and their error."""
+        import numpy as np
 
-    def add(self, nodes, block) -> None:
-        """``nodes`` are the ids (an array) of the rows of ``block``."""
+        length = np.sqrt((block**2).sum(1))
+        if self.metric == "euclidean":
+            return block, 1.0, 1e-12 * (self._length**2 + length.max() ** 2)
+        if self.metric == "cosine" and not self.assume:
+            if (self._length == 0).any() or (length == 0).any():
+                raise ValueError("cosine of a zero vector")
+            unit = length[:, None]
+        else:
+            unit = float(length.max()) or 1.0
+        # Each of the products and sums, and the rounding of rows and bounds, errs by 2 ** -24 at most; both sides of a comparison may.
+        error = np.full(len(self.queries), 2.0 * (block.shape[1] + 8) * 2.0**-24)
+        return (block / unit).astype(np.float32), 1.0 if isinstance(unit, np.ndarray) else unit, error
+
+    def add(self, nodes, block, who=None) -> None:
+        """``nodes`` are the ids (an array) of the rows of ``block``, which the queries ``who`` (numbers; all, if None) look at."""
         import numpy as np
 
-        step = max(1, CELLS // max(1, len(self.queries)))
-        for at in range(0, len(block), step):
-            part, names = block[at : at + step], nodes[at : at + step]
-            got, slack = scores(self.queries, part, self.metric, self.assume)
-            if self.k < got.shape[1]:
-                least = np.partition(got, got.shape[1] - self.k, axis=1)[:, got.shape[1] - self.k]
-                row, col = np.nonzero(got >= (least - slack)[:, None])
-            else:
-                row, col = (x.ravel() for x in np.indices(got.shape))
-            exact = np.empty(len(row))
-            for i in range(0, len(row), 65536):
-                r, c = row[i : i + 65536], col[i : i + 65536]
-                exact[i : i + 65536] = pair_scores(self.queries[r], part[c], self.metric, self.assume)
-            row, score, node = np.concatenate([self.row, row]), np.concatenate([self.score, exact]), names[col] if self.node is None else np.concatenate([self.node, names[col]])
-            order = np.lexsort((node, -score, row))
-            row = row[order]
-            first = np.searchsorted(row, row, "left")
-            keep = np.arange(len(row)) - first < self.k
-            self.row, self.score, self.node = row[keep], score[order][keep], node[order][keep]
-
-
-def query_blocks(q: DataFrame):
+        if not len(block) or not len(self.queries) or who is not None and not len(who):
+            return
+        nodes, block = first_copies(nodes, block, self.k)
+        ranked, unit, error = self._scaled(block)
+        height = min(len(self.queries), max(1, 2 * math.isqrt(CELLS)))
+        for top in range(0, len(self.queries) if who is None else len(who), height):
+            own = np.arange(top, min(top + height, len(self.queries))) if who is None else who[top : top + height]
+            asked, slack = self._ranked[own], error[own]
+            scale = unit * np.where(self._length[own] == 0, 1.0, self._length[own]) if self.metric == "dot" or self.metric == "cosine" and self.assume else 1.0
+            step = max(1, CELLS // len(own))
+            for at in range(0, len(block), step):
+                got = scores(asked, ranked[at : at + step], self.metric)
+                least = self.least[own] / scale
+                if self.k < got.shape[1] and len(fresh := np.flatnonzero(np.isneginf(least))):
+                    least[fresh] = np.partition(got[fresh], got.shape[1] - self.k, axis=1)[:, got.shape[1] - self.k]
+                row, col = np.divmod(np.flatnonzero(got >= (least - slack).astype(got.dtype)[:, None]), got.shape[1])
+                if not len(row):
+                    continue
+                row, col = own[row], col + at
+                exact = np.empty(len(row))
+                for i in range(0, len(row), 65536):
+                    r, c = row[i : i + 65536], col[i : i + 65536]
+                    exact[i : i + 65536] = pair_scores(self.queries[r], block[c], self.metric, self.assume)
+                self._held.append((row, exact, nodes[col]))
+                self._n += len(row)
+                if self._n >= max(self.HELD, len(self._best[0]) if self._best else 0):
+                    self._merge()
+
+    def _merge(self) -> None:
+        import numpy as np
+
+        if not self._held:
+            return
+        row, score, node = (np.concatenate(x) for x in zip(*([self._best] if self._best else []), *self._held, strict=True))
+        order = np.lexsort((node, -score, row))
+        row = row[order]
+        place = np.arange(len(row)) - np.searchsorted(row, row, "left")
+        keep = place < self.k
+        self._best, self._held, self._n = (row[keep], score[order][keep], node[order][keep]), [], 0
+        last = place == self.k - 1
+        row, score = row[last], score[order][last]
+        if self.metric == "euclidean":
+            score = (self.queries[row] ** 2).sum(1) - score**2
+        self.least[row] = score
+
+    @property
+    def row(self):
+        import numpy as np
+
+        self._merge()
+        return self._best[0] if self._best else np.empty(0, np.int64)
+
+    @property
+    def score(self):
+        import numpy as np
+
+        self._merge()
+        return self._best[1] if self._best else np.empty(0)
+
+    @property
+    def node(self):
+        self._merge()
+        return self._best[2] if self._best else None
+
+
+def query_blocks(q: DataFrame, most: int | None = None):
     """Bounded blocks of the query set, as (ids, matrix); a row streams to the driver only while its block fills."""
     import numpy as np
 
@@ -129,29 +210,31 @@ def query_blocks(q: DataFrame):
         ids.append(r["query_id"])
         rows.append(r["qv"])
         size += 8 * len(r["qv"])
-        if size >= QUERY_BYTES or len(ids) >= QUERY_ROWS:
+        if size >= QUERY_BYTES or len(ids) >= min(QUERY_ROWS, most or QUERY_ROWS):
             yield ids, np.array(rows, float)
             ids, rows, size = [], [], 0
     if ids:
         yield ids, np.array(rows, float)
 
 
-def by_query_block(q: DataFrame, search, schema: str, reduce) -> DataFrame:
+def by_query_block(q: DataFrame, search, schema: str, reduce, prepare=None, most: int | None = None) -> DataFrame:
     """What ``search(shared)`` finds for each block of queries, where ``shared`` is its broadcast (ids, matrix).
 
+    ``prepare`` makes what is broadcast instead; blocks have at most ``most`` rows, if given.
+
     A single block stays a lazy plan. Of several, each is a job of its own: what
     ``reduce`` leaves of it is stored and its queries leave the executors before the
     next block is sent.
     """
     spark = q.sparkSession
     held, tmp, n = None, None, 0
-    for block in query_blocks(q):
+    for block in query_blocks(q, most):
         if held is not None:
             tmp = tmp or Scratch(spark, "queries")
             tmp.append(reduce(search(held)), "found")
             held.destroy()
             n += 1
-        held = spark.sparkContext.broadcast(block)
+        held = spark.sparkContext.broadcast(prepare(*block) if prepare else block)
     if held is None:
         return spark.createDataFrame([], schema)
     if not n:
@@ -162,7 +245,8 @@ def by_query_block(q: DataFrame, search, schema: str, reduce) -> DataFrame:
 
 
 def _blas(q: DataFrame, v: DataFrame, k: int, metric: str, assume_normalized: bool) -> DataFrame:
-    ship(v.sparkSession)
+    spark = v.sparkSession
+    ship(spark)
     schema = f"query_id {q.schema['query_id'].dataType.simpleString()}, node_id {v.schema['node_id'].dataType.simpleString()}, score double"
 
     def search(shared) -> DataFrame:

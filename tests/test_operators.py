@@ -320,6 +320,38 @@ def test_inverted_lists_of_nothing_and_of_any_metric(spark):
     assert ann.HNSWIndex.build(v.limit(0)).search(q, 3).count() == 0
 
 
+def test_inverted_lists_find_what_exact_search_finds(spark):
+    """With all cells probed; a third of the rows are copies. Pairs are not rows of a join."""
+    r = np.random.default_rng(3)
+    x = r.normal(size=(200, 6))[r.integers(0, 200, 600)].round(2) + 0.001
+    v = spark.createDataFrame([(i, a.tolist()) for i, a in enumerate(x)], "node_id long, embedding array<float>")
+    q = v.where("node_id % 3 = 0").withColumnRenamed("node_id", "query_id")
+    for metric in ("cosine", "euclidean", "dot"):
+        found = ann.ivf_search(v, q, 4, 9, 9, metric)
+        plan = found._jdf.queryExecution().optimizedPlan().toString()
+        assert "Join" not in plan and "MapInArrow" in plan
+        rows = [sorted(map(tuple, f.collect())) for f in (found, knn.knn_join(q, v, 4, metric))]
+        assert rows[0] == rows[1] and len(rows[0]) == 800, metric
+
+
+def test_best_of_slices(monkeypatch):
+    """Against all pairs, with copies over many slices and parts of the queries."""
+    r = np.random.default_rng(4)
+    monkeypatch.setattr(knn.Best, "HELD", 20)
+    x, ids = r.normal(size=(30, 5))[r.integers(0, 30, 400)], r.permutation(400)
+    q, asked = r.normal(size=(40, 5)), r.random((40, 8)) < 0.6
+    for metric in ("cosine", "euclidean", "dot"):
+        best = knn.Best(q, 6, metric)
+        for i, own in enumerate(np.split(np.arange(400), 8)):
+            best.add(ids[own], x[own], np.flatnonzero(asked[:, i]))
+        for j in range(40):
+            own = np.flatnonzero(np.repeat(asked[j], 50))
+            s = knn.pair_scores(np.repeat(q[j : j + 1], len(own), 0), x[own], metric, False)
+            assert best.node[best.row == j].tolist() == ids[own][np.lexsort((ids[own], -s))[:6]].tolist()
+    nodes, block = knn.first_copies(np.arange(9)[::-1], np.repeat(np.eye(3), 3, 0), 2)
+    assert nodes.tolist() == [7, 6, 4, 3, 1, 0] and len(block) == 6
+
+
 def test_generation(spark):
     for bad in ({"temperature": 3, "model": "m"}, {"max_tokens": 0, "model": "m"}, {"model": " "}):
         with pytest.raises(ValueError):
