@@ -30,7 +30,9 @@ BEAM = 3
 #: Nodes whose distances to all before them are computed at once.
 BLOCK_NODES = 256
 #: Bytes of the cell centres of inverted lists, and queries from which the number of probes is learned, at least.
-CENTRE_BYTES, TUNING_QUERIES = 64 << 20, 256
+CENTRE_BYTES, TUNING_QUERIES = 64 << 20, 1024
+#: Standard errors by which the recall of those queries, unless they are all, must exceed what is asked for.
+MARGIN = 3
 #: Rows of a part of the inverted lists, and numbers in the table of a block's queries and cells.
 LIST_ROWS, QUERY_CELLS = 1 << 16, 1 << 24
 
@@ -512,7 +514,7 @@ def _with_cells(rows: DataFrame, centers, metric: str, most: int, vector: str, o
 
 
 def _probes(asked, cells, truth, centers, metric: str, recall: float, population: int) -> int:
-    """The least number of probes with which ``asked``, a sample of ``population`` queries, finds ``recall`` of the truth.
+    """The least number of probes with which ``asked``, a sample of ``population`` queries, finds ``recall`` of the truth, with a margin.
 
     ``truth`` are numbers of queries, ``cells`` where the true neighbours of those are.
     """
@@ -531,7 +533,7 @@ def _probes(asked, cells, truth, centers, metric: str, recall: float, population
     for p in range(size):
         found += np.bincount(truth[order[ends[p - 1] if p else 0 : ends[p]]], minlength=len(asked))
         share = found[known] / total[known]
-        if not n or share.mean() >= recall:
+        if not n or share.mean() - MARGIN * share.std() * math.sqrt(max(0, 1 - n / population) / n) >= recall:
             return p + 1
     return size
 
@@ -553,7 +555,8 @@ def ivf_search(vectors: DataFrame, queries: DataFrame, k: int = 5, cells: int |
 
     ``cells`` is the square root of the number of vectors unless given. ``probes``,
     unless given, is the least number with which a sample of ``TUNING_QUERIES`` to
-    twice as many queries finds ``recall`` of its true neighbours. The lists are stored by
+    twice as many queries finds ``recall`` of its true neighbours and three standard
+    errors more; of fewer queries all count, without a margin. The lists are stored by
     cell; a task multiplies a cell's vectors with the queries that look into it and
     keeps ``k`` rows of each query. Null vectors are in no cell. An empty side gives an
     empty result.

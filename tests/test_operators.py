@@ -352,6 +352,19 @@ def test_best_of_slices(monkeypatch):
     assert nodes.tolist() == [7, 6, 4, 3, 1, 0] and len(block) == 6
 
 
+def test_probes_find_all_ranks_and_leave_a_margin(spark):
+    v = synthetic.random_vectors(spark, 60, 4, seed=6)
+    q = v.withColumnRenamed("node_id", "query_id")
+    assert ann.ivf_search(v, q, 5, 60, 1).count() == 300
+    # 95 of 100 queries find theirs in the first cell and the others in the second.
+    centers, asked = np.eye(2), np.array([[1.0, 0.5]] * 100)
+    truth, cells = np.arange(100), np.array([0] * 95 + [1] * 5)
+    assert ann._probes(asked, cells, truth, centers, "cosine", 0.95, 100) == 1
+    assert ann._probes(asked, cells, truth, centers, "cosine", 0.95, 100_000) == 2
+    copies = spark.range(40).select(F.col("id").alias("node_id"), F.array(F.lit(1.0), F.lit(2.0)).alias("embedding"))
+    assert len(ann.centroids(copies, 2, sample=10, key="node_id")) == 2
+
+
 def test_generation(spark):
     for bad in ({"temperature": 3, "model": "m"}, {"max_tokens": 0, "model": "m"}, {"model": " "}):
         with pytest.raises(ValueError):
