@@ -21,6 +21,8 @@ from ..shipping import ship
 
 #: Bytes and rows of a block of queries, and numbers in a matrix of scores.
 QUERY_BYTES, QUERY_ROWS, CELLS = 8 << 20, 8192, 1 << 18
+#: A block of more queries has the vectors dealt to all cores first; for fewer that would be more work than it spares.
+DEALT_QUERIES = 256
 
 
 def top_k(scored: DataFrame, k: int, by: str = "query_id", score: str = "score", tie: str = "node_id") -> DataFrame:
@@ -265,7 +267,11 @@ def _blas(q: DataFrame, v: DataFrame, k: int, metric: str, assume_normalized: bo
                 rows = best.row[at : at + 10_000].tolist()
                 yield pa.RecordBatch.from_arrays([pa.array([names[i] for i in rows]), pa.array(best.node[at : at + 10_000].tolist(), kind), pa.array(best.score[at : at + 10_000])], ["query_id", "node_id", "score"])
 
-        return v.select("node_id", "v").mapInArrow(work, schema)
+        rows = v.select("node_id", "v")
+        if len(shared.value[0]) > DEALT_QUERIES:
+            # A file whose rows are one group is read by one task, however many splits it has.
+            rows = rows.repartition(2 * spark.sparkContext.defaultParallelism, "node_id")
+        return rows.mapInArrow(work, schema)
 
     return by_query_block(q, search, schema, lambda found: top_k(found, k).drop("rank"))
 

@@ -365,6 +365,15 @@ def test_probes_find_all_ranks_and_leave_a_margin(spark):
     assert len(ann.centroids(copies, 2, sample=10, key="node_id")) == 2
 
 
+def test_many_queries_have_the_vectors_dealt(spark):
+    v = synthetic.random_vectors(spark, 400, 4, seed=7).coalesce(1).select("node_id", F.col("embedding").alias("v"))
+    q = v.select(F.col("node_id").alias("query_id"), F.col("v").alias("qv"))
+    for n, least in ((300, 2), (10, 1)):
+        found = knn._blas(q.where(F.col("query_id") < n), v, 1, "cosine", False)
+        tasks = found.groupBy(F.spark_partition_id()).count().count()
+        assert tasks >= least and (n > 10 or tasks == 1)
+
+
 def test_generation(spark):
     for bad in ({"temperature": 3, "model": "m"}, {"max_tokens": 0, "model": "m"}, {"model": " "}):
         with pytest.raises(ValueError):
